@@ -43,15 +43,19 @@ def _byte_alphabet() -> dict[str, int]:
 
 class ByteBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
         self.fast = self._fast(spec)
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _fast(spec: dict):
         split = spec.get("pre_tokenizer") or {}

@@ -95,7 +95,7 @@ class Parser:
             for t in many:
                 sequence += [*self.symbols(t).tolist(), UNKNOWN]
             automaton = SuffixAutomaton(sequence)
-            go = np.zeros((len(automaton.next), width), np.int64)
+            go = np.zeros((len(automaton.next), width), np.int32)
             start = np.full(width, -1)
             for c, s in automaton.next[0].items():
                 start[c] = s
@@ -105,11 +105,13 @@ class Parser:
             for s, edges in enumerate(automaton.next):
                 for c, t in edges.items():
                     go[s, c] = (base + t * width) << 2
+            if base + go.size >= 1 << 29:
+                raise ValueError("the languages' sample texts are too long for one table; lower `chars`")
             tables.append(go.ravel())
             self.root.append(base)
             self.bits.append(np.log2(max(2, len(sequence))))
             base += go.size
-        self.table = np.concatenate(tables).astype(np.int32 if base < 1 << 29 else np.int64) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-case letters, with one gap for each run of anything else."""
