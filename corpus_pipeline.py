@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrweave.llm import language, near_dedup, packing, pii, quality
-from corrweave.llm.common import fresh_path, table
+from corrweave.llm.common import fresh_path, small_batches, table
 
 #: Documents that score lower than this are rejected.
 QUALITY_AT_LEAST = 0.5
@@ -35,6 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts kinds in brackets in place of personal data; n_chars follows."""
+    small_batches(spark)
     masked = docs.withColumn("text", pii.redact(F.col("text")))
     return masked.withColumn("n_chars", F.char_length("text").cast("bigint"))
 

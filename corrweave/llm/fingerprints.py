@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, shuffle_width
+from .common import chunks, shuffle_width, small_batches
 
 BITS = 128
 #: Shingle length in words: weight of a vote.
@@ -31,7 +31,7 @@ _U = np.uint64
 class _WordHashes(dict):
     """Word to 64-bit hash; forgets all at a bound, so that memory stays flat over any corpus."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -168,6 +168,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     document, in descending doc_id; the last document's next is the first, a lone document's is itself. Null texts are
     empty, repeated rows stay, other columns are ignored, an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks
+from .common import chunks, small_batches
 from .sampling import held_out, per_class
 
 #: Symbols parsed as one lane; a phrase ends with its lane.
@@ -160,6 +160,7 @@ def learn(docs: DataFrame, chars: int = 20_000, most: int = 200) -> tuple[tuple[
     Only rows with text and lang that are not held out count; whole texts are taken, in order of hash, while they fit
     (the shortest, if none does). The driver gets at most that: (lang, texts) in order of lang.
     """
+    small_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     sample = per_class(usable, "lang", most).select("doc_id", "lang", F.char_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).distinct()
     rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["h"]))

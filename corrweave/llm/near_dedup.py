@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, cut
+from .common import chunks, cut, small_batches
 from .components import components
 
 RADIUS = 3
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     smallest doc_id reachable over links of 3 or fewer differing bits. Repeated rows stay and share a component, a
     null doc_id is never a component's id unless it has no other, other columns are ignored, an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), k, seed).alias("fp")))
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = fingerprint_links(first)

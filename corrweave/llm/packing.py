@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import bpe
-from .common import cut, shuffle_width
+from .common import cut, shuffle_width, small_batches
 
 PIECES_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path:
     histogram of lengths, at most `capacity` rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = cut(cut_pieces(docs, capacity, end_id, tokenizer_path))
     # One length may be hot (copies of one document), so ranks are taken in salted parts and shifted by the parts before.
     salts = 4 * shuffle_width(spark)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import small_batches
+
 SPACE = "▁"
 # Kinds of pieces in a model file, and what an unknown character costs below the lowest score.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -32,7 +34,7 @@ def default_path() -> str:
 
 class PieceCodec:
     #: Words whose ids are kept; all are forgotten at the bound.
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -161,6 +163,7 @@ def encoded_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame
     ids_crc32 is over little-endian unsigned 32-bit ids; round_trip tells whether decoding gives the text again. A null
     text counts as empty. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     path = model_path or default_path()
 
     @arrow_udf("struct<n_tokens: bigint, ids_crc32: bigint, round_trip: boolean>")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -262,4 +264,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Counts and digest are of the base spans; `spans` holds all, in code points of the source text. A null text counts
     as empty. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", find(F.col("text")).alias("found")).select("doc_id", "found.*")

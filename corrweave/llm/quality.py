@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks
+from .common import chunks, small_batches
 from .sampling import held_out, per_class
 
 PASSAGE_WORDS = 64
@@ -26,7 +26,7 @@ TRAITS = 2 * WORD_TRAITS + 4
 class _WordTraits(dict):
     """Word to its row in a table of traits; forgets all at a bound, so that memory stays flat over any corpus."""
 
-    MOST = 200_000
+    MOST = 50_000
 
     def __init__(self):
         self.rows = np.zeros((self.MOST, WORD_TRAITS), np.float32)
@@ -148,6 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, most_passages: i
     itself or is neither 0 nor 1 not at all; documents of over `most_passages` passages are scored but not learned from.
     With fewer than two labels the model is the mean label (0.5 without any).
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = per_class(usable, "quality", most).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).where("quality = q").select(F.col("doc_id").alias("labelled"), "quality")
     encode = arrow_udf(_encoded, "array<float>")

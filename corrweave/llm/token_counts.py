@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import fresh_path, path_exists
+from .common import fresh_path, path_exists, small_batches
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 
@@ -62,6 +62,7 @@ def append_misses(docs: DataFrame, cache_path: str, tokenizer_path: str) -> None
     Texts are dropped early: a task sends a content once however often it holds it, so no digest is hot in the shuffle.
     """
     spark, version = docs.sparkSession, bpe.version_digest(tokenizer_path)
+    small_batches(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     distinct = texts.mapInArrow(_first_of_each, "digest binary, text string")
     if path_exists(spark, cache_path):
