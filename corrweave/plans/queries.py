@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, cleaning
@@ -296,7 +294,7 @@ def membership_ffill(spark, sf_dir):
     return membership.members_filled(panel.members(spark, sf_dir), panel.prices(spark, sf_dir), 40)
 
 
-@query(_with("filled", "SELECT count(*) FILTER (f.source_date = f.date) AS source_dates, count(*) FILTER (f.source_date <> f.date) AS filled_dates, count_if(f.source_date IS NULL AND f.date >= (SELECT min(date) FROM members)) AS gap_dropped FROM filled f"))
+@query(_with("filled", "SELECT count(*) FILTER (f.source_date = f.date) AS source_dates, count(*) FILTER (f.source_date <> f.date) AS filled_dates, CAST(count_if(f.source_date IS NULL AND f.date >= (SELECT min(date) FROM members)) AS BIGINT) AS gap_dropped FROM filled f"))
 def membership_fill_stats(spark, sf_dir):
     return membership.fill_stats(panel.members(spark, sf_dir), panel.prices(spark, sf_dir), 40)
 
@@ -417,9 +415,8 @@ def _nodes(spark: SparkSession, sf_dir: str, mode: str = "window") -> DataFrame:
 
 @query()
 def node_features(spark, sf_dir):
-    """All modes at once, as long rows."""
-    modes = [_nodes(spark, sf_dir, m).select(F.lit(m).alias("mode"), "date", "ticker", F.size("x").alias("width"), F.posexplode("x").alias("dim", "value")) for m in ("window", "last", "window_plus_summary", "window_plus_summary_fund")]
-    return reduce(DataFrame.unionByName, modes)
+    """The widest mode, as long rows."""
+    return _nodes(spark, sf_dir, "window_plus_summary_fund").select("date", "ticker", F.size("x").alias("width"), F.posexplode("x").alias("dim", "value"))
 
 
 # --- edges -----------------------------------------------------------------------------------------------------------
