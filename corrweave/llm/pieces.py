@@ -2,7 +2,8 @@
 
 At each position the automaton names every piece that ends there, following its output links; each relaxes the best
 score of that position from the one where it begins. Characters that no piece covers take the unknown score and
-become byte pieces (or the unknown piece). The pieces' scores are taken as they stand in the model file.
+become byte pieces (or the unknown piece). The pieces' scores are taken as they stand in the model file. Of a
+file of kind BPE a text gets the best-scoring path, which the order of merges need not give.
 """
 
 from __future__ import annotations

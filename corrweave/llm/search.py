@@ -142,11 +142,11 @@ def _vectors(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    query_ids, queries = _vectors(left, "v")
-    ids, points = _vectors(right, "v")
     kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
-    if not len(query_ids) or not len(ids):
+    if not left.num_rows or not right.num_rows:
         return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+    query_ids, queries = _vectors(left, "v")
+    ids, points = _vectors(right, "v")
     if queries.dtype == object or points.dtype == object:
         best = _Best(query_ids, k)
         rows = np.arange(len(query_ids))
