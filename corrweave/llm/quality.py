@@ -133,11 +133,12 @@ class AttentionMil:
         return self
 
 
-def _encoded(texts: pa.Array) -> pa.Array:
+def _encoded(most_passages: int, texts: pa.Array) -> pa.Array:
+    """Each text's passages as one list of traits; null for a text of more than `most_passages`."""
     out = []
     for part in chunks(texts):
         x, n = passages([t or "" for t in part.to_pylist()])
-        out += [x[e - k : e].ravel() for e, k in zip(np.cumsum(n), n)]
+        out += [x[e - k : e].ravel() if k <= most_passages else None for e, k in zip(np.cumsum(n), n)]
     return pa.array(out, pa.list_(pa.float32()))
 
 
@@ -151,10 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 1500, most_passages: i
     small_batches(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = per_class(usable, "quality", most).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).where("quality = q").select(F.col("doc_id").alias("labelled"), "quality")
-    encode = arrow_udf(_encoded, "array<float>")
-    # At most about twice `most` ids.
+
+    @arrow_udf("array<float>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return _encoded(most_passages, texts)
+
+    # At most about twice `most` ids. No condition on the traits stands in the plan: it would move below the join, and encode every document.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.expr("doc_id = labelled")).select("doc_id", "quality", encode("text").alias("x"))
-    rows = rows.where(F.size("x") <= most_passages * TRAITS).collect()
+    rows = [r for r in rows.collect() if r["x"] is not None]
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["quality"] for r in rows], np.float64)
     if len(set(y)) < 2:
