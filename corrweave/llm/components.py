@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import copied, cut, dealt, hot_keys
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b); component is the smallest node reachable.
 
     Each round takes the smallest label among the neighbours and then that label's own label, so rounds grow with the
-    logarithm of the longest path. Minima are combined before the shuffle, which keeps hubs cheap. Loops and repeated
-    links do no harm, links with a null end are dropped, no links give no rows.
+    logarithm of the longest path. Minima are combined before the shuffle; the links of a hub, and the nodes that share
+    a label, are dealt over several tasks. Loops and repeated links do no harm, links with a null end are dropped, no
+    links give no rows.
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct())
+    hubs = hot_keys(both.groupBy("b").count(), "b", both.count())
+    from_hubs = dealt(both, "b", hubs)
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
+    n_nodes = labels.count()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
-        jump = better.select(F.col("node").alias("target"), F.col("label").alias("further"))
-        better = better.join(jump, better.label == jump.target, "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
+        told = copied(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b", hubs)
+        near = from_hubs.join(told, ["b", "salt"]).groupBy("a").agg(F.min("near").alias("near"))
+        better = cut(labels.join(near, labels.node == near.a, "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was")))
+        shared = hot_keys(better.groupBy("label").count(), "label", n_nodes)
+        jump = copied(better.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", shared)
+        better = dealt(better, "label", shared).join(jump, ["label", "salt"], "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
         better = cut(better)
         moved = better.where("label <> was").limit(1).count()
         labels = better.select("node", "label")

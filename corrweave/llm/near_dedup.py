@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, cut, small_batches
+from .common import chunks, copied, cut, dealt, hot_keys, small_batches
 from .components import components
 
 RADIUS = 3
@@ -153,11 +153,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), k, seed).alias("fp")))
-    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("count")))
     links = fingerprint_links(first)
     groups = components(links)
     named = first.join(groups, first.fp == groups.node, "left").withColumn("component", F.coalesce("component", "fp"))
+    named = cut(named.select("fp", "first", "component"))
     # The component's own name is a fingerprint; its smallest doc_id is what is wanted.
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("count"))
+    large = hot_keys(least, "component", named.count())
+    of_print = dealt(named, "component", large).join(copied(least, "component", large), ["component", "salt"]).select("fp", "component_id")
+    copies = hot_keys(first, "fp", prints.count())
+    rows = dealt(prints, "fp", copies).join(copied(of_print, "fp", copies), ["fp", "salt"])
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
