@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import fresh_path, path_exists, small_batches
+from .common import copied, cut, dealt, fresh_path, hot_keys, path_exists, small_batches
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
 
@@ -75,13 +75,14 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer_path:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of `docs` (doc_id, text).
 
     A null text counts as empty (0 bytes, 0 tokens). Special strings inside a text count as the library's default has
-    them. Repeated rows stay repeated, other columns are ignored, an empty table gives an empty one. Without
+    them. Rows of a hot content are dealt over several tasks of the join. Repeated rows stay repeated, other columns are ignored, an empty table gives an empty one. Without
     `cache_path` the cache starts empty in a fresh folder of the shared one.
     """
     tokenizer_path = tokenizer_path or bpe.default_path()
     cache_path = cache_path or fresh_path(docs.sparkSession, "token-counts")
     append_misses(docs, cache_path, tokenizer_path)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    keyed = cut(docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes")))
+    hot = hot_keys(keyed.groupBy("digest").count(), "digest", keyed.count())
     stored = stored_counts(docs.sparkSession, cache_path, bpe.version_digest(tokenizer_path))
-    return keyed.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return dealt(keyed, "digest", hot).join(copied(stored, "digest", hot), ["digest", "salt"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
