@@ -49,7 +49,7 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element or a run of like siblings. parts: own texts and children, in order."""
 
-    __slots__ = ("sign", "tag", "words", "hidden", "parts")
+    __slots__ = ("sign", "tag", "words", "hidden", "parts", "apart", "chars", "digest")
 
     def __init__(self, sign: str, tag: str, words: frozenset[str] = frozenset(), hidden: bool = False):
         self.sign, self.tag, self.words, self.hidden = sign, tag, words, hidden
@@ -182,106 +182,188 @@ class Shape:
         self.kids: list[Shape] = []
         self.nodes: list[Node] = []
 
+    def every(self) -> list[Shape]:
+        """This shape and all below it, parents before children and those in order."""
+        out, todo = [], [self]
+        while todo:
+            out.append(x := todo.pop())
+            todo += reversed(x.kids)
+        return out
+
     def dump(self) -> list:
-        return [self.sign, self.aside, self.article, self.text, round(self.chars), self.varies, self.pages, [k.dump() for k in self.kids]]
+        """A flat list, since a tree may be deeper than JSON can nest."""
+        return [[x.sign, x.aside, x.article, x.text, round(x.chars), x.varies, x.pages, len(x.kids)] for x in self.every()]
 
     @staticmethod
-    def load(x: list) -> Shape:
-        s = Shape(*x[:7])
-        s.kids = [Shape.load(k) for k in x[7]]
-        return s
+    def load(rows: list) -> Shape:
+        open_: list[tuple[Shape, int]] = []
+        for *fields, n in rows:
+            s = Shape(*fields)
+            while open_ and len(open_[-1][0].kids) == open_[-1][1]:
+                open_.pop()
+            if open_:
+                open_[-1][0].kids.append(s)
+            else:
+                top = s
+            open_.append((s, n))
+        return top
 
     def structure(self) -> str:
-        return self.sign + ("(" + ",".join(k.structure() for k in self.kids) + ")" if self.kids else "")
-
-
-#: Depth and children of a shape; what lies deeper or further counts as text of the last that fits.
-MOST_DEPTH, MOST_KIDS = 24, 48
-
-
-def shape(nodes: list[Node], depth: int = 0) -> Shape:
-    """The shape of a run of like siblings."""
+        out: list[str] = []
+        todo: list[Shape | str] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            out.append(x.sign)
+            if x.kids:
+                out.append("(")
+                todo.append(")")
+                for i, k in enumerate(reversed(x.kids)):
+                    todo += [",", k] if i else [k]
+        return "".join(out)
+
+
+def measure(root: Node) -> None:
+    """Sets the characters and the digest of the text of each node, children first."""
+    order, todo = [], [root]
+    while todo:
+        order.append(x := todo.pop())
+        todo += (k for k in x.children() if k.tag not in VOID)
+    for x in reversed(order):
+        x.apart = x.aside()
+        kids = [k for k in x.children() if k.tag not in VOID]
+        text = " ".join("".join(p for p in x.parts if isinstance(p, str)).split())
+        x.chars = len(text) + (0 if x.apart else sum(k.chars for k in kids if not k.apart))
+        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
+        for k in kids:
+            digest.update(k.digest)
+        x.digest = digest.digest()
+
+
+def _run(nodes: list[Node]) -> Shape:
     first = nodes[0]
-    s = Shape(first.sign, first.aside(), first.tag in ARTICLE or bool(first.words & ARTICLE_WORDS) and not first.words & ASIDE_WORDS)
+    text = first.digest if len(nodes) == 1 else hashlib.blake2b(b"".join(n.digest for n in nodes), digest_size=8).digest()
+    s = Shape(first.sign, first.apart, first.tag in ARTICLE or bool(first.words & ARTICLE_WORDS) and not first.words & ASIDE_WORDS, text.hex(), sum(n.chars for n in nodes))
     s.nodes = nodes
-    runs: list[list[Node]] = []
-    own: list[str] = []
-    for node in nodes:
-        for part in node.parts:
-            if isinstance(part, str):
-                own.append(part)
-            elif part.tag not in VOID:
-                if runs and runs[-1][0].sign == part.sign:
-                    runs[-1].append(part)
-                elif depth < MOST_DEPTH and len(runs) < MOST_KIDS:
-                    runs.append([part])
-                elif runs:
-                    own += blocks(part)
-    s.kids = [shape(r, depth + 1) for r in runs]
-    text = " ".join("".join(own).split())
-    s.chars = len(text) + (0 if s.aside else sum(k.chars for k in s.kids if not k.aside))
-    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
-    for k in s.kids:
-        digest.update(k.text.encode())
-    s.text = digest.hexdigest()
     return s
 
 
-def matching(a: Shape, b: Shape) -> tuple[int, list]:
-    """Simple tree matching: matched nodes, and the aligned children as (child of a, child of b, their alignment)."""
+def shape(root: Node) -> Shape:
+    """The shape of a page's tree, however deep and wide; adjacent like siblings are one run."""
+    measure(root)
+    top = _run([root])
+    todo = [top]
+    while todo:
+        s = todo.pop()
+        runs: list[list[Node]] = []
+        for node in s.nodes:
+            for part in node.children():
+                if part.tag not in VOID:
+                    if runs and runs[-1][0].sign == part.sign:
+                        runs[-1].append(part)
+                    else:
+                        runs.append([part])
+        s.kids = [_run(r) for r in runs]
+        todo += s.kids
+    return top
+
+
+def _aligned(a: Shape, b: Shape, weight: dict[tuple[int, int], int]) -> list[tuple[Shape, Shape]]:
+    """The pairs of children, in order and of one sign, with the largest sum of weights (1 where none is given).
+
+    Only pairs of one sign are tried: the best chain that ends before each child of b is kept in a tree of prefix maxima.
+    """
+    n = len(b.kids)
+    places: dict[str, list[int]] = {}
+    for j in range(n, 0, -1):
+        places.setdefault(b.kids[j - 1].sign, []).append(j)
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (n + 1)
+    for x in a.kids:
+        for j in places.get(x.sign, ()):  # from the last, so that x is used once in a chain
+            y, top, k = b.kids[j - 1], (0, None), j - 1
+            while k:
+                if best[k][0] > top[0]:
+                    top = best[k]
+                k &= k - 1
+            here, k = (top[0] + weight.get((id(x), id(y)), 1), (x, y, top[1])), j
+            while k <= n:
+                if here[0] > best[k][0]:
+                    best[k] = here
+                k += k & -k
+    top, k = (0, None), n
+    while k:
+        if best[k][0] > top[0]:
+            top = best[k]
+        k &= k - 1
+    pairs, chain = [], top[1]
+    while chain:
+        pairs.append(chain[:2])
+        chain = chain[2]
+    return pairs[::-1]
+
+
+def matching(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
+    """Simple tree matching: the pairs of matched shapes, parents before children."""
     if a.sign != b.sign:
-        return 0, []
-    m, n = len(a.kids), len(b.kids)
-    if [k.sign for k in a.kids] == [k.sign for k in b.kids]:  # no other alignment matches more roots; the common case
-        pairs = [(x, y, *matching(x, y)) for x, y in zip(a.kids, b.kids)]
-        return 1 + sum(p[2] for p in pairs), [(x, y, p) for x, y, _, p in pairs]
-    score = [[0] * (n + 1) for _ in range(m + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w = inner[i, j] = matching(a.kids[i - 1], b.kids[j - 1])
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w[0])
-    pairs, i, j = [], m, n
-    while i and j:
-        w = inner[i, j]
-        if w[0] and score[i][j] == score[i - 1][j - 1] + w[0]:
-            pairs.append((a.kids[i - 1], b.kids[j - 1], w[1]))
-            i, j = i - 1, j - 1
-        elif score[i][j] == score[i - 1][j]:
-            i -= 1
+        return []
+    frames, todo = [], [(a, b)]
+    while todo:  # all pairs that could match, parents first; pairs in which one has no children weigh 1
+        x, y = todo.pop()
+        alike = [k.sign for k in x.kids] == [k.sign for k in y.kids]  # no other alignment matches more roots; the common case
+        frames.append((x, y, alike))
+        if alike:
+            todo += ((p, q) for p, q in zip(x.kids, y.kids) if p.kids and q.kids)
         else:
-            j -= 1
-    return 1 + score[m][n], pairs[::-1]
+            by_sign: dict[str, list[Shape]] = {}
+            for q in y.kids:
+                if q.kids:
+                    by_sign.setdefault(q.sign, []).append(q)
+            todo += ((p, q) for p in x.kids if p.kids for q in by_sign.get(p.sign, ()))
+    weight: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[Shape, Shape]]] = {}
+    for x, y, alike in reversed(frames):
+        pairs = list(zip(x.kids, y.kids)) if alike else _aligned(x, y, weight)
+        chosen[id(x), id(y)] = pairs
+        weight[id(x), id(y)] = 1 + sum(weight.get((id(p), id(q)), 1) for p, q in pairs)
+    out, at = [(a, b)], 0
+    while at < len(out):
+        x, y = out[at]
+        out += chosen.get((id(x), id(y)), ())
+        at += 1
+    return out
 
 
-def merge(a: Shape, b: Shape, pairs: list) -> None:
+def merge(a: Shape, b: Shape) -> None:
     """Folds b into a by their alignment; children of b without a counterpart become optional ones of a."""
-    a.varies = a.varies or b.varies or a.text != b.text
-    a.chars, a.pages = a.chars + b.chars, a.pages + b.pages
-    partner = {id(y): (x, inner) for x, y, inner in pairs}
-    at = 0
-    for y in b.kids:
-        if id(y) in partner:
-            x, inner = partner[id(y)]
-            merge(x, y, inner)
-            at = a.kids.index(x) + 1
-        elif len(a.kids) < MOST_KIDS:
-            a.kids.insert(at, y)
-            at += 1
+    pairs = matching(a, b)
+    partner = {id(y): x for x, y in pairs}
+    for x, y in pairs:
+        x.varies = x.varies or y.varies or x.text != y.text
+        x.chars, x.pages = x.chars + y.chars, x.pages + y.pages
+        kids, at = [], 0
+        for k in y.kids:
+            if id(k) in partner:
+                while x.kids[at] is not partner[id(k)]:
+                    kids.append(x.kids[at])
+                    at += 1
+                kids.append(x.kids[at])
+                at += 1
+            else:
+                kids.append(k)
+        x.kids = kids + x.kids[at:]
 
 
 def content_root(t: Shape) -> Shape:
     """The slot with most article text: the largest that is an article by name, else as deep as most of the text stays together."""
     named: list[Shape] = []
-
-    def find(s: Shape) -> None:
-        for k in s.kids:
-            if not k.aside:
-                if k.article and k.sign.split(".")[0] not in INLINE:
-                    named.append(k)
-                find(k)
-
-    find(t)
+    todo = [k for k in reversed(t.kids) if not k.aside]
+    while todo:
+        s = todo.pop()
+        if s.article and s.sign.split(".")[0] not in INLINE:
+            named.append(s)
+        todo += (k for k in reversed(s.kids) if not k.aside)
     total = t.chars or 1
     named = [s for s in named if s.chars >= 0.5 * total] or [s for s in named if s.sign.split(".")[0] in ARTICLE and s.chars]
     if named:  # the outermost of the narrowest kind: an article before a wrapper that also has other things
@@ -299,25 +381,39 @@ def content_root(t: Shape) -> Shape:
 TEMPLATE_PAGES = 4
 
 
-def extract(page: str | None, wrapper: Shape | None) -> str:
+class Wrapper:
+    """A host's wrapper, its content root, and for each structure of pages its alignment: shapes with the places of their counterparts."""
+
+    #: Alignments that a wrapper holds.
+    MOST_ALIGNED = 256
+
+    def __init__(self, top: Shape):
+        self.top, self.root = top, content_root(top)
+        self.inside = {id(x) for x in self.root.every()}
+        self.aligned: dict[str, list[tuple[Shape, int]]] = {}
+
+    def match(self, own: Shape) -> list[tuple[Shape, Shape]]:
+        every, structure = own.every(), own.structure()
+        if structure not in self.aligned:
+            if len(self.aligned) >= self.MOST_ALIGNED:
+                self.aligned.clear()
+            place = {id(y): i for i, y in enumerate(every)}
+            self.aligned[structure] = [(x, place[id(y)]) for x, y in matching(self.top, own)]
+        return [(x, every[i]) for x, i in self.aligned[structure]]
+
+
+def extract(page: str | None, wrapper: Wrapper | None) -> str:
     """A page's main text by its host's wrapper (None: by the page alone)."""
-    tree = parse(page or "")
-    own = shape([tree])
+    own = shape(parse(page or ""))
     if wrapper is None:
         return " ".join(x for n in content_root(own).nodes for x in blocks(n))
-    root, counterpart, template = content_root(wrapper), [], set()
-
-    def follow(x: Shape, y: Shape, pairs: list, inside: bool) -> None:
-        if x is root:
-            counterpart.append(y)
-            inside = True
-        elif inside and not x.varies and x.pages >= TEMPLATE_PAGES:
+    counterpart, template = None, set()
+    for x, y in wrapper.match(own):
+        if x is wrapper.root:
+            counterpart = y
+        elif id(x) in wrapper.inside and not x.varies and x.pages >= TEMPLATE_PAGES:
             template.update(id(n) for n in y.nodes)
-        for a, b, inner in pairs:
-            follow(a, b, inner, inside)
-
-    follow(wrapper, own, matching(wrapper, own)[1], False)
-    chosen = counterpart[0] if counterpart and counterpart[0].chars else content_root(own)
+    chosen = counterpart if counterpart and counterpart.chars else content_root(own)
     found = [x for n in chosen.nodes for x in blocks(n, template)]
     return " ".join(found or [x for n in chosen.nodes for x in blocks(n)])
 
@@ -330,7 +426,7 @@ def _fold(into: dict[tuple[str, str], Shape], host: str, other: Shape) -> None:
     """Pages of one structure merge node by node; different structures stay apart until all pages are in."""
     key = (host, other.structure())
     if key in into:
-        merge(into[key], other, matching(into[key], other)[1])
+        merge(into[key], other)
     else:
         into[key] = other
 
@@ -354,15 +450,19 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             copy = (host, hashlib.blake2b((page or "").encode(), digest_size=12).digest())
             if page and copy not in seen:  # a page that occurs again says nothing about what is constant
                 seen.add(copy)
-                _fold(held, host, shape([parse(page)]))
+                _fold(held, host, shape(parse(page)))
         if len(held) > MOST_SHAPES:
             yield out()
     if held:
         yield out()
 
 
-def _merged(level: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of host (and structure): merges a run of one key as it streams by."""
+#: Groups of structures that a host's merge is dealt over before the last one.
+GROUPS = 64
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of host and structure: merges a run of one key as it streams by."""
     now: tuple | None = None
     held: Shape | None = None
 
@@ -371,9 +471,9 @@ def _merged(level: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     for batch in batches:
         for host, structure, said in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            key, s = (host, structure if level == "structure" else ""), Shape.load(json.loads(said))
+            key, s = (host, structure), Shape.load(json.loads(said))
             if key == now:
-                merge(held, s, matching(held, s)[1])
+                merge(held, s)
             else:
                 if held is not None:
                     yield out()
@@ -386,20 +486,22 @@ def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper) over all pages (url, html) with html, the wrapper as JSON.
 
     Each task merges its pages by host and structure before anything is shuffled, so a hot host sends a few shapes from
-    each task; they are merged by structure first and then, across structures, by host.
+    each task; they are merged by structure first and then, across structures, by group of structures and by host.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), "html")
     schema = "host string, structure string, shape string"
     shapes = rows.mapInArrow(_shapes, schema)
-    by_structure = shapes.repartition("host", "structure").sortWithinPartitions("host", "structure", "shape")
-    merged = by_structure.mapInArrow(functools.partial(_merged, "structure"), schema)
-    by_host = merged.repartition("host").sortWithinPartitions("host", F.length("structure"), "structure")
-    return by_host.mapInArrow(functools.partial(_merged, "host"), schema).select("host", F.col("shape").alias("wrapper"))
+    by_structure = shapes.repartition("host", "structure").sortWithinPartitions("host", "structure", "shape").mapInArrow(_merged, schema)
+    grouped = by_structure.withColumns({"order": F.col("structure"), "structure": F.pmod(F.xxhash64("structure"), F.lit(GROUPS)).cast("string")})
+    by_group = grouped.repartition("host", "structure").sortWithinPartitions("host", "structure", F.length("order"), "order")
+    merged = by_group.select("host", "structure", "shape").mapInArrow(_merged, schema).withColumns({"order": F.col("structure"), "structure": F.lit("")})
+    by_host = merged.repartition("host").sortWithinPartitions("host", F.length("shape"), "order")
+    return by_host.select("host", "structure", "shape").mapInArrow(_merged, schema).select("host", F.col("shape").alias("wrapper"))
 
 
 @functools.lru_cache(maxsize=256)
-def _wrapper(said: str) -> Shape:
-    return Shape.load(json.loads(said))
+def _wrapper(said: str) -> Wrapper:
+    return Wrapper(Shape.load(json.loads(said)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
