@@ -377,18 +377,40 @@ def content_root(t: Shape) -> Shape:
         t = best
 
 
-#: A node is template if it has the same text on so many distinct pages of a host, and on all that have it.
+#: A node is template if it has the same text on so many distinct pages of a host, and on all that have it. A node in a run
+#: of like siblings is so too if its text is on so many pages and on at least half of those with a node at its path of signs.
 TEMPLATE_PAGES = 4
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _slot(above: bytes, sign: str) -> bytes:
+    """A path of signs as a digest, from that of the path above."""
+    return hashlib.blake2b(sign.encode("utf-8", "surrogatepass"), key=above, digest_size=8).digest()
+
+
+def members(nodes: list[Node], start: bytes = b"") -> Iterator[tuple[Node, bytes]]:
+    """The nodes with text below these, but for asides, each with its slot."""
+    todo = [(n, start) for n in nodes]
+    while todo:
+        x, slot = todo.pop()
+        for k in x.children():
+            if k.tag not in VOID and not k.apart and k.chars:
+                below = _slot(slot, k.sign)
+                yield k, below
+                todo.append((k, below))
+
+
 class Wrapper:
-    """A host's wrapper, its content root, and for each structure of pages its alignment: shapes with the places of their counterparts."""
+    """A host's wrapper, its content root, and for each structure of pages its alignment: shapes with the places of their counterparts.
+
+    constant: slot and digest of the nodes that are template by their text, wherever they stand in a run.
+    """
 
     #: Alignments that a wrapper holds.
     MOST_ALIGNED = 256
 
-    def __init__(self, top: Shape):
-        self.top, self.root = top, content_root(top)
+    def __init__(self, top: Shape, constant: frozenset[bytes] = frozenset()):
+        self.top, self.root, self.constant = top, content_root(top), constant
         self.inside = {id(x) for x in self.root.every()}
         self.aligned: dict[str, list[tuple[Shape, int]]] = {}
 
@@ -404,7 +426,8 @@ class Wrapper:
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
     """A page's main text by its host's wrapper (None: by the page alone)."""
-    own = shape(parse(page or ""))
+    tree = parse(page or "")
+    own = shape(tree)
     if wrapper is None:
         return " ".join(x for n in content_root(own).nodes for x in blocks(n))
     counterpart, template = None, set()
@@ -413,8 +436,10 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
             counterpart = y
         elif id(x) in wrapper.inside and not x.varies and x.pages >= TEMPLATE_PAGES:
             template.update(id(n) for n in y.nodes)
+    if wrapper.constant:
+        template.update(id(n) for n, slot in members([tree]) if slot + n.digest in wrapper.constant)
     chosen = counterpart if counterpart and counterpart.chars else content_root(own)
-    found = [x for n in chosen.nodes for x in blocks(n, template)]
+    found = [x for n in chosen.nodes if id(n) not in template for x in blocks(n, template)]
     return " ".join(found or [x for n in chosen.nodes for x in blocks(n)])
 
 
@@ -431,18 +456,25 @@ def _fold(into: dict[tuple[str, str], Shape], host: str, other: Shape) -> None:
         into[key] = other
 
 
-#: Structures that a task holds before it hands them on.
-MOST_SHAPES = 2000
+#: Structures and texts of nodes that a task holds before it hands them on.
+MOST_SHAPES, MOST_TEXTS = 2000, 200_000
+
+_PARTS = "host string, structure string, shape string, slot binary, digest binary, pages bigint"
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows: shapes by host and structure; pages by host, slot and digest of a node (null: all with that slot)."""
     held: dict[tuple[str, str], Shape] = {}
+    texts: dict[tuple[str, bytes, bytes | None], int] = {}
     seen: set[tuple[str, bytes]] = set()
+    kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64())
 
     def out() -> pa.RecordBatch:
-        rows = [(h, s, json.dumps(x.dump())) for (h, s), x in held.items()]
+        rows = [(h, s, json.dumps(x.dump()), None, None, None) for (h, s), x in held.items()]
+        rows += [(h, None, None, slot, digest, n) for (h, slot, digest), n in texts.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["host", "structure", "shape"])
+        texts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _PARTS.split(", ")])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
@@ -450,10 +482,14 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             copy = (host, hashlib.blake2b((page or "").encode(), digest_size=12).digest())
             if page and copy not in seen:  # a page that occurs again says nothing about what is constant
                 seen.add(copy)
-                _fold(held, host, shape(parse(page)))
-        if len(held) > MOST_SHAPES:
-            yield out()
-    if held:
+                tree = parse(page)
+                _fold(held, host, shape(tree))
+                found = {(host, slot, n.digest) for n, slot in members([tree])}
+                for key in found | {(host, slot, None) for _, slot, _ in found}:
+                    texts[key] = texts.get(key, 0) + 1
+            if len(held) > MOST_SHAPES or len(texts) > MOST_TEXTS:
+                yield out()
+    if held or texts:
         yield out()
 
 
@@ -482,26 +518,40 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def constants(parts: DataFrame) -> DataFrame:
+    """(host, constant): slots and digests, in hex and joined, of the nodes whose text is template in a host's runs."""
+    counts = parts.where("slot is not null").groupBy("host", "slot", "digest").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
+    slots = counts.where("digest is null").select("host", "slot", F.col("pages").alias("of"))
+    kept = counts.where("digest is not null").join(slots, ["host", "slot"]).where("2 * pages >= of")
+    return kept.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.hex("slot"), F.hex("digest")))), " ").alias("constant"))
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) over all pages (url, html) with html, the wrapper as JSON.
+    """(host, wrapper) over all pages (url, html) with html, the wrapper as JSON and, on a second line, its constant nodes.
 
     Each task merges its pages by host and structure before anything is shuffled, so a hot host sends a few shapes from
-    each task; they are merged by structure first and then, across structures, by group of structures and by host.
+    each task; they are merged by structure first and then, across structures, by group of structures and by host. The
+    tasks' rows are written to the shared folder, since shapes and counts of texts are both made from them.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), "html")
+    path = fresh_path(pages.sparkSession, "shapes")
+    rows.mapInArrow(_shapes, _PARTS).write.parquet(path)
+    parts = pages.sparkSession.read.schema(_PARTS).parquet(path)
     schema = "host string, structure string, shape string"
-    shapes = rows.mapInArrow(_shapes, schema)
+    shapes = parts.where("shape is not null").select("host", "structure", "shape")
     by_structure = shapes.repartition("host", "structure").sortWithinPartitions("host", "structure", "shape").mapInArrow(_merged, schema)
     grouped = by_structure.withColumns({"order": F.col("structure"), "structure": F.pmod(F.xxhash64("structure"), F.lit(GROUPS)).cast("string")})
     by_group = grouped.repartition("host", "structure").sortWithinPartitions("host", "structure", F.length("order"), "order")
     merged = by_group.select("host", "structure", "shape").mapInArrow(_merged, schema).withColumns({"order": F.col("structure"), "structure": F.lit("")})
     by_host = merged.repartition("host").sortWithinPartitions("host", F.length("shape"), "order")
-    return by_host.select("host", "structure", "shape").mapInArrow(_merged, schema).select("host", F.col("shape").alias("wrapper"))
+    merged = by_host.select("host", "structure", "shape").mapInArrow(_merged, schema).join(constants(parts), "host", "left")
+    return merged.select("host", F.concat_ws("\n", "shape", "constant").alias("wrapper"))
 
 
 @functools.lru_cache(maxsize=256)
 def _wrapper(said: str) -> Wrapper:
-    return Wrapper(Shape.load(json.loads(said)))
+    top, _, constant = said.partition("\n")
+    return Wrapper(Shape.load(json.loads(top)), frozenset(map(bytes.fromhex, constant.split())))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

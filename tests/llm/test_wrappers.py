@@ -32,3 +32,16 @@ def test_wide_pages_of_many_layouts(spark):
     for i in range(8):
         assert all(words(f"{i}y{k}", 2) in got[i] for k in range(200) if (k + i) % 9)
         assert "Read it all again" not in got[i]
+
+
+def test_constant_blocks_in_varying_runs(spark):
+    """A notice among paragraphs of the same sign goes, also where their number differs and over many partitions; a rare repeat stays."""
+    def page(i):
+        body = [f"<p>{words(f'{i}y{k}', 8)}</p>" for k in range(1 + i % 4)]
+        body.insert(i % len(body), "<p>Subscribe to the letter.</p>")
+        return f"<body><div class=main><h1>Story {i}</h1>{''.join(body)}{'<p>To be or not to be.</p>' if i < 4 else ''}<p>Always the same line.</p></div></body>"
+
+    for parts in (1, 8):
+        got = texts(spark, [page(i) for i in range(16)], parts)
+        for i in range(16):
+            assert got[i] == " ".join([f"Story {i}", *(words(f"{i}y{k}", 8) for k in range(1 + i % 4)), *(["To be or not to be."] if i < 4 else [])])
