@@ -463,10 +463,9 @@ _PARTS = "host string, structure string, shape string, slot binary, digest binar
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two kinds of rows: shapes by host and structure; pages by host, slot and digest of a node (null: all with that slot)."""
+    """From distinct pages, two kinds of rows: shapes by host and structure; pages by host, slot and digest of a node (null: all with that slot)."""
     held: dict[tuple[str, str], Shape] = {}
     texts: dict[tuple[str, bytes, bytes | None], int] = {}
-    seen: set[tuple[str, bytes]] = set()
     kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64())
 
     def out() -> pa.RecordBatch:
@@ -479,14 +478,11 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
             page = page.as_py()
-            copy = (host, hashlib.blake2b((page or "").encode(), digest_size=12).digest())
-            if page and copy not in seen:  # a page that occurs again says nothing about what is constant
-                seen.add(copy)
-                tree = parse(page)
-                _fold(held, host, shape(tree))
-                found = {(host, slot, n.digest) for n, slot in members([tree])}
-                for key in found | {(host, slot, None) for _, slot, _ in found}:
-                    texts[key] = texts.get(key, 0) + 1
+            tree = parse(page)
+            _fold(held, host, shape(tree))
+            found = {(host, slot, n.digest) for n, slot in members([tree])}
+            for key in found | {(host, slot, None) for _, slot, _ in found}:
+                texts[key] = texts.get(key, 0) + 1
             if len(held) > MOST_SHAPES or len(texts) > MOST_TEXTS:
                 yield out()
     if held or texts:
@@ -529,11 +525,12 @@ def constants(parts: DataFrame) -> DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper) over all pages (url, html) with html, the wrapper as JSON and, on a second line, its constant nodes.
 
-    Each task merges its pages by host and structure before anything is shuffled, so a hot host sends a few shapes from
+    A host's copies of one page, which say nothing about what is constant, are first made one over the whole table. Then
+    each task merges its pages by host and structure before anything is shuffled, so a hot host sends a few shapes from
     each task; they are merged by structure first and then, across structures, by group of structures and by host. The
     tasks' rows are written to the shared folder, since shapes and counts of texts are both made from them.
     """
-    rows = pages.select(_host(F.col("url")).alias("host"), "html")
+    rows = pages.where("html <> ''").select(_host(F.col("url")).alias("host"), "html").distinct()
     path = fresh_path(pages.sparkSession, "shapes")
     rows.mapInArrow(_shapes, _PARTS).write.parquet(path)
     parts = pages.sparkSession.read.schema(_PARTS).parquet(path)

@@ -45,3 +45,12 @@ def test_constant_blocks_in_varying_runs(spark):
         got = texts(spark, [page(i) for i in range(16)], parts)
         for i in range(16):
             assert got[i] == " ".join([f"Story {i}", *(words(f"{i}y{k}", 8) for k in range(1 + i % 4)), *(["To be or not to be."] if i < 4 else [])])
+
+
+def test_copies_count_once_at_every_partitioning(spark):
+    """Six copies of a page, the only one of its host with a heading and a list, in one task or in eight."""
+    special = f"<body><div class=main><p>{words(0)}</p><h2>Only here</h2><ul><li>{words('li')}</li></ul></div></body>"
+    pages = [special] * 6 + [f"<body><div class=main><p>{words(i)}</p></div></body>" for i in range(1, 5)]
+    one, many = texts(spark, pages, 1), texts(spark, pages, 8)
+    assert one == many
+    assert all(many[i] == f"{words(0)} Only here {words('li')}" for i in range(6))
