@@ -115,37 +115,23 @@ _BARE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}(?:\s+dot
 _SIGN_AT = re.compile(rf"([A-Za-z0-9._%+-]+)(\s*@\s*)({_LABEL}(?:(?:{_DOT}|\s+\.\s+){_LABEL}){{1,4}})(?![A-Za-z0-9-])", re.I)
 _SPACED_DOT = re.compile(r"\s+(?:dot|\.)\s+", re.I)
 _LOOKS_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[\x20-]?[0-9])")
-_ODD = re.compile(rf"[{''.join(map(re.escape, HOMOGLYPHS))}{INVISIBLE}！-～\U0001d400-\U0001d7ff]")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
-_DIGIT_LIKE = re.compile(r"[0-9][oil][\x20-]?[0-9]")
-#: A spelled digit before another digit; each begins with a literal, which is searched for fast.
-_PAIRS = {w: re.compile(rf"{w}(?<![a-z0-9]{w})[\s,.-]+(?:{_WORD}|[0-9])") for w in (*DIGIT_WORDS, *_TIMES)}
-_SPELLED_DOT = re.compile(r"dot(?<![a-z0-9]dot)(?![a-z0-9])")
-
-
-def disguised(text: str) -> bool:
-    """Whether anything in the text calls for the transducers: cheap searches only."""
-    low = text.lower()
-    return bool(
-        not text.isascii() and _ODD.search(text)
-        or any(c in text for c in "[({<") and _BRACKETED.search(low)
-        or "dot" in low and _SPELLED_DOT.search(low)
-        or " @" in text or "@ " in text
-        or _DIGIT_LIKE.search(low)
-        or any(w in low and p.search(low) for w, p in _PAIRS.items())
-    )
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
+_SPACED_WORD_DOT = re.compile(r"\sdot\s", re.I)
 
 
 class Traced:
-    """A text whose every character knows the source span it came from."""
+    """A text whose every character knows the source span it came from. Until the first change, that is its own place."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts, self.ends = text, None, None
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Puts each string in place of its [start, end), in order and without overlap; its characters share that source span."""
+        edits = [x for x in edits if self.text[x[0] : x[1]] != x[2]]
         if not edits:
             return
+        if self.starts is None:
+            self.starts, self.ends = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         text, starts, ends, at = [], [], [], 0
         for s, e, new in edits:
             text += [self.text[at:s], new]
@@ -156,7 +142,7 @@ class Traced:
         self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
 
     def source(self, start: int, end: int) -> Span:
-        return self.starts[start], self.ends[end - 1]
+        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
 
 @functools.cache
@@ -171,7 +157,9 @@ def _plain(c: str) -> str:
 
 def fold_characters(t: Traced) -> None:
     if not t.text.isascii():
-        t.rewrite([(i, i + 1, p) for i, c in enumerate(t.text) if c > "\x7f" and (p := _plain(c)) != c])
+        odd = {c: p for c in set(t.text) if c > "\x7f" and (p := _plain(c)) != c}
+        if odd:
+            t.rewrite([(i, i + 1, odd[c]) for i, c in enumerate(t.text) if c in odd])
     t.rewrite([(m.start(), m.end(), "0" if m.group() in "Oo" else "1") for m in _LOOKS_DIGIT.finditer(t.text)])
 
 
@@ -188,10 +176,16 @@ def fold_digits(t: Traced) -> None:
 
 
 def fold_disguises(t: Traced) -> None:
-    t.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(t.text)])
-    t.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(t.text)])
-    t.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(t.text)])
-    for pattern in (_SIGN_AT, _BARE_AT):
+    """Each pattern runs where what it cannot match without is in the text as folded so far."""
+    if _BRACKETED.search(t.text):
+        t.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(t.text)])
+        t.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(t.text)])
+    spelled = _SPACED_WORD_DOT.search(t.text)
+    if spelled:
+        t.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(t.text)])
+    for pattern, needed in ((_SIGN_AT, "@" in t.text), (_BARE_AT, spelled)):
+        if not needed:
+            continue
         edits = []
         for m in pattern.finditer(t.text):
             for part, sign in ((1, "."), (2, "@"), (3, ".")):
@@ -204,8 +198,6 @@ def fold_disguises(t: Traced) -> None:
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The base spans, and those of the deobfuscated text that no base span of their kind holds already."""
-    if not disguised(text):
-        return base
     t = Traced(text)
     for step in (fold_characters, fold_digits, fold_disguises):
         step(t)
