@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as graphs
-from ..operators import risk
+from ..operators import risk, trials
+from ..sources.storage import shared_path
 from . import kernels
 from .kernels import Graph, Hallucination, Layers
 
@@ -242,33 +243,35 @@ def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
     return book, log
 
 
-def run_trials(grid: DataFrame, packed: DataFrame, window: int, base: Training = Training(), most_graphs: int = 64) -> DataFrame:
-    """(trial_id, mode, eval_g_pos, eval_g_neg, eval_sep, eval_acc): each row of `grid` is one task that trains and tests a model.
+def run_trials(grid: DataFrame, packed: DataFrame, window: int, base: Training = Training()) -> DataFrame:
+    """(trial_id, mode, eval_g_pos, eval_g_neg, eval_sep, eval_acc) of each row of `grid`: a model trained on four fifths of all graphs, tested on the rest.
 
-    grid's columns beside trial_id, seed and mode name fields of Training. Every trial learns from the same `most_graphs`
-    graphs at most, chosen by a hash of their date (a documented bound: it is what a trial's task holds); a fifth is held out.
+    grid's columns beside trial_id, seed and mode name fields of Training. All trials share one split. Models are trained
+    one after another as by `train`; one pass over the graphs held out tests them all. A single graph is both trained and tested on.
     """
-    few = packed.orderBy(F.xxhash64("date"), "date").limit(most_graphs).toPandas()
-    held = [(r.date, _graph(r)) for r in few.itertuples()]
+    spark, path = packed.sparkSession, shared_path(packed.sparkSession, "split")
+    trials.split(packed.select("date"), 0.2, key="date").write.parquet(path)
+    parts = spark.read.parquet(path)
+    known = {r["part"] for r in parts.select("part").distinct().collect()}
+    learned, held = (packed.join(parts.where(F.col("part") == part), "date", "left_semi") if part in known else packed for part in ("train", "eval"))
+    first = packed.select(F.size(F.col("x")[0]).alias("width")).first()
     names = [c for c in grid.columns if c not in ("trial_id", "seed", "mode")]
-
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        t = trial.iloc[0]
+    models = []
+    for t in grid.orderBy("trial_id").collect():  # the plan of trials
         c = dataclasses.replace(base, style=t["mode"], seed=int(t["seed"]), **{k: type(getattr(base, k))(t[k]) for k in names})
-        cut = max(1, int(len(held) * 0.8))
-        layers, head, adam = kernels.new_layers(held[0][1].x.shape[1], c.hidden, c.layers, c.seed), np.zeros(c.hidden + 1), kernels.Adam(c.lr)
-        for epoch in range(1, c.epochs + 1):
-            steps = [_graph_step(layers, head, g, c, window, _rng(c.seed * 1000 + epoch, d), epoch) for d, g in held[:cut]]
-            grads, d_head = _unflat(np.mean([_flat(s[1], s[2]) for s in steps], axis=0), layers)
-            grads, adam.t = kernels.clipped(grads, c.clip), adam.t + 1
-            layers = [(adam.step((i, 0), w, dw), adam.step((i, 1), b, db)) for i, ((w, b), (dw, db)) in enumerate(zip(layers, grads))]
-            head = adam.step("head", head, d_head)
-        pos, neg = [], []
-        for d, g in held[cut:] or held:
-            bad = kernels.negative(g.x, "shuffle", window, c.noise, _rng(c.seed, d))
-            pos.append(kernels.goodness(kernels.forward(layers, g, g.x)[-1][1], c.temperature)[0])
-            neg.append(kernels.goodness(kernels.forward(layers, g, bad)[-1][1], c.temperature)[0])
-        acc = (np.sum(np.array(pos) > c.target) + np.sum(np.array(neg) <= c.target)) / (2 * len(pos))
-        return pd.DataFrame({"trial_id": [t["trial_id"]], "mode": [t["mode"]], "eval_g_pos": [np.mean(pos)], "eval_g_neg": [np.mean(neg)], "eval_sep": [np.mean(pos) - np.mean(neg)], "eval_acc": [acc]})
-
-    return grid.groupBy("trial_id").applyInPandas(run, "trial_id int, mode string, eval_g_pos double, eval_g_neg double, eval_sep double, eval_acc double")
+        models.append((t["trial_id"], t["mode"], c, train(learned, window, first["width"] if first else 0, c)[0]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                g = _graph(r)
+                for trial, mode, c, layers in models:
+                    bad = kernels.negative(g.x, "shuffle", window, c.noise, _rng(c.seed, r.date))
+                    pos, neg = (kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, bad))
+                    rows.append((trial, mode, pos, neg, int(pos > c.target) + int(neg <= c.target)))
+            yield pd.DataFrame(rows, columns=["trial_id", "mode", "pos", "neg", "right"])
+
+    tested = held.mapInPandas(run, "trial_id int, mode string, pos double, neg double, right int").groupBy("trial_id", "mode")
+    found = tested.agg(F.avg("pos").alias("eval_g_pos"), F.avg("neg").alias("eval_g_neg"), (F.sum("right") / (2 * F.count("*"))).alias("eval_acc"))
+    return found.select("trial_id", "mode", "eval_g_pos", "eval_g_neg", (F.col("eval_g_pos") - F.col("eval_g_neg")).alias("eval_sep"), "eval_acc")
