@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once for each row.
+
+    A column that a lambda mentions is otherwise computed again for each element, and the optimizer puts a value from
+    an earlier projection back into the lambda; a lambda's own variable stays one.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -18,30 +29,43 @@ def mean(a: Column) -> Column:
 
 
 def deviation(a: Column, ddof: int = 0) -> Column:
-    m = mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.nullif(F.size(a) - ddof, F.lit(0)))
+    squares = bound(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.sqrt(squares / F.nullif(F.size(a) - ddof, F.lit(0)))
 
 
 def centred(a: Column) -> Column:
-    m = mean(a)
-    return F.transform(a, lambda x: x - m)
+    return bound(mean(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def scaled(a: Column, ddof: int = 0, eps: float = EPS) -> Column:
+    """The centred values over their own deviation."""
+
+    def over(c: Column) -> Column:
+        spread = F.sqrt(dot(c, c) / F.nullif(F.size(c) - ddof, F.lit(0))) + eps
+        return bound(spread, lambda s: F.transform(c, lambda x: x / s))
+
+    return bound(centred(a), over)
+
+
 def z_score(a: Column) -> Column:
-    m, s = mean(a), deviation(a)
-    return F.transform(a, lambda x: (x - m) / (s + EPS))
+    return scaled(a)
 
 
 def rsi(a: Column, period: int) -> Column:
     """Relative strength, 0 to 100, from plain means of the last `period` gains and losses (all, if fewer)."""
     last = F.slice(a, -F.least(F.lit(period), F.size(a)), F.least(F.lit(period), F.size(a)))
-    gain = mean(F.transform(last, lambda x: F.greatest(x, F.lit(0.0))))
-    loss = mean(F.transform(last, lambda x: F.greatest(-x, F.lit(0.0))))
-    return 100.0 - 100.0 / (1.0 + gain / (loss + EPS))
+    # One pass: the sums of gains and losses; their common count is divided away but for the guard.
+    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct((s["up"] + F.greatest(x, F.lit(0.0))).alias("up"), (s["down"] + F.greatest(-x, F.lit(0.0))).alias("down"))
+
+    n = F.nullif(F.least(F.lit(period), F.size(a)), F.lit(0))
+    return F.aggregate(last, start, step, lambda s: 100.0 - 100.0 / (1.0 + (s["up"] / n) / (s["down"] / n + EPS)))
 
 
 def time_flip(a: Column, window: int) -> Column:

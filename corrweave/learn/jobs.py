@@ -7,6 +7,7 @@ length of the history. Work is spread over graphs; only weights and their summed
 from __future__ import annotations
 
 import dataclasses
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as graphs
 from ..operators import risk, trials
-from ..sources.storage import shared_path
+from ..sources.storage import stored
 from . import kernels
 from .kernels import Graph, Hallucination, Layers
 
 PACKED = "date date, tickers array<string>, x array<array<double>>, src array<int>, dst array<int>, corr array<double>, weight array<double>, ret_mean array<double>, ret_std array<double>"
 
 
-def edge_table(windows: DataFrame, k: int = 5, mode: str = "abs", norm: bool = True, matrix: bool = False) -> DataFrame:
+def edge_table(windows: DataFrame, k: int = 5, mode: str = "abs", norm: bool = True, matrix: bool = True) -> DataFrame:
     """(date, src, dst, corr, weight, edge_weight) of the top-k graph; without norm the edge weight is the weight."""
     edges = graphs.topk_edges(windows, k, matrix=matrix).withColumn("weight", graphs.edge_weight(F.col("corr"), mode))
     return graphs.gcn_norm(edges) if norm else edges.withColumn("edge_weight", F.col("weight"))
@@ -80,7 +81,13 @@ def hallucinate(packed: DataFrame, layers: Layers, config: Hallucination = Hallu
 
 @dataclasses.dataclass(frozen=True)
 class Training:
-    """How a model is trained. style: e2e, layerwise, multiscale or backprop (a supervised head on pooled nodes)."""
+    """How a model is trained. style: e2e, layerwise, multiscale or backprop (a supervised head on pooled nodes).
+
+    negative: a mode of `kernels.negative`, `hallucinate`, `schedule` (shuffled until `warmup`, then hallucinated) or `mix`
+    (after it hallucinated with a chance that goes from mix_start to mix_end over `ramp` epochs). curriculum: fields of the
+    hallucination with their first and last value, moved over curriculum_ramp epochs from curriculum_start. risk_weight:
+    of the loss (huber or mse) of a linear head on the pooled nodes against each graph's target; not for layerwise.
+    """
 
     style: str = "e2e"
     hidden: int = 32
@@ -93,6 +100,15 @@ class Training:
     negative: str = "shuffle"
     noise: float = 0.05
     warmup: int = 1
+    mix_start: float = 0.0
+    mix_end: float = 1.0
+    ramp: int = 5
+    curriculum: tuple[tuple[str, float, float], ...] = ()
+    curriculum_start: int = 1
+    curriculum_ramp: int = 1
+    dropout: float = 0.0
+    risk_weight: float = 0.1
+    risk_kind: str = "huber"
     hallucination: Hallucination = Hallucination(steps=3)
     gate_margin: float | None = None
     energy: float = 0.0
@@ -100,16 +116,30 @@ class Training:
     seed: int = 7
 
 
+    def at(self, epoch: int) -> Hallucination:
+        """The hallucination's settings in an epoch: whole numbers half to even and at least 1, shares within 0 and 1."""
+        t = 0.0 if epoch < self.curriculum_start else min(1.0, (epoch - self.curriculum_start) / max(1, self.curriculum_ramp))
+        now: dict[str, float] = {name: a + t * (b - a) for name, a, b in self.curriculum}
+        now |= {k: max(1, round(now[k])) for k in ("steps", "node_min") if k in now}
+        now |= {k: min(1.0, max(0.0, now[k])) for k in ("node_fraction",) if k in now}
+        return dataclasses.replace(self.hallucination, temperature=self.temperature, **now)
+
+    def hallucinated(self, epoch: int) -> float:
+        """The chance of a hallucinated negative in an epoch of `mix`."""
+        progress = min(1.0, (epoch - self.warmup) / max(1, self.ramp))
+        return 0.0 if epoch <= self.warmup else self.mix_start + progress * (self.mix_end - self.mix_start)
+
+
 def _negatives_of(g: Graph, layers: Layers, c: Training, window: int, rng: np.random.Generator, epoch: int) -> list[np.ndarray]:
     mode = c.negative
     if mode == "schedule":
         mode = "shuffle" if epoch <= c.warmup else "hallucinate"
     elif mode == "mix":
-        mode = "hallucinate" if epoch > c.warmup and rng.random() < min(1.0, (epoch - c.warmup) / max(1, c.epochs)) else "shuffle"
+        mode = "hallucinate" if rng.random() < c.hallucinated(epoch) else "shuffle"
     if mode != "hallucinate":
         found = kernels.negative(g.x, mode, window, c.noise, rng)
     else:
-        found = kernels.hallucinate(layers, g, c.hallucination, rng)
+        found = kernels.hallucinate(layers, g, c.at(epoch), rng)
         if c.gate_margin is not None:  # a negative that is far better than the real one teaches nothing yet
             good = [kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, found)]
             if good[1] > good[0] + c.gate_margin:
@@ -120,12 +150,13 @@ def _negatives_of(g: Graph, layers: Layers, c: Training, window: int, rng: np.ra
 def _graph_step(layers: Layers, head: np.ndarray, g: Graph, c: Training, window: int, rng: np.random.Generator, epoch: int) -> tuple[np.ndarray, Layers, np.ndarray]:
     """(loss, g_pos, g_neg), gradients of the layers, gradient of the head."""
     bad = _negatives_of(g, layers, c, window, rng, epoch)
+    drop = kernels.Dropout(c.dropout, rng) if c.dropout > 0 else None
     if c.style != "backprop":
-        told, grads = kernels.ff_step(layers, g, bad, c.target, c.temperature, c.style, c.energy)
+        told, grads = kernels.ff_step(layers, g, bad, c.target, c.temperature, c.style, c.energy, drop)
         return told, grads, np.zeros_like(head)
     sums, d_head, loss = None, np.zeros_like(head), 0.0
     for x, y in ((g.x, 1.0), (bad[0], 0.0)):
-        value, grads, dw, db = kernels.pooled_step(layers, (head[:-1], head[-1]), g, x, y, "bce")
+        value, grads, dw, db = kernels.pooled_step(layers, (head[:-1], head[-1]), g, x, y, "bce", drop)
         loss, d_head = loss + value / 2, d_head + np.append(dw, db) / 2
         sums = [(w / 2, b / 2) for w, b in grads] if sums is None else [(w + dw2 / 2, b + db2 / 2) for (w, b), (dw2, db2) in zip(sums, grads)]
     good = [kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, bad[0])]
@@ -144,15 +175,36 @@ def _unflat(flat: np.ndarray, like: Layers) -> tuple[Layers, np.ndarray]:
     return out, flat[at:]
 
 
-def train(packed: DataFrame, window: int, width: int, c: Training = Training()) -> tuple[Layers, list[dict]]:
-    """A model, and what each epoch told: loss, g_pos, g_neg. One Spark job for each batch of an epoch.
+def train(packed: DataFrame, window: int, width: int, c: Training = Training(), targets: DataFrame | None = None) -> tuple[Layers, list[dict]]:
+    """A model, and what each epoch told: loss, g_pos, g_neg, risk_loss (null without a risk head). One Spark job for each batch of an epoch.
 
     Every task sums its graphs' gradients into one row; the rows, as many as tasks, meet in one aggregate as long as the model.
     Graphs are dealt to batches by a hash of their date. Read `packed` from a table or cache it: each job scans it.
+    targets (date, target): what the risk head learns; graphs without one, or with one that isn't finite, leave it alone.
     """
-    layers, head, adam, log = kernels.new_layers(width, c.hidden, c.layers, c.seed), np.zeros(c.hidden + 1), kernels.Adam(c.lr), []
+    layers, head, log, _ = _trained(packed, window, width, c, targets)
+    return layers, log
+
+
+def train_with_head(packed: DataFrame, window: int, width: int, c: Training = Training(), targets: DataFrame | None = None) -> tuple[Layers, np.ndarray, list[dict]]:
+    """As `train`, with the linear head's weights and bias: that of the risk, or of the labels for backprop."""
+    layers, head, log, _ = _trained(packed, window, width, c, targets)
+    return layers, head, log
+
+
+def _risk_step(layers: Layers, head: np.ndarray, g: Graph, target: float, c: Training) -> tuple[float, Layers, np.ndarray]:
+    loss, grads, dw, db = kernels.pooled_step(layers, (head[:-1], head[-1]), g, g.x, target, c.risk_kind)
+    return loss, grads, np.append(dw, db)
+
+
+def _trained(packed: DataFrame, window: int, width: int, c: Training, targets: DataFrame | None) -> tuple[Layers, np.ndarray, list[dict], list[tuple[float, int]]]:
+    """Layers, head, log, and for each epoch its seconds and graphs."""
+    risk = targets is not None and c.style in ("e2e", "multiscale")
+    if risk:  # one row a graph on either side
+        packed = stored(packed.join(targets.select("date", F.col("target").alias("risk_target")), "date", "left"), "with-targets")
+    layers, head, adam, log, took = kernels.new_layers(width, c.hidden, c.layers, c.seed), np.zeros(c.hidden + 1), kernels.Adam(c.lr), [], []
     for epoch in range(1, c.epochs + 1):
-        told = []
+        told, began, risks = [], time.perf_counter(), []
         for batch in range(c.batches):
             now = (layers, head)
 
@@ -160,8 +212,15 @@ def train(packed: DataFrame, window: int, width: int, c: Training = Training())
                 total, n = None, 0
                 for b in batches:
                     for r in b.itertuples():
-                        said, grads, d_head = _graph_step(*now, _graph(r), c, window, _rng(c.seed * 1000 + epoch, r.date), epoch)
+                        g = _graph(r)
+                        said, grads, d_head = _graph_step(*now, g, c, window, _rng(c.seed * 1000 + epoch, r.date), epoch)
                         row = np.concatenate((said, _flat(grads, d_head)))
+                        if risk:  # the risk's sums stand behind, since they are divided by another count
+                            aside = np.zeros(2 + len(row) - 3)
+                            if r.risk_target is not None and np.isfinite(r.risk_target):
+                                loss, grads, d_head = _risk_step(*now, g, r.risk_target, c)
+                                aside = np.concatenate(([1.0, loss], _flat(grads, d_head)))
+                            row = np.concatenate((row, aside))
                         total, n = row if total is None else total + row, n + 1
                 if n:
                     yield pd.DataFrame({"n": [n], "sums": [total.tolist()]})
@@ -171,16 +230,62 @@ def train(packed: DataFrame, window: int, width: int, c: Training = Training())
             found = rows.groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("at").collect()  # as long as the model
             if not found:
                 continue
-            mean = np.array([r["v"] for r in found]) / found[0]["n"]
+            sums, size = np.array([r["v"] for r in found]), len(_flat(layers, head))
+            mean = sums[: 3 + size] / found[0]["n"]
+            if risk and (known := sums[3 + size]) > 0:
+                mean[0] += c.risk_weight * sums[4 + size] / known
+                mean[3:] += c.risk_weight * sums[5 + size :] / known
+                risks.append((sums[4 + size] / known, known))
             grads, d_head = _unflat(mean[3:], layers)
             grads, adam.t = kernels.clipped(grads, c.clip), adam.t + 1
             layers = [(adam.step((i, 0), w, dw), adam.step((i, 1), b, db)) for i, ((w, b), (dw, db)) in enumerate(zip(layers, grads))]
-            head = adam.step("head", head, d_head) if c.style == "backprop" else head
+            head = adam.step("head", head, d_head) if c.style == "backprop" or risk else head
             told.append((found[0]["n"], mean[:3]))
         if told:
             at = np.average([m for _, m in told], axis=0, weights=[n for n, _ in told])
-            log.append({"epoch": epoch, "loss": float(at[0]), "g_pos": float(at[1]), "g_neg": float(at[2])})
-    return layers, log
+            risk_loss = float(np.average([x for x, _ in risks], weights=[n for _, n in risks])) if risks else None
+            log.append({"epoch": epoch, "loss": float(at[0]), "g_pos": float(at[1]), "g_neg": float(at[2]), "risk_loss": risk_loss})
+            took.append((time.perf_counter() - began, int(sum(n for n, _ in told))))
+    return layers, head, log, took
+
+
+def benchmark(packed: DataFrame, window: int, width: int, base: Training = Training(), modes: tuple[str, ...] = ("layerwise", "e2e", "backprop"), warmup: int = 1) -> DataFrame:
+    """(mode, avg_epoch_s, graphs_per_s, eval_acc, eval_bce, eval_g_neg, eval_g_pos, eval_sep): each style trained on four fifths, timed after the warm-up epochs, tested on the rest.
+
+    eval_acc is the share of graphs on their own side: of the target by goodness, or of the head's label for backprop;
+    eval_bce is the head's and null elsewhere. Negatives of the test are shuffled nodes.
+    """
+    packed = stored(packed, "packed")
+    parts = stored(trials.split(packed.select("date"), 0.2, key="date"), "split")
+    learned, held = (packed.join(parts.where(F.col("part") == part), "date", "left_semi") for part in ("train", "eval"))
+    learned, held = stored(learned, "train"), stored(held, "eval")
+    rows = []
+    for mode in modes:
+        c = dataclasses.replace(base, style=mode)
+        layers, head, _, took = _trained(learned, window, width, c, None)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for r in b.itertuples():
+                    g = _graph(r)
+                    bad = kernels.negative(g.x, "shuffle", window, c.noise, _rng(c.seed, r.date))
+                    last = [kernels.forward(layers, g, x)[-1][1] for x in (g.x, bad)]
+                    pos, neg = (kernels.goodness(h, c.temperature)[0] for h in last)
+                    z = [float(h.mean(axis=0) @ head[:-1] + head[-1]) for h in last]
+                    right = int(z[0] > 0) + int(z[1] <= 0) if mode == "backprop" else int(pos > c.target) + int(neg <= c.target)
+                    bce = float(np.logaddexp(0, -z[0]) + np.logaddexp(0, z[1])) / 2 if mode == "backprop" else None
+                    out.append((pos, neg, right, bce))
+                yield pd.DataFrame(out, columns=["pos", "neg", "right", "bce"])
+
+        tested = held.mapInPandas(run, "pos double, neg double, right int, bce double")
+        told = tested.agg(F.avg("pos").alias("p"), F.avg("neg").alias("n"), (F.sum("right") / (2 * F.count("*"))).alias("acc"), F.avg("bce").alias("bce")).first()
+        late = took[warmup:] or took
+        seconds = sum(s for s, _ in late) / max(1, len(late))
+        rate = sum(n for _, n in late) / max(1e-9, sum(s for s, _ in late))
+        sep = told["p"] - told["n"] if told["p"] is not None else None
+        rows.append((mode, seconds, rate, told["acc"], told["bce"], told["n"], told["p"], sep))
+    return packed.sparkSession.createDataFrame(rows, "mode string, avg_epoch_s double, graphs_per_s double, eval_acc double, eval_bce double, eval_g_neg double, eval_g_pos double, eval_sep double")
 
 
 def model_table(spark, layers: Layers) -> DataFrame:
@@ -214,6 +319,10 @@ def scenario_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
     return packed.where(F.array_contains("tickers", ticker)).mapInPandas(run, "date date, ticker string, real array<double>, halluc array<double>")
 
 
+# How far a scenario book's controller moves the settings of its synthetic windows.
+BOUNDS = {"lr": (0.001, 0.5), "l2_weight": (0.001, 0.2), "mean_weight": (0.001, 0.2), "std_weight": (0.001, 0.2), "corr_weight": (0.01, 1.0)}
+
+
 def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, target: float, config: Hallucination = Hallucination(), weight: float = 10.0, tolerance: float = 0.01, hit_rate: float = 0.6, attempts: int = 4, seed: int = 0) -> tuple[DataFrame, list[dict]]:
     """A scenario book whose settings follow its hit rate, and what each attempt told. One job for each attempt.
 
@@ -221,21 +330,21 @@ def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
     """
     log, book = [], None
     for attempt in range(1, attempts + 1):
-        book = scenario_book(packed, layers, window, ticker, target, config, weight, seed=seed)
+        # Each attempt is written once: its diagnosis and, of the last, the caller read the table.
+        book = stored(scenario_book(packed, layers, window, ticker, target, config, weight, seed=seed), "book")
         diag = risk.scenario_diagnostics(book.where(F.col("ticker") == ticker), target)
         told = risk.hit_summary(diag, tolerance).first().asDict()
         log.append({"attempt": attempt, "weight": weight, **told})
         if not told["n"] or told["hit_rate"] >= hit_rate:
             break
         before = (weight, config)
-        bounds = {"lr": (0.001, 0.5), "l2_weight": (0.001, 0.2), "mean_weight": (0.001, 0.2), "std_weight": (0.001, 0.2), "corr_weight": (0.01, 1.0)}
         if abs(told["mean_diff"]) <= tolerance:
             config = dataclasses.replace(config, steps=min(config.steps + 1, 60), lr=min(config.lr * 1.05, 0.5))
         else:
             up = told["mean_diff"] > tolerance
             weight = min(weight * 1.5, 1000.0) if up else max(weight / 1.5, 1.0)
             scale = {"lr": 1.2, **{k: 0.8 for k in ("l2_weight", "mean_weight", "std_weight", "corr_weight")}}
-            moved = {k: float(np.clip(getattr(config, k) * (s if up else 1 / s), *bounds[k])) for k, s in scale.items()}
+            moved = {k: float(np.clip(getattr(config, k) * (s if up else 1 / s), *BOUNDS[k])) for k, s in scale.items()}
             step = 1 if up else -1
             config = dataclasses.replace(config, **moved, steps=int(np.clip(config.steps + 5 * step, 1, 60)), node_fraction=float(np.clip(config.node_fraction + 0.1 * step, 0.1, 1.0)), clamp_std=float(np.clip((config.clamp_std or 3.0) + 0.5 * step, 1.0, 6.0)))
         if (weight, config) == before:
@@ -249,11 +358,10 @@ def run_trials(grid: DataFrame, packed: DataFrame, window: int, base: Training =
     grid's columns beside trial_id, seed and mode name fields of Training. All trials share one split. Models are trained
     one after another as by `train`; one pass over the graphs held out tests them all. A single graph is both trained and tested on.
     """
-    spark, path = packed.sparkSession, shared_path(packed.sparkSession, "split")
-    trials.split(packed.select("date"), 0.2, key="date").write.parquet(path)
-    parts = spark.read.parquet(path)
+    parts = stored(trials.split(packed.select("date"), 0.2, key="date"), "split")
     known = {r["part"] for r in parts.select("part").distinct().collect()}
     learned, held = (packed.join(parts.where(F.col("part") == part), "date", "left_semi") if part in known else packed for part in ("train", "eval"))
+    learned, held = stored(learned, "train"), stored(held, "eval")
     first = packed.select(F.size(F.col("x")[0]).alias("width")).first()
     names = [c for c in grid.columns if c not in ("trial_id", "seed", "mode")]
     models = []

@@ -19,10 +19,8 @@ def corr_pairs(windows: DataFrame) -> DataFrame:
 
     Windows (date, ticker, w) are centred and scaled once for each node, before the join on date.
     """
-    # From the centred values the deviation and then each scaled value follow; 0 / EPS stays 0 for a flat window.
-    centred = windows.select("date", "ticker", arrays.centred(F.col("w")).alias("c"))
-    spread = F.sqrt(arrays.dot(F.col("c"), F.col("c")) / F.size("c")) + arrays.EPS
-    scaled = centred.select("date", "ticker", "c", spread.alias("s")).select("date", "ticker", F.transform("c", lambda x: x / F.col("s")).alias("z"))
+    # 0 / EPS stays 0 for a flat window.
+    scaled = windows.select("date", "ticker", arrays.scaled(F.col("w")).alias("z"))
     left = scaled.select("date", F.col("ticker").alias("src"), F.col("z").alias("a"))
     right = scaled.select("date", F.col("ticker").alias("dst"), F.col("z").alias("b"))
     pairs = left.join(right, "date").where("src < dst")
@@ -68,10 +66,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select("date", F.col("dst").alias("src"), F.col("src").alias("dst"), "corr"))
 
 
-def topk_edges(windows: DataFrame, k: int, symmetric: bool = True, matrix: bool = False) -> DataFrame:
+def topk_edges(windows: DataFrame, k: int, symmetric: bool = True, matrix: bool = True) -> DataFrame:
     """(date, src, dst, corr): each node's k strongest partners by size of correlation, ties to the smaller ticker; symmetric adds the way back.
 
-    With `matrix` the partners come from `strongest_pairs`; the edges are the same up to rounding.
+    The partners come from `strongest_pairs`, so that k rows a node are shuffled and not all pairs. Without `matrix` all
+    pairs of a date are made and ranked by expressions alone; the edges are the same up to rounding.
     """
     if matrix:
         picked = strongest_pairs(windows, k)
@@ -118,9 +117,7 @@ def edge_corr_loss(edges: DataFrame, nodes: DataFrame, target: str = "corr") ->
 
     Features are centred and scaled over each node's whole vector, with a sample deviation.
     """
-    scaled = nodes.select("date", "ticker", arrays.centred(F.col("x")).alias("c"))
-    spread = F.sqrt(arrays.dot(F.col("c"), F.col("c")) / (F.size("c") - 1)) + 1e-6
-    scaled = scaled.select("date", "ticker", "c", spread.alias("s")).select("date", "ticker", F.transform("c", lambda v: v / F.col("s")).alias("z"))
+    scaled = nodes.select("date", "ticker", arrays.scaled(F.col("x"), 1, 1e-6).alias("z"))
     rows = edges.join(scaled.select("date", F.col("ticker").alias("src"), F.col("z").alias("a")), ["date", "src"]).join(scaled.select("date", F.col("ticker").alias("dst"), F.col("z").alias("b")), ["date", "dst"])
     off = arrays.mean(F.zip_with("a", "b", lambda x, y: x * y)) - F.col(target)
     return rows.groupBy("date").agg(F.avg(off * off).alias("loss"))

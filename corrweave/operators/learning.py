@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -12,9 +12,8 @@ def goodness(nodes: DataFrame, temperature: float | Column = 1.0, by: tuple[str,
     """(by, goodness): temperature times the log of summed exponentials of each node's mean square over it, shifted by the largest."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
     energy = arrays.mean(F.transform(vector, lambda v: v * v))
-    rows = nodes.select(*by, energy.alias("e"), t.alias("t"))
-    top = rows.groupBy(*by).agg(F.max("e").alias("top"))
-    rows = rows.join(top, list(by))
+    # One shuffle: the largest is taken over the same partitioning that the sum then uses; a group is one date's nodes.
+    rows = nodes.select(*by, energy.alias("e"), t.alias("t")).withColumn("top", F.max("e").over(Window.partitionBy(*by)))
     return rows.groupBy(*by).agg((F.first("top") + F.first("t") * F.ln(F.sum(F.exp((F.col("e") - F.col("top")) / F.col("t"))))).alias("goodness"))
 
 

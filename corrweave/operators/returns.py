@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 def calendar(prices: DataFrame) -> DataFrame:
     """(date, date_idx) of every date with a row, from 0. One row for each date, so the one window over all is small."""
+    if "date_idx" in prices.columns:
+        return prices.select("date", "date_idx").distinct()
     dates = prices.select("date").where("date is not null").distinct()
     return dates.withColumn("date_idx", F.row_number().over(Window.orderBy("date")) - 1)
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
-    """(date, ticker, ret, volume) for each row of prices (date, ticker, price, volume): the log of the price over that of the calendar's date before.
+    """(date, date_idx, ticker, ret, volume) for each row of prices (date, ticker, price, volume): the log of the price over that of the calendar's date before.
 
     Null where the ticker lacks that date or either price isn't positive.
     """
@@ -26,7 +28,7 @@ def log_returns(prices: DataFrame) -> DataFrame:
     by_ticker = Window.partitionBy("ticker").orderBy("date_idx")
     before, idx = F.lag("price").over(by_ticker), F.lag("date_idx").over(by_ticker)
     ret = F.when((F.col("date_idx") - idx == 1) & (F.col("price") > 0) & (before > 0), F.ln(F.col("price") / before))
-    return rows.select("date", "ticker", ret.alias("ret"), "volume")
+    return rows.select("date", "date_idx", "ticker", ret.alias("ret"), "volume")
 
 
 def in_range(df: DataFrame, start=None, end=None, column: str = "date") -> DataFrame:
@@ -46,7 +48,7 @@ def complete_windows(returns: DataFrame, window: int, step: int = 1) -> DataFram
 
     The frame runs over calendar positions, not rows, so a gap never widens it.
     """
-    rows = returns.join(calendar(returns), "date")
+    rows = returns if "date_idx" in returns.columns else returns.join(calendar(returns), "date")
     last = Window.partitionBy("ticker").orderBy("date_idx").rangeBetween(-(window - 1), 0)
     held = F.collect_list(F.when(F.col("ret").isNotNull(), F.struct("ret", "volume"))).over(last)
     rows = rows.select("date", "date_idx", "ticker", held.alias("held"))

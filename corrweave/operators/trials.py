@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+from .membership import union_all_by_name
+
 
 def param_grid(spark: SparkSession, grid: dict[str, list], modes: list[str], seed: int = 0, max_runs: int | None = None) -> DataFrame:
     """(trial_id, seed, mode, parameters): every combination in the order of the lists, the last varying fastest, then each mode.
@@ -25,17 +28,90 @@ def param_grid(spark: SparkSession, grid: dict[str, list], modes: list[str], see
     return df.select(trial.cast("int").alias("trial_id"), (trial + seed).cast("int").alias("seed"), "mode", *grid)
 
 
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df cut into ranges of the order, each with its number as `__range`: what a scan in order needs in place of one task for all.
+
+    The ranges are those of a sort, so equal keys stay in one range only as far as the whole order leaves them equal. They
+    are found by sampling, hence the cut: whoever reads the result twice sees the same ranges.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(width, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def before_ranges(ranges: DataFrame, value: Column, of=F.sum) -> DataFrame:
+    """(__range, __before): an aggregate over all earlier ranges, null for the first. One row a range, as many as shuffle partitions."""
+    each = ranges.groupBy("__range").agg(of(value).alias("__own"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(each.select("__range", of("__own").over(earlier).alias("__before")))
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """df with `rank`, from 1, in the whole order of the columns: ranks within ranges, shifted by the sizes of those before."""
+    rows = ranged(df, *order)
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    rows = rows.withColumn("rank", within).join(before_ranges(rows, F.lit(1)), "__range")
+    return rows.withColumn("rank", F.col("rank") + F.coalesce("__before", F.lit(0))).drop("__range", "__before")
+
+
+def so_far(df: DataFrame, order: list[str | Column], value: str) -> DataFrame:
+    """df with `__top`: the largest value of all rows before in the order, minus infinity for the first."""
+    rows = ranged(df, *order)
+    within = F.max(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__within", within).join(before_ranges(rows, F.col(value), F.max), "__range")
+    top = F.coalesce(F.greatest("__within", "__before"), F.lit(float("-inf")))
+    return rows.withColumn("__top", top).drop("__range", "__before", "__within")
+
+
+def seeded(seed: int, key: str) -> Column:
+    """A hash of the seed and a key's text that other engines have too: a random order that any seed repeats anywhere."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def split(graphs: DataFrame, eval_frac: float = 0.2, seed: int = 7, key: str = "graph_idx") -> DataFrame:
-    """graphs with `part`, train or eval, by the order of a seeded hash: the same for any partitioning. One row a graph is ranked."""
-    n = graphs.agg(F.count("*").alias("n"))  # one row
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    ranked = graphs.select(key).distinct().withColumn("rank", rank).crossJoin(n)
-    return ranked.select(key, F.when(F.col("rank") <= F.floor(F.col("n") * (1 - eval_frac)), "train").otherwise("eval").alias("part"))
+    """(key, part), train or eval, by the order of a seeded hash: the same for any partitioning. Repeated keys count once."""
+    keys = graphs.select(key).distinct()
+    rows = ranked(keys.withColumn("__hash", seeded(seed, key)), "__hash", key).crossJoin(F.broadcast(keys.agg(F.count("*").alias("__n"))))  # one row
+    return rows.select(key, F.when(F.col("rank") <= F.floor(F.col("__n") * (1 - eval_frac)), "train").otherwise("eval").alias("part"))
 
 
 def sampled(graphs: DataFrame, n: int, seed: int, key: str = "graph_idx") -> DataFrame:
     """n graphs in the order of a seeded hash: a random choice that the same seed repeats."""
-    return graphs.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return graphs.orderBy(seeded(seed, key), key).limit(n)
+
+
+def chosen(graphs: DataFrame, indices: list[int] | None = None, dates: list | None = None, n: int | None = None, seed: int = 0) -> DataFrame:
+    """The graphs (graph_idx, date, ..) of a scenario book: those listed by index, else those listed by date, else n by a seeded order, else all.
+
+    What is listed but not there is an error that names it; equal entries of a list count once.
+    """
+    listed, key = (indices, "graph_idx") if indices else (dates, "date")
+    if listed:
+        asked = graphs.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(listed)], f"{key} {dict(graphs.dtypes)[key]}")
+        missing = asked.join(graphs, key, "left_anti").limit(20).collect()
+        if missing:
+            raise ValueError(f"no graph with {key} {', '.join(sorted(str(r[0]) for r in missing))}")
+        return graphs.join(F.broadcast(asked), key, "left_semi")  # as long as the list that was typed
+    return graphs if n is None else sampled(graphs, n, seed)
+
+
+def holding(graphs: DataFrame, nodes: DataFrame, ticker: str, preview: int = 20) -> DataFrame:
+    """The graphs (date, ..) that hold the ticker; if none does, an error that shows some of the tickers there are."""
+    found = graphs.join(nodes.where(F.col("ticker") == ticker).select("date").distinct(), "date", "left_semi")
+    if found.isEmpty():
+        known = nodes.select("ticker").distinct().orderBy("ticker").limit(preview).collect()
+        raise ValueError(f"no graph holds {ticker}; there are {', '.join(r[0] for r in known)}")
+    return found
+
+
+def first_graphs(graphs: DataFrame, n: int) -> DataFrame:
+    """The first n graphs by index: what a quick trial looks at."""
+    return graphs.where(F.col("graph_idx") < n)
+
+
+def nth_graph(graphs: DataFrame, index: int) -> DataFrame:
+    """The graph of an index; one beyond the last gives the last, one below 0 the first."""
+    last = graphs.agg(F.max("graph_idx").alias("__last"))  # one row
+    return graphs.crossJoin(F.broadcast(last)).where(F.col("graph_idx") == F.greatest(F.least(F.lit(index), "__last"), F.lit(0))).drop("__last")
 
 
 def best(trials: DataFrame, metric: str, n: int = 1) -> DataFrame:
@@ -51,20 +127,39 @@ def improvement(trials: DataFrame, metric: str = "graphs_per_s", workers: str =
 
 
 def frontier_prefix_max(trials: DataFrame, speed: str, quality: str) -> DataFrame:
-    """Points that beat every slower one: a scan in order of speed. It isn't the non-dominated set. One row a trial is ordered."""
-    slower = Window.orderBy(speed, "trial_id").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.coalesce(F.max(quality).over(slower), F.lit(float("-inf")))
-    return trials.where(F.col(speed).isNotNull() & F.col(quality).isNotNull()).withColumn("__top", top).where(F.col(quality) > F.col("__top")).drop("__top")
+    """Points that beat every slower one: a scan in order of speed. It isn't the non-dominated set."""
+    known = trials.where(F.col(speed).isNotNull() & F.col(quality).isNotNull())
+    return so_far(known, [speed, "trial_id"], quality).where(F.col(quality) > F.col("__top")).drop("__top")
 
 
 def pareto(trials: DataFrame, speed: str, quality: str) -> DataFrame:
-    """Points that no other beats in one measure without losing in the other."""
-    faster = Window.orderBy(F.desc(speed)).rangeBetween(Window.unboundedPreceding, -1)
-    equal = Window.partitionBy(speed)
-    known = trials.where(F.col(speed).isNotNull() & F.col(quality).isNotNull())
-    # Strictly faster points and equally fast ones, apart; the window runs over one row a trial.
-    rows = known.withColumns({"__faster": F.max(quality).over(faster), "__equal": F.max(quality).over(equal)})
-    return rows.where((F.col(quality) > F.coalesce("__faster", F.lit(float("-inf")))) & (F.col(quality) == F.col("__equal"))).drop("__faster", "__equal")
+    """Points that no other beats in one measure without losing in the other; equal points stay all.
+
+    Of each speed the best quality counts, if it beats that of every strictly higher speed; the front of those, one row
+    a speed, then picks its points.
+    """
+    best_at = trials.where(F.col(speed).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(speed).alias("__speed")).agg(F.max(quality).alias("__best"))
+    front = so_far(best_at, [F.desc("__speed")], "__best").where(F.col("__best") > F.col("__top")).select("__speed", "__best")
+    return trials.join(front, (F.col(speed) == F.col("__speed")) & (F.col(quality) == F.col("__best"))).drop("__speed", "__best")
+
+
+def summary(trials: DataFrame, metric: str, speed: str, quality: str, n: int = 10) -> DataFrame:
+    """(section, rank, trial columns): the best trial, the n best, and the frontier in order of speed, one under another."""
+    top = best(trials, metric, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(metric), "trial_id")))  # n rows
+    front = ranked(frontier_prefix_max(trials, speed, quality), speed, "trial_id")
+    parts = ((top.where("rank = 1"), "best"), (top, "top"), (front, "frontier"))
+    return union_all_by_name([df.select(F.lit(name).alias("section"), F.col("rank").cast("int").alias("rank"), *trials.columns) for df, name in parts])
+
+
+def summary_text(found: DataFrame, columns: list[str]) -> str:
+    """`summary` as text, a line for each row: what a report of a sweep prints. As long as the summary."""
+    lines: list[str] = []
+    rows = found.collect()
+    for section in ("best", "top", "frontier"):
+        lines.append(f"{section}:")
+        for r in sorted((r for r in rows if r["section"] == section), key=lambda r: r["rank"]):
+            lines.append("  " + ", ".join(f"{c}={r[c]:.6g}" if isinstance(r[c], float) else f"{c}={r[c]}" for c in columns))
+    return "\n".join(lines) + "\n"
 
 
 def throughput(epochs: DataFrame, warmup: int = 1) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import arrays, cleaning
 from ..learn import jobs, kernels
 from ..operators import calibrate, features, graph, learning, membership, returns, risk, trials
 from ..sources import raw, reports
-from ..sources.storage import shared_path
+from ..sources.storage import shared_path, stored
 from . import panel
 from .panel import BENCHMARK, HORIZONS, MIN_NODES, RSI, TOP_K, WINDOW
 
@@ -56,7 +58,7 @@ def _with(parts: str, body: str) -> str:
 
     for p in parts.split():
         add(p)
-    return "WITH " + ",\n".join(f"{n} AS ({_PARTS[n][1]})" for n in need) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({_PARTS[n][1]})" for n in need) + ("" if body.startswith(",") else "\n") + body
 
 
 _PARTS = {
@@ -94,7 +96,7 @@ _PARTS = {
     "hist": ("bounds", "SELECT k.bin, coalesce(a.n, 0) AS real, coalesce(b.n, 0) AS halluc FROM (SELECT unnest(range(1, 61)) AS bin) k LEFT JOIN (SELECT least(CAST(floor((real - lo) / ((hi - lo) / 60)) AS INTEGER) + 1, 60) AS bin, count(*) AS n FROM values, bounds GROUP BY 1) a ON a.bin = k.bin LEFT JOIN (SELECT least(CAST(floor((halluc - lo) / ((hi - lo) / 60)) AS INTEGER) + 1, 60) AS bin, count(*) AS n FROM values, bounds WHERE halluc BETWEEN lo AND hi GROUP BY 1) b ON b.bin = k.bin"),
     "shares": ("hist", "SELECT (real / (sum(real) OVER () * w) + 1e-8) / (1 / w + 60e-8) AS p, (halluc / (sum(halluc) OVER () * w) + 1e-8) / (1 / w + 60e-8) AS q FROM hist, (SELECT (hi - lo) / 60 AS w FROM bounds)"),
     "diverge": ("shares", "SELECT sum(p * ln(p / q)) AS kl, sum(p * ln(2 * p / (p + q)) / 2 + q * ln(2 * q / (p + q)) / 2) AS js FROM shares"),
-    "trials": ("", "SELECT CAST(o_orderkey AS INTEGER) AS trial_id, CASE WHEN o_orderkey % 1000 = 0 THEN 'ff_e2e' ELSE 'ff_layerwise' END AS mode, CAST(o_orderkey % 3 + 1 AS INTEGER) AS parallel_workers, CAST(o_orderkey * 7919 % 1009 AS DOUBLE) / 1e1 AS graphs_per_s, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey * 104729 % 1013 AS DOUBLE) / 1e3 END AS eval_sep FROM orders WHERE o_orderkey % 500 = 0"),
+    "trials": ("", "SELECT o_orderkey AS trial_id, CASE WHEN o_orderkey % 1000 = 0 THEN 'ff_e2e' ELSE 'ff_layerwise' END AS mode, CAST(o_orderkey % 3 + 1 AS INTEGER) AS parallel_workers, CAST(o_orderkey * 7919 % 1009 AS DOUBLE) / 1e1 AS graphs_per_s, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey * 104729 % 1013 AS DOUBLE) / 1e3 END AS eval_sep FROM orders"),
     "bent": ("win", "SELECT date, ticker, sum(ret) AS real, sum(ret * 1.05e0 - 1e-3) AS halluc FROM win GROUP BY ALL"),
 }
 
@@ -154,7 +156,7 @@ def scan_fundamentals(spark, sf_dir):
 @query(_with("trials", f"SELECT {_TRIALS} FROM trials"))
 def scan_trials(spark, sf_dir):
     root = _written(spark, "trials", one=panel.trials(spark, sf_dir))
-    return reports.load_trials(raw.read_csv(spark, f"{root}/one")).withColumns({c: F.col(c).cast("int") for c in ("trial_id", "parallel_workers")})
+    return reports.load_trials(raw.read_csv(spark, f"{root}/one")).withColumns({"trial_id": F.col("trial_id").cast("bigint"), "parallel_workers": F.col("parallel_workers").cast("int")})
 
 
 @query(_with("book", f"SELECT scenario, series, ticker, CAST(t AS INTEGER) AS t, {_r(r='r')} FROM book"))
@@ -170,6 +172,77 @@ def scan_ticker(spark, sf_dir):
     return panel.prices(spark, sf_dir).where(F.col("ticker") == BENCHMARK).select("date", "price")
 
 
+@query(_with("report", f"SELECT scenario, series, {_r(**{c: c for c in ('total_return', 'max_drawdown', 'volatility', 'var_95', 'cvar_95')})} FROM report"))
+def write_read_csv(spark, sf_dir):
+    """A report's CSV, columns in order of name, read again."""
+    path = shared_path(spark, "report")
+    reports.write_csv(risk.stress_report(panel.book(spark, sf_dir)), path, sort_columns=True)
+    rows = reports.load_rows(raw.read_csv(spark, path)).drop("_file", "_line")
+    return rows.select("scenario", "series", *[cleaning.number(F.col(c)).alias(c) for c in ("total_return", "max_drawdown", "volatility", "var_95", "cvar_95")])
+
+
+@query(_with("values diverge", f"SELECT {_r(mae='avg(abs(halluc - real))', js_divergence='any_value(js)')} FROM values, diverge"))
+def write_read_json(spark, sf_dir):
+    path = shared_path(spark, "metrics")
+    reports.write_json(calibrate.calibration(_values(spark, sf_dir)), path)
+    return spark.read.schema("mae double, js_divergence double").json(path)
+
+
+@query(_with("edges", f"SELECT date, src, dst, {_r(corr='corr')} FROM edges"))
+def write_read_graphs(spark, sf_dir):
+    """Nodes and edges under one folder, by year, and the edges of it read again."""
+    path, w = shared_path(spark, "graphs"), panel.kept_windows(spark, sf_dir)
+    reports.write_graphs(path, nodes=w.select("date", "ticker"), edges=graph.topk_edges(w, TOP_K))
+    nodes, edges = reports.read_graphs(spark, path, "nodes", "edges")
+    return edges.join(nodes.withColumnRenamed("ticker", "src"), ["date", "src"], "left_semi").select("date", "src", "dst", "corr")
+
+
+@query(_with("book", f"SELECT scenario AS scenario_id, series, ticker, CAST(t AS INTEGER) AS t, {_r(r='r')} FROM book"))
+def write_read_book(spark, sf_dir):
+    path = shared_path(spark, "book")
+    rows = panel.book(spark, sf_dir).withColumnsRenamed({"scenario": "scenario_id"}).withColumn("graph_index", F.col("scenario_id").cast("int"))
+    reports.write_book(rows, path, WINDOW)
+    found = reports.load_windows(raw.read_csv(spark, f"{path}/book"), ["scenario_id", "series", "ticker"])
+    return found.select("scenario_id", "series", "ticker", F.posexplode("w").alias("t", "r"))
+
+
+@query(_with("book", f"SELECT ticker, series, scenario AS t, {_r(total='sum(r)')} FROM book WHERE ticker IN ('S000001', 'S000002') GROUP BY ALL"))
+def write_read_pairs(spark, sf_dir):
+    path = shared_path(spark, "pairs")
+    reports.write_pairs(panel.book(spark, sf_dir).withColumnRenamed("scenario", "t"), path, WINDOW, ["S000001", "S000002"])
+    return reports.load_windows(raw.read_csv(spark, path)).select("ticker", "series", "t", arrays.total(F.col("w")).alias("total"))
+
+
+@query("SELECT CAST(e AS BIGINT) AS epoch, CAST(e AS DOUBLE) / 2 AS loss FROM range(1, 7) v(e)")
+def append_read_log(spark, sf_dir):
+    path = shared_path(spark, "log")
+    for part in ((1, 2, 3), (4, 5, 6)):
+        reports.append_log(spark, [{"epoch": e, "loss": e / 2} for e in part], path)
+    return spark.read.parquet(path).select("epoch", "loss")
+
+
+@query("SELECT layer, name, n FROM (VALUES (0, 'weight', 320), (0, 'bias', 16), (1, 'weight', 256), (1, 'bias', 16)) v(layer, name, n)")
+def write_read_model(spark, sf_dir):
+    """A model as a table, written, read, made a model and a table again: how many values each part has, all as they were."""
+    path = shared_path(spark, "model")
+    before = jobs.model_table(spark, _layers())
+    before.write.parquet(path)
+    after = jobs.model_table(spark, jobs.model_from(spark.read.parquet(path)))
+    return after.join(before, ["layer", "name", "shape", "data"], "left_semi").select("layer", "name", F.size("data").alias("n"))
+
+
+@query(_with("prices", f"SELECT date, ticker, {_r(close='price')} FROM prices"))
+def merge_years(spark, sf_dir):
+    """Yearly folders of all four kinds as one table each; the prices of them."""
+    root, p = shared_path(spark, "merge"), _panel_csv(spark, sf_dir).select("date", "ticker", "close")
+    for year, rows in (("y1", p.where("date < '1995-01-01'")), ("y2", p.where("date >= '1995-01-01'").select("close", "ticker", "date"))):
+        for name in ("prices", "constituents", "fundamentals", "macro_prices"):
+            df = rows.withColumnRenamed("date", "time") if name == "macro_prices" else rows.withColumnRenamed("ticker", "constituent_symbol") if name == "constituents" else rows
+            (df if name == "prices" else df.limit(5)).coalesce(1).write.csv(f"{root}/{year}/{name}.csv", header=True)
+    merged = raw.merge_years(spark, root)
+    return merged["prices"].select("date", "ticker", cleaning.number(F.col("close")).alias("close"))
+
+
 # --- cleaning --------------------------------------------------------------------------------------------------------
 
 
@@ -266,14 +339,46 @@ def select_scenarios(spark, sf_dir):
     return w.where(F.col("date") >= F.lit("1995-01-01").cast("date"))
 
 
-@query()
+@query(_with("win", "SELECT date FROM (SELECT DISTINCT date FROM win) ORDER BY md5('7:' || CAST(date AS VARCHAR)), date LIMIT 10"))
 def sampled_scenarios(spark, sf_dir):
     return trials.sampled(panel.windows(spark, sf_dir).select("date").distinct(), 10, 7, "date")
 
 
-@query(_with("trials", "SELECT CASE WHEN n * 8 // 10 >= k THEN 'train' ELSE 'eval' END AS part, count(*) AS n FROM (SELECT count(*) OVER () AS n, row_number() OVER () AS k FROM trials) GROUP BY 1"))
+@query(_with("trials", "SELECT trial_id, CASE WHEN n * 8 // 10 >= k THEN 'train' ELSE 'eval' END AS part FROM (SELECT trial_id, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('7:' || CAST(trial_id AS VARCHAR)), trial_id) AS k FROM trials)"))
 def train_eval_split(spark, sf_dir):
-    return trials.split(panel.trials(spark, sf_dir), key="trial_id").groupBy("part").agg(F.count("*").alias("n"))
+    """Which trial is in which part."""
+    return trials.split(panel.trials(spark, sf_dir), key="trial_id")
+
+
+def _graph_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, graph_idx) of the dates with a window, counted on from 0. One row a date."""
+    w = panel.windows(spark, sf_dir).select("date", "date_idx").distinct()
+    return w.select("date", (F.col("date_idx") - (WINDOW - 1)).cast("int").alias("graph_idx"))
+
+
+_GRAPHS = "SELECT DISTINCT date, CAST(i - 19 AS INTEGER) AS graph_idx FROM win"
+
+
+@query(_with("win", f"SELECT * FROM ({_GRAPHS}) WHERE graph_idx IN (1, 5, 30)"))
+def scenarios_by_index(spark, sf_dir):
+    return trials.chosen(_graph_list(spark, sf_dir), indices=[5, 1, 30, 5]).select("date", "graph_idx")
+
+
+@query(_with("win", f"SELECT * FROM ({_GRAPHS}) WHERE date IN (DATE '1999-01-01', DATE '1998-03-01')"))
+def scenarios_by_date(spark, sf_dir):
+    dates = [datetime.date(1999, 1, 1), datetime.date(1998, 3, 1)]
+    return trials.chosen(_graph_list(spark, sf_dir), dates=dates).select("date", "graph_idx")
+
+
+@query(_with("win", f"SELECT * FROM ({_GRAPHS}) WHERE graph_idx < 7"))
+def first_graphs(spark, sf_dir):
+    return trials.first_graphs(_graph_list(spark, sf_dir), 7)
+
+
+@query(_with("win", f"SELECT * FROM ({_GRAPHS}) ORDER BY graph_idx DESC LIMIT 1"))
+def clamped_graph(spark, sf_dir):
+    """An index far beyond the last graph."""
+    return trials.nth_graph(_graph_list(spark, sf_dir), 100_000).select("date", "graph_idx")
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -332,7 +437,7 @@ def benchmark_join(spark, sf_dir):
     return dates.join(r, "date", "left")
 
 
-@query(_with("book", f"SELECT a.scenario, a.ticker, CAST(a.t AS INTEGER) AS t, {_r(real='a.r', halluc='b.r')} FROM book a JOIN book b USING (scenario, ticker, t) WHERE a.series = 'real' AND b.series = 'halluc'"))
+@query(_with("book", f"SELECT scenario, ticker, CAST(book.t AS INTEGER) AS t, {_r(real='max(r) FILTER (series = $$real$$)', halluc='max(r) FILTER (series = $$halluc$$)')} FROM book GROUP BY scenario, ticker, book.t HAVING count(DISTINCT series) = 2".replace("$$", "'")))
 def pair_real_halluc(spark, sf_dir):
     pairs = calibrate.paired(panel.book(spark, sf_dir), ["scenario", "ticker"])
     return pairs.select("scenario", "ticker", F.posexplode(F.arrays_zip("real", "halluc")).alias("t", "p")).select("scenario", "ticker", "t", "p.*")
@@ -356,7 +461,7 @@ def pivot_prices(spark, sf_dir):
 
 @query(_with("returns", f"SELECT date, ticker, {_r(ret='ret', volume='volume')} FROM returns"))
 def log_returns(spark, sf_dir):
-    return panel.returns_of(spark, sf_dir)
+    return panel.returns_of(spark, sf_dir).drop("date_idx")
 
 
 @query(_with("calendar", "SELECT date, CAST(i AS INTEGER) AS date_idx FROM calendar WHERE i >= 19 AND (i - 19) % 3 = 0"))
@@ -413,7 +518,16 @@ def _nodes(spark: SparkSession, sf_dir: str, mode: str = "window") -> DataFrame:
     return features.node_features(panel.windows(spark, sf_dir), mode, BENCHMARK, RSI, fundamentals=f)
 
 
-@query()
+def _scored(c: str) -> str:
+    return f"({c} - avg({c}) OVER (PARTITION BY date)) / (stddev_pop({c}) OVER (PARTITION BY date) + 1e-8)"
+
+
+_FUND = ("pe_ratio", "debt_equity", "pb_ratio")
+_WIDE = f"SELECT date, ticker, {', '.join(f'{c} AS v{i}' for i, c in enumerate(features.SUMMARY))}, {', '.join(f'coalesce(f.{c}, median(f.{c}) OVER (PARTITION BY date), 0) AS v{5 + i}' for i, c in enumerate(_FUND))} FROM summary LEFT JOIN fundamentals f USING (date, ticker)"
+_DIMS = " UNION ALL ".join(f"SELECT date, ticker, {20 + i} AS dim, {_scored(f'v{i}')} AS x FROM wide" for i in range(8))
+
+
+@query(_with("summary fundamentals", f", wide AS ({_WIDE}), dims AS (SELECT date, ticker, CAST(t AS INTEGER) AS dim, ret AS x FROM win UNION ALL {_DIMS}) SELECT date, ticker, 28 AS width, dim, {_r(value='x')} FROM dims"))
 def node_features(spark, sf_dir):
     """The widest mode, as long rows."""
     return _nodes(spark, sf_dir, "window_plus_summary_fund").select("date", "ticker", F.size("x").alias("width"), F.posexplode("x").alias("dim", "value"))
@@ -424,12 +538,12 @@ def node_features(spark, sf_dir):
 
 @query(_with("edges", f"SELECT date, src, dst, {_r(corr='corr')} FROM edges"))
 def topk_edges(spark, sf_dir):
-    return graph.topk_edges(panel.windows(spark, sf_dir), TOP_K)
+    return graph.topk_edges(panel.windows(spark, sf_dir), TOP_K, matrix=False)
 
 
 @query(_with("edges", f"SELECT date, src, dst, {_r(corr='corr')} FROM edges"))
 def topk_edges_matrix(spark, sf_dir):
-    return graph.topk_edges(panel.windows(spark, sf_dir), TOP_K, matrix=True)
+    return graph.topk_edges(panel.windows(spark, sf_dir), TOP_K)
 
 
 @query(_with("twoway", f"SELECT date, src, dst, {_r(corr='corr')} FROM twoway WHERE abs(corr) >= 6e-1"))
@@ -450,13 +564,13 @@ def gcn_norm(spark, sf_dir):
 
 @query(_with("norm", f"SELECT w.date, w.ticker, {_r(h='coalesce(sum(n.edge_weight * v.s), 0)')} FROM whole w LEFT JOIN norm n ON n.date = w.date AND n.dst = w.ticker LEFT JOIN whole v ON v.date = n.date AND v.ticker = n.src GROUP BY w.date, w.ticker"))
 def gcn_propagate(spark, sf_dir):
-    w = panel.windows(spark, sf_dir)
+    w = panel.kept_windows(spark, sf_dir)
     return graph.propagate(jobs.edge_table(w, TOP_K), w.select("date", "ticker", arrays.deviation(F.col("w")).alias("h")))
 
 
 @query(_with("edges", f"SELECT date, {_r(loss='avg((c - corr) ** 2)')} FROM (SELECT e.date, e.src, e.dst, any_value(e.corr) AS corr, avg((a.ret - a.m) * (b.ret - b.m) / ((a.s * sqrt(20e0 / 19) + 1e-6) * (b.s * sqrt(20e0 / 19) + 1e-6))) AS c FROM edges e JOIN win a ON a.date = e.date AND a.ticker = e.src JOIN win b ON b.date = e.date AND b.ticker = e.dst AND a.t = b.t GROUP BY ALL) GROUP BY date"))
 def edge_corr_loss(spark, sf_dir):
-    w = panel.windows(spark, sf_dir)
+    w = panel.kept_windows(spark, sf_dir)
     return graph.edge_corr_loss(graph.topk_edges(w, TOP_K), w.select("date", "ticker", F.col("w").alias("x")))
 
 
@@ -610,11 +724,12 @@ def ff_eval(spark, sf_dir):
 
 
 def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = panel.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    return l.select((F.col("l_orderkey") % 500).cast("int").alias("trial_id"), F.col("l_linenumber").alias("epoch"), F.col("l_quantity").alias("seconds"), F.col("l_extendedprice").alias("graphs"))
+    """Each order is a trial, its lines the trial's epochs."""
+    l = panel.table(spark, sf_dir, "lineitem")
+    return l.select(F.col("l_orderkey").alias("trial_id"), F.col("l_linenumber").alias("epoch"), F.col("l_quantity").alias("seconds"), F.col("l_extendedprice").alias("graphs"))
 
 
-@query(f"SELECT CAST(l_orderkey % 500 AS INTEGER) AS trial_id, {_r(avg_epoch_s='avg(l_quantity)', graphs_per_s='avg(l_extendedprice / l_quantity)')} FROM (SELECT *, max(CAST(l_linenumber > 1 AS INTEGER)) OVER (PARTITION BY l_orderkey % 500) AS late FROM lineitem WHERE l_orderkey % 50 = 0) WHERE l_linenumber > 1 OR late = 0 GROUP BY 1")
+@query(f"SELECT l_orderkey AS trial_id, {_r(avg_epoch_s='avg(l_quantity)', graphs_per_s='avg(l_extendedprice / l_quantity)')} FROM (SELECT *, max(CAST(l_linenumber > 1 AS INTEGER)) OVER (PARTITION BY l_orderkey) AS late FROM lineitem) WHERE l_linenumber > 1 OR late = 0 GROUP BY 1")
 def throughput(spark, sf_dir):
     return trials.throughput(_epochs(spark, sf_dir))
 
@@ -644,6 +759,11 @@ def frontier_prefix_max(spark, sf_dir):
     return trials.frontier_prefix_max(panel.trials(spark, sf_dir), "graphs_per_s", "eval_sep")
 
 
+@query(_with("trials", f", b AS (SELECT *, row_number() OVER (ORDER BY eval_sep DESC NULLS LAST, trial_id) AS rank FROM trials), f AS (SELECT * FROM (SELECT *, max(eval_sep) OVER (ORDER BY graphs_per_s, trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM trials WHERE eval_sep IS NOT NULL) WHERE top IS NULL OR eval_sep > top) SELECT section, CAST(rank AS INTEGER) AS rank, {_TRIALS} FROM (SELECT 'best' AS section, * FROM b WHERE rank = 1 UNION ALL SELECT 'top', * FROM b WHERE rank <= 10 UNION ALL SELECT 'frontier', trial_id, mode, parallel_workers, graphs_per_s, eval_sep, row_number() OVER (ORDER BY graphs_per_s, trial_id) FROM f)"))
+def sweep_summary(spark, sf_dir):
+    return trials.summary(panel.trials(spark, sf_dir), "eval_sep", "graphs_per_s", "eval_sep")
+
+
 @query(_with("trials", f"SELECT {_TRIALS} FROM trials a WHERE eval_sep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM trials b WHERE b.graphs_per_s >= a.graphs_per_s AND b.eval_sep >= a.eval_sep AND (b.graphs_per_s > a.graphs_per_s OR b.eval_sep > a.eval_sep))"))
 def pareto_nondominated(spark, sf_dir):
     return trials.pareto(panel.trials(spark, sf_dir), "graphs_per_s", "eval_sep")
@@ -700,9 +820,8 @@ def temp_sweep(spark, sf_dir):
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graphs, written once to the shared folder, since training reads them again and again."""
-    path = shared_path(spark, "graphs")
-    jobs.pack(_nodes(spark, sf_dir), jobs.edge_table(panel.windows(spark, sf_dir), TOP_K, matrix=True)).write.parquet(path)
-    return spark.read.parquet(path)
+    w = panel.kept_windows(spark, sf_dir)
+    return stored(jobs.pack(features.node_features(w, "window", BENCHMARK, RSI), jobs.edge_table(w, TOP_K)), "graphs")
 
 
 def _layers() -> kernels.Layers:
@@ -745,6 +864,23 @@ def training_log(spark, sf_dir):
     return spark.createDataFrame(rows, "style string, epoch int, loss double, g_pos double, g_neg double")
 
 
+@query()
+def risk_training_log(spark, sf_dir):
+    """A head on the pooled nodes learns each date's forward volatility, while negatives and their making move by a curriculum."""
+    packed = _packed(spark, sf_dir)
+    targets = risk.risk_targets(packed, panel.prices(spark, sf_dir), BENCHMARK, 6)
+    ramps = (("steps", 1, 3), ("lr", 0.02, 0.1), ("node_fraction", 0.2, 1.0))
+    c = jobs.Training(hidden=8, epochs=4, negative="mix", mix_start=0.2, mix_end=0.8, ramp=2, curriculum=ramps, curriculum_ramp=3, dropout=0.1)
+    _, log = jobs.train(packed, WINDOW, WINDOW, c, targets)
+    return spark.createDataFrame([(x["epoch"], x["loss"], x["g_pos"], x["g_neg"], x["risk_loss"]) for x in log], "epoch int, loss double, g_pos double, g_neg double, risk_loss double")
+
+
+@query()
+def training_benchmark(spark, sf_dir):
+    """Each style's speed and how well it tells graphs from negatives."""
+    return jobs.benchmark(_packed(spark, sf_dir), WINDOW, WINDOW, jobs.Training(hidden=16, epochs=3))
+
+
 @query()
 def sweep_trials(spark, sf_dir):
     grid = trials.param_grid(spark, {"temperature": [0.5, 1.0], "hidden": [4, 8]}, ["e2e", "layerwise"], seed=7)
@@ -754,7 +890,7 @@ def sweep_trials(spark, sf_dir):
 def strongest_links(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_nodes: int = MIN_NODES) -> DataFrame:
     """The flagship: for each month with enough nodes, the most correlated pairs with volatility, momentum and RSI of the source."""
     r = panel.returns_of(spark, sf_dir)
-    w = returns.complete_windows(r, WINDOW)
+    w = stored(returns.complete_windows(r, WINDOW), "windows")
     fit = returns.window_status(r, w, None, WINDOW, min_nodes=min_nodes).where("status = 'ok'")
     w = w.join(fit, "date", "left_semi")
     nodes = features.summaries(w, BENCHMARK, RSI).select("date", F.col("ticker").alias("src"), "vol", "momentum", "rsi")

@@ -11,7 +11,8 @@ from ..operators.membership import first_rows, union_all_by_name
 # Names under which vendors ship each column, in order of preference.
 DATE_NAMES = ("date", "time", "timestamp", "datetime", "end", "period_end")
 MEMBER_TICKER_NAMES = ("constituent", "holding", "member", "component", "constituent_symbol")
-TICKER_NAMES = ("ticker", "symbol", "sid")
+TICKER_NAMES = ("ticker", "symbol")
+LAST_TICKER_NAMES = ("sid",)
 PRICE_NAMES = {"open": ("open",), "high": ("high",), "low": ("low",), "close": ("close",), "adj_close": ("adj_close", "adjclose", "adjusted_close"), "volume": ("volume",)}
 MEMBER_NAMES = ("is_member", "member", "included")
 WEIGHT_NAMES = ("weight", "percentage", "value")
@@ -25,17 +26,34 @@ def _files(spark: SparkSession, root: str, name: str, recursive: bool) -> list[s
     return sorted(r[0] for r in found.select("path").collect())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file with a header, all columns as strings, with `_file` and `_line` to tell the order of rows."""
+def _header(spark: SparkSession, path: str) -> str | None:
+    """A file's first line: one open each, in place of a job each, and nothing else of the file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where), "UTF-8"))
+    try:
+        return lines.readLine()
+    finally:
+        lines.close()
+
+
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV files with one header, all columns as strings, with `_file` and `_line` to tell the order of rows."""
     return spark.read.csv(path, header=True).withColumns({"_file": F.input_file_name(), "_line": F.monotonically_increasing_id()})
 
 
 def scan_dir(spark: SparkSession, root: str, name: str = "*.csv", exclude: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
-    """All matching files, columns matched by name and not by place; one scan for each file, since headers may differ."""
+    """All matching files, columns matched by name and not by place: one scan for each distinct header, however many files."""
     files = [f for f in _files(spark, root, name, recursive) if f.rsplit("/", 1)[-1] not in exclude]
     if not files:
         raise FileNotFoundError(f"no file {name} in {root}")
-    return union_all_by_name([read_csv(spark, f) for f in files])
+    return scan_files(spark, files)
+
+
+def scan_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    by_header: dict[str | None, list[str]] = {}
+    for f in files:
+        by_header.setdefault(_header(spark, f), []).append(f)
+    return union_all_by_name([read_csv(spark, f) for f in by_header.values()])
 
 
 def _names(df: DataFrame) -> dict[str, str]:
@@ -52,14 +70,14 @@ def pick(df: DataFrame, candidates: tuple[str, ...], override: str | None = None
 
 
 def infer_ticker(df: DataFrame, override: str | None = None) -> str:
-    """The ticker's column: a member's name if there is one, else of several symbol-like ones that with the most distinct values."""
+    """The ticker's column: a member's name if there is one, else of ticker and symbol the one with more distinct values, else a security id."""
     names = _names(df)
     if override:
         return override
     for c in MEMBER_TICKER_NAMES:
         if c in names:
             return names[c]
-    found = [names[c] for c in TICKER_NAMES if c in names]
+    found = [names[c] for c in TICKER_NAMES if c in names] or [names[c] for c in LAST_TICKER_NAMES if c in names]
     if not found:
         raise ValueError("no ticker column")
     if len(found) == 1:
@@ -76,9 +94,11 @@ def _keyed(df: DataFrame, overrides: dict[str, str]) -> list[Column]:
 def standardize_prices(df: DataFrame, overrides: dict[str, str] = {}) -> DataFrame:
     """(date, ticker, open .. volume): distinct rows with both keys. If no row at all has an adjusted close, the close stands for it."""
     values = [cleaning.number(pick(df, names, overrides.get(c))).alias(c) for c, names in PRICE_NAMES.items()]
-    rows = df.select(*_keyed(df, overrides), *values).dropna(subset=["date", "ticker"]).distinct()
-    has = rows.agg(F.count("adj_close").alias("__n"))  # one row
-    return rows.crossJoin(has).withColumn("adj_close", F.when(F.col("__n") > 0, F.col("adj_close")).otherwise(F.col("close"))).drop("__n")
+    # Decided on all rows, those without keys too; that scan reads one column and gives one row.
+    adjusted = values[list(PRICE_NAMES).index("adj_close")]
+    has = df.select(adjusted).agg(F.count("adj_close").alias("__n"))
+    rows = df.select(*_keyed(df, overrides), *values).dropna(subset=["date", "ticker"]).crossJoin(F.broadcast(has))
+    return rows.withColumn("adj_close", F.when(F.col("__n") > 0, F.col("adj_close")).otherwise(F.col("close"))).drop("__n").distinct()
 
 
 def standardize_constituents(df: DataFrame, overrides: dict[str, str] = {}) -> DataFrame:
@@ -130,10 +150,16 @@ def load_fundamentals(df: DataFrame) -> DataFrame:
 
 
 def merge_years(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The yearly folders' prices, constituents, fundamentals and macro prices, each as one table of distinct rows."""
-    out = {}
+    """The yearly folders' prices, constituents, fundamentals and macro prices, each as one table of distinct rows.
+
+    A year's part is a file of that name, or a folder of that name with files, as Spark writes it.
+    """
+    out, files = {}, _files(spark, root, "*.csv", True)
     for name, key in (("prices", "date"), ("constituents", "date"), ("fundamentals", "date"), ("macro_prices", "time")):
-        df = scan_dir(spark, root, f"{name}.csv", recursive=True).drop("_file", "_line")
+        mine = [f for f in files if f"{name}.csv" in f.split("/")[-2:]]
+        if not mine:
+            raise FileNotFoundError(f"no {name}.csv in {root}")
+        df = scan_files(spark, mine).drop("_file", "_line")
         if "ticker" not in df.columns and "constituent_symbol" in df.columns:
             df = df.withColumnRenamed("constituent_symbol", "ticker")
         out[name] = df.withColumns({key: cleaning.coerce_date(F.col(key)), "ticker": cleaning.clean_ticker(F.col("ticker"))}).dropna(subset=[key, "ticker"]).distinct()

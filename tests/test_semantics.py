@@ -1,10 +1,12 @@
 """Small cases for rules that a naive version gets wrong."""
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from corrweave.functions import cleaning
+from corrweave.functions import arrays, cleaning
 from corrweave.operators import membership, returns, risk, trials
 from corrweave.sources import raw, reports
 from corrweave.streaming.prices import daily_prices
@@ -76,3 +78,70 @@ def test_stream_of_trades(spark, tmp_path):
     q = daily_prices(s).writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.date, r.price, r.volume) for r in spark.table("daily").collect()][:1] == [(day(1), 3.0, 4.0)]
+
+
+def test_pareto_of_close_speeds(spark):
+    df = spark.createDataFrame([(1, 10.0, 0.5), (2, 10.5, 0.6), (3, 10.5, 0.6), (4, 10.5, 0.1), (5, 11.0, 0.2), (6, None, 0.9), (7, 12.0, None)], "trial_id int, s double, q double")
+    assert [r.trial_id for r in trials.pareto(df, "s", "q").orderBy("trial_id").collect()] == [2, 3, 5]
+    assert trials.pareto(df.limit(0), "s", "q").count() == 0
+
+
+def test_scans_over_ranges(spark):
+    rows = [((i * 7919) % 997, i, float((i * 31) % 101)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    order = sorted(rows)
+    assert {(r.k, r.i): r["rank"] for r in trials.ranked(df, "k", "i").collect()} == {(k, i): n + 1 for n, (k, i, _) in enumerate(order)}
+    top, want = float("-inf"), {}
+    for k, i, v in order:
+        want[k, i], top = top, max(top, v)
+    assert {(r.k, r.i): r["__top"] for r in trials.so_far(df, ["k", "i"], "v").collect()} == want
+
+
+def test_summary_as_text(spark):
+    df = spark.createDataFrame([(1, 1.0, 0.1), (2, 2.0, 0.5), (3, 3.0, 0.3)], "trial_id int, s double, q double")
+    text = trials.summary_text(trials.summary(df, "q", "s", "q", 2), ["trial_id", "q"])
+    assert text == "best:\n  trial_id=2, q=0.5\ntop:\n  trial_id=2, q=0.5\n  trial_id=3, q=0.3\nfrontier:\n  trial_id=1, q=0.1\n  trial_id=2, q=0.5\n"
+
+
+def test_choosing_graphs(spark):
+    graphs = spark.createDataFrame([(0, day(1)), (1, day(2)), (2, day(3))], "graph_idx int, date date")
+    nodes = spark.createDataFrame([(day(1), "A"), (day(2), "B")], "date date, ticker string")
+    assert [r.graph_idx for r in trials.chosen(graphs, dates=[day(3), day(1), day(3)]).orderBy("graph_idx").collect()] == [0, 2]
+    assert trials.chosen(graphs).count() == 3 and trials.chosen(graphs, n=2, seed=1).count() == 2
+    with pytest.raises(ValueError, match="graph_idx 9"):
+        trials.chosen(graphs, indices=[1, 9])
+    assert [r.graph_idx for r in trials.holding(graphs, nodes, "B").collect()] == [1]
+    with pytest.raises(ValueError, match="there are A, B"):
+        trials.holding(graphs, nodes, "C")
+    assert [trials.nth_graph(graphs, i).first().graph_idx for i in (-5, 1, 9)] == [0, 1, 2]
+
+
+def test_a_security_id_never_outdoes_a_symbol(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", "2")], "Symbol string, SID string")
+    assert raw.infer_ticker(df) == "Symbol" and raw.infer_ticker(df.select("SID")) == "SID"
+
+
+def test_adjusted_close_of_a_row_without_keys_counts(spark):
+    df = spark.createDataFrame([("2024-01-01", "a", "1", None), (None, None, "2", "5")], "date string, ticker string, close string, adj_close string")
+    assert [r.adj_close for r in raw.standardize_prices(df).collect()] == [None]
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "y,x\n3,4\n"), ("c.csv", "x,y\n5,6\n"), ("no.csv", "x,y\n7,8\n")):
+        (tmp_path / name).write_text(text)
+    df = raw.scan_dir(spark, str(tmp_path), exclude=("no.csv",))
+    assert sorted((r.x, r.y) for r in df.collect()) == [("1", "2"), ("4", "3"), ("5", "6")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+
+
+def test_empty_reports_are_errors(spark):
+    with pytest.raises(ValueError):
+        reports.load_rows(spark.createDataFrame([], "a string"))
+
+
+def test_window_arithmetic_is_done_once(spark):
+    """Mean and deviation stand outside the lambda over the elements: with 8,000 of them a nested one would take minutes."""
+    df = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda x: (x * x % 977).cast("double")).alias("w"))
+    began = time.perf_counter()
+    z = df.select(arrays.z_score(F.col("w")).alias("z")).select(arrays.mean(F.col("z")).alias("m"), arrays.deviation(F.col("z")).alias("s")).first()
+    assert abs(z.m) < 1e-9 and abs(z.s - 1) < 1e-6 and time.perf_counter() - began < 30

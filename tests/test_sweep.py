@@ -28,3 +28,35 @@ def test_sweep_uses_all_graphs(spark):
         assert np.isclose(got[t.trial_id].eval_g_pos, want)
         assert np.isclose(got[t.trial_id].eval_sep, got[t.trial_id].eval_g_pos - got[t.trial_id].eval_g_neg)
         assert 0 <= got[t.trial_id].eval_acc <= 1
+
+
+def packed_graphs(spark, n=40):
+    r, rows = np.random.default_rng(3), []
+    for i in range(n):
+        x = (r.normal(size=(4, 6)) * (1 + i / 10)).tolist()
+        rows.append((datetime.date(2020, 1, 1) + datetime.timedelta(i), list("abcd"), x, [0, 1, 2, 3], [1, 2, 3, 0], [0.5] * 4, [1.0] * 4, [0.0] * 4, [1.0] * 4))
+    return spark.createDataFrame(rows, jobs.PACKED)
+
+
+def test_risk_head_learns(spark):
+    packed = packed_graphs(spark)
+    rows = [(datetime.date(2020, 1, 1) + datetime.timedelta(i), i / 20 - 1.0) for i in range(36)] + [(datetime.date(2020, 1, 1) + datetime.timedelta(i), v) for i, v in ((36, None), (37, float("nan")))]
+    targets = spark.createDataFrame(rows, "date date, target double")
+    c = jobs.Training(hidden=4, epochs=12, lr=0.05, risk_weight=1.0)
+    _, head, log = jobs.train_with_head(packed, 6, 6, c, targets)
+    assert log[-1]["risk_loss"] < log[0]["risk_loss"] and np.abs(head).max() > 0
+    assert all(x["risk_loss"] is None for x in jobs.train(packed, 6, 6, dataclasses.replace(c, style="layerwise", epochs=1), targets)[1])
+
+
+def test_curriculum_and_mix():
+    c = jobs.Training(curriculum=(("steps", 1, 4), ("node_fraction", 0.5, 1.5), ("lr", 0.1, 0.2)), curriculum_start=2, curriculum_ramp=4, warmup=1, mix_start=0.2, mix_end=0.6, ramp=4)
+    assert [c.at(e).steps for e in (1, 2, 4, 6, 9)] == [1, 1, 2, 4, 4]
+    assert c.at(9).node_fraction == 1.0 and np.isclose(c.at(4).lr, 0.15)
+    assert np.allclose([c.hallucinated(e) for e in (1, 3, 5, 9)], [0, 0.4, 0.6, 0.6])
+
+
+def test_benchmark_of_styles(spark):
+    rows = {r["mode"]: r for r in jobs.benchmark(packed_graphs(spark), 6, 6, jobs.Training(hidden=4, epochs=2)).collect()}
+    assert set(rows) == {"layerwise", "e2e", "backprop"}
+    assert all(r.graphs_per_s > 0 and 0 <= r.eval_acc <= 1 and np.isclose(r.eval_sep, r.eval_g_pos - r.eval_g_neg) for r in rows.values())
+    assert [m for m, r in rows.items() if r.eval_bce is not None] == ["backprop"]
