@@ -2,8 +2,9 @@
 
 Pages become small DOM trees (runs of like siblings are one node). Trees of the same host are aligned by simple tree
 matching and merged into the host's wrapper: a node whose text stays the same over the host's pages is template, a node
-whose text varies is a slot. The slot with the article becomes the content root; a page's text is what lies in its
-counterpart of that root, without template nodes and parts that by name hold no article text.
+whose text varies is a slot. The content root is where the varying text outside links comes together; a page's text is
+what lies in its counterpart of that root, without template nodes. Names of tags and classes only part what varies alike:
+they tell an article from the comments and teasers beside it. Pages of hosts with too few pages are read by names alone.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh_path, small_batches
+from .common import copied, dealt, fresh_path, hot_keys, small_batches
 
 # HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NO_TEXT = frozenset("head nav header footer aside form button select option input dialog menu object audio video canvas map".split()) | RAW
+DARK = frozenset("head button select option input dialog object audio video canvas map".split()) | RAW
+NO_TEXT = frozenset("nav header footer aside form menu".split()) | DARK
+BOXES = frozenset("div td section".split())
+CONTAINERS = frozenset("# html body main article section div center form table tbody tr td".split())
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ARTICLE = frozenset({"article", "main"})
 # Name parts of class, id and role that mark what isn't article text, and what is.
@@ -49,11 +53,12 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element or a run of like siblings. parts: own texts and children, in order."""
 
-    __slots__ = ("sign", "tag", "words", "hidden", "parts", "apart", "chars", "digest")
+    __slots__ = ("sign", "tag", "words", "hidden", "parts", "links", "apart", "dark", "chars", "plain", "digest")
 
     def __init__(self, sign: str, tag: str, words: frozenset[str] = frozenset(), hidden: bool = False):
         self.sign, self.tag, self.words, self.hidden = sign, tag, words, hidden
         self.parts: list[str | Node] = []
+        self.links = 0  # characters of link texts among its own
 
     def children(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
@@ -83,9 +88,13 @@ def parse(page: str) -> Node:
     root = Node("#", "#")
     stack, at = [root], 0
 
+    linked = False
+
     def say(raw: str) -> None:
         if raw:
             stack[-1].parts.append(entities.unescape(raw) if "&" in raw else raw)
+            if linked:
+                stack[-1].links += len(raw)
 
     def close(tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -107,6 +116,7 @@ def parse(page: str) -> Node:
         if not m.group(2):
             continue
         tag = m.group(2).lower()
+        linked = tag == "a" and not m.group(1) or linked and tag in INLINE and tag != "a"
         if m.group(1):
             if tag == "br" or tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].parts.append(Node("br", "br"))
@@ -129,6 +139,8 @@ def parse(page: str) -> Node:
         if tag in CLOSED_BY and CLOSED_BY[tag]:
             close(CLOSED_BY[tag], frozenset({"ul", "ol", "dl", "table", "select"}))
         node = Node(sign, tag, words, hidden)
+        if stack[-1].sign in BOXES:  # a box without a name is told from its like by what it begins with
+            stack[-1].sign += f"-{tag}"
         stack[-1].parts.append(node)
         if tag not in VOID and tag not in INLINE:
             stack.append(node)
@@ -173,12 +185,12 @@ def blocks(node: Node, skip: frozenset[int] | set[int] = frozenset()) -> list[st
 
 
 class Shape:
-    """A tree for alignment: sign, digest of its text, characters of its text, whether it varies, how many pages have it, children."""
+    """A tree for alignment: sign, digest of its text, characters of its text without parts set apart by name, those outside links with them, whether it varies, how many pages have it, children."""
 
-    __slots__ = ("sign", "text", "chars", "varies", "pages", "kids", "nodes", "aside", "article")
+    __slots__ = ("sign", "text", "chars", "plain", "varies", "pages", "kids", "nodes", "aside", "article")
 
-    def __init__(self, sign: str, aside: bool, article: bool, text: str = "", chars: float = 0, varies: bool = False, pages: int = 1):
-        self.sign, self.aside, self.article, self.text, self.chars, self.varies, self.pages = sign, aside, article, text, chars, varies, pages
+    def __init__(self, sign: str, aside: bool, article: bool, text: str = "", chars: float = 0, plain: float = 0, varies: bool = False, pages: int = 1):
+        self.sign, self.aside, self.article, self.text, self.chars, self.plain, self.varies, self.pages = sign, aside, article, text, chars, plain, varies, pages
         self.kids: list[Shape] = []
         self.nodes: list[Node] = []
 
@@ -192,7 +204,7 @@ class Shape:
 
     def dump(self) -> list:
         """A flat list, since a tree may be deeper than JSON can nest."""
-        return [[x.sign, x.aside, x.article, x.text, round(x.chars), x.varies, x.pages, len(x.kids)] for x in self.every()]
+        return [[x.sign, x.aside, x.article, x.text, round(x.chars), round(x.plain), x.varies, x.pages, len(x.kids)] for x in self.every()]
 
     @staticmethod
     def load(rows: list) -> Shape:
@@ -232,10 +244,11 @@ def measure(root: Node) -> None:
         order.append(x := todo.pop())
         todo += (k for k in x.children() if k.tag not in VOID)
     for x in reversed(order):
-        x.apart = x.aside()
+        x.apart, x.dark = x.aside(), x.hidden or x.tag in DARK
         kids = [k for k in x.children() if k.tag not in VOID]
         text = " ".join("".join(p for p in x.parts if isinstance(p, str)).split())
         x.chars = len(text) + (0 if x.apart else sum(k.chars for k in kids if not k.apart))
+        x.plain = 0 if x.dark else max(0, len(text) - x.links) + sum(k.plain for k in kids)
         digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
         for k in kids:
             digest.update(k.digest)
@@ -245,7 +258,7 @@ def measure(root: Node) -> None:
 def _run(nodes: list[Node]) -> Shape:
     first = nodes[0]
     text = first.digest if len(nodes) == 1 else hashlib.blake2b(b"".join(n.digest for n in nodes), digest_size=8).digest()
-    s = Shape(first.sign, first.apart, first.tag in ARTICLE or bool(first.words & ARTICLE_WORDS) and not first.words & ASIDE_WORDS, text.hex(), sum(n.chars for n in nodes))
+    s = Shape(first.sign, first.apart, first.tag in ARTICLE or bool(first.words & ARTICLE_WORDS) and not first.words & ASIDE_WORDS, text.hex(), sum(n.chars for n in nodes), sum(n.plain for n in nodes))
     s.nodes = nodes
     return s
 
@@ -341,7 +354,7 @@ def merge(a: Shape, b: Shape) -> None:
     partner = {id(y): x for x, y in pairs}
     for x, y in pairs:
         x.varies = x.varies or y.varies or x.text != y.text
-        x.chars, x.pages = x.chars + y.chars, x.pages + y.pages
+        x.chars, x.plain, x.pages = x.chars + y.chars, x.plain + y.plain, x.pages + y.pages
         kids, at = [], 0
         for k in y.kids:
             if id(k) in partner:
@@ -377,6 +390,27 @@ def content_root(t: Shape) -> Shape:
         t = best
 
 
+def slot_root(t: Shape) -> Shape:
+    """Where the varying text outside links comes together: as deep in containers as four fifths of it stay in one of them.
+
+    If an article by name holds at least half of what varies there, it is the root: comments may vary as much.
+    """
+    def tag(s: Shape) -> str:
+        return re.split("[.-]", s.sign, maxsplit=1)[0]
+
+    varying: dict[int, float] = {}
+    for s in reversed(t.every()):  # children before their parents
+        own = s.plain - sum(k.plain for k in s.kids)
+        varying[id(s)] = max(0, own) + sum(varying[id(k)] for k in s.kids) if s.varies else 0.0
+    while True:
+        inner = [k for k in t.kids if tag(k) in CONTAINERS and varying[id(k)] >= 0.8 * varying[id(t)] > 0]
+        if not inner:
+            break
+        t = max(inner, key=lambda k: varying[id(k)])
+    named = [s for s in t.every() if s.article and not s.aside and tag(s) not in INLINE and varying[id(s)] >= 0.5 * varying[id(t)] > 0]
+    return max(named, key=lambda s: (tag(s) == "article", tag(s) in ARTICLE, varying[id(s)])) if named else t
+
+
 #: A node is template if it has the same text on so many distinct pages of a host, and on all that have it. A node in a run
 #: of like siblings is so too if its text is on so many pages and on at least half of those with a node at its path of signs.
 TEMPLATE_PAGES = 4
@@ -389,12 +423,12 @@ def _slot(above: bytes, sign: str) -> bytes:
 
 
 def members(nodes: list[Node], start: bytes = b"") -> Iterator[tuple[Node, bytes]]:
-    """The nodes with text below these, but for asides, each with its slot."""
+    """The nodes with text below these, but for what no browser shows, each with its slot."""
     todo = [(n, start) for n in nodes]
     while todo:
         x, slot = todo.pop()
         for k in x.children():
-            if k.tag not in VOID and not k.apart and k.chars:
+            if k.tag not in VOID and not k.dark and (k.plain or k.chars):
                 below = _slot(slot, k.sign)
                 yield k, below
                 todo.append((k, below))
@@ -410,7 +444,8 @@ class Wrapper:
     MOST_ALIGNED = 256
 
     def __init__(self, top: Shape, constant: frozenset[bytes] = frozenset()):
-        self.top, self.root, self.constant = top, content_root(top), constant
+        self.top, self.constant = top, constant
+        self.root = slot_root(top) if top.pages >= TEMPLATE_PAGES else content_root(top)
         self.inside = {id(x) for x in self.root.every()}
         self.aligned: dict[str, list[tuple[Shape, int]]] = {}
 
@@ -567,6 +602,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     path = fresh_path(pages.sparkSession, "wrappers")
     induce(pages).write.parquet(path)
     wrappers = pages.sparkSession.read.schema("host string, wrapper string").parquet(path)
-    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(wrappers, "host", "left")
+    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
+    # Where the wrappers outgrow a broadcast, pages of a hot host are dealt over tasks, each of which gets its wrapper.
+    hot = hot_keys(rows.groupBy("host").count(), "host", rows.count())
+    rows = dealt(rows, "host", hot).join(copied(wrappers, "host", hot), ["host", "salt"], "left")
     rows = rows.select("page_id", "url", text("html", "wrapper").alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -1,6 +1,9 @@
 """Pages that are deep, wide, repeated or have constant blocks beside their article."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from corrweave.llm import wrappers
 
@@ -54,3 +57,54 @@ def test_copies_count_once_at_every_partitioning(spark):
     one, many = texts(spark, pages, 1), texts(spark, pages, 8)
     assert one == many
     assert all(many[i] == f"{words(0)} Only here {words('li')}" for i in range(6))
+
+
+def nameless(html):
+    """The page without a telling name: no structural tags, no classes."""
+    html = re.sub(r"<(/?)(?:nav|article|footer|header|main|section|aside)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"<(div|p|ul|li)\s[^>]*>", r"<\1>", html)
+
+
+def alone(html):
+    return wrappers.extract(html, None)
+
+
+def test_variance_decides_where_names_tell_nothing(spark):
+    """Real-looking pages of hosts with enough of them, all telling names taken away: the wrapper finds the text that names would."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host = wrappers._host(F.col("url"))
+    often = pages.groupBy(host.alias("h")).agg(F.count_distinct("html").alias("n")).where("n between 12 and 40").orderBy("h").limit(12)
+    pages = pages.join(often, host == F.col("h"), "left_semi").select("page_id", "url", "html")
+    rows = {r.page_id: r.html for r in pages.collect()}
+    plain = spark.createDataFrame([(r.page_id, r.url, nameless(r.html)) for r in pages.collect()], "page_id bigint, url string, html string")
+    want = {i: alone(h) for i, h in rows.items()}
+    with_names = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    without = {r.page_id: r.text for r in wrappers.main_text(plain).collect()}
+    assert len(rows) > 100
+    assert with_names == want
+    assert without == want
+    assert sum(alone(nameless(h)) != want[i] for i, h in rows.items()) > 0.1 * len(rows)  # by the page alone these keep a menu or a notice
+
+
+def test_synthetic_hosts_without_names(spark):
+    """Menus that change with the section but are links, constant notices, a varying article in nested boxes."""
+    def page(i):
+        menu = "".join(f"<div><a href=/{i % 3}{k}>{words(f'm{i % 3}k{k}', 3)}</a></div>" for k in range(4))
+        return f"<body><table><tr><td>{menu}</td></tr></table><div><div>Notice for all readers</div><div><h1>Title {i}</h1><p>{words(i, 40)}</p><p>{words(f'{i}b', 25)}</p></div></div><div>Legal line of the house</div></body>"
+
+    got = texts(spark, [page(i) for i in range(12)])
+    assert got == {i: f"Title {i} {words(i, 40)} {words(f'{i}b', 25)}" for i in range(12)}
+
+
+def test_names_part_what_varies_alike(spark):
+    """Comments that vary as the article does go by their name, whatever their share."""
+    pages = [f"<body><div class=box><article><p>{words(i, 40)}</p></article><div class=comments><p>{words(f'{i}c', 30)}</p></div></div></body>" for i in range(6)]
+    assert texts(spark, pages) == {i: words(i, 40) for i in range(6)}
+
+
+def test_hosts_hot_and_rare_get_their_wrapper(spark):
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"<body><div><p>Constant</p></div><div class=x><p>{words(i)}</p></div></body>") for i in range(60)] + [(None, None, None), (60, "no url", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(df.withColumn("salt", F.lit(1)).withColumn("wrapper", F.lit("z")).withColumn("host", F.lit(0))).collect()}
+    assert len(got) == 62 and got[None] == "" and got[60] == ""
+    assert all(got[i] == words(i) for i in range(60) if i % 3)
