@@ -7,6 +7,7 @@ is found in the result is mapped back to the source.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -104,21 +105,48 @@ _TIMES = {"double": 2, "triple": 3}
 _WORD = "|".join([*DIGIT_WORDS, "double", "triple"])
 #: At least three digits in a row, one of them at least a word; with words that stand for other signs of a number.
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s]+)?(?:(?:(?:{_WORD})(?![A-Za-z])|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point|dash|hyphen)[\s]+)?|(?=[^A-Za-z0-9]|\Z)))" + "{3,}", re.I)
-_SPELLED_PART = re.compile(rf"\b(?:(double|triple)[\s-]+)?({'|'.join(DIGIT_WORDS)})\b|\bplus\s+|\s+(?:dot|point)\s+|\s+(?:dash|hyphen)\s+|,\s?", re.I)
-_BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I)
-_BRACKET_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I)
-_DIGIT_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
+# Patterns that take white space first begin where a run of it begins, and give none of it back: else each of its places
+# would look through the rest of it. A run that an earlier match has begun to take needs no look-behind.
+_SPELLED_PART = re.compile(rf"\b(?:(double|triple)[\s-]++)?({'|'.join(DIGIT_WORDS)})\b|\bplus\s++|(?:(?<!\s)|(?<=,\s))\s++(?:(?:dot|point)|(?:dash|hyphen))\s++|,\s?", re.I)
+_BRACKET_AT = re.compile(r"(?:(?<!\s)\s++)?+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+", re.I)
+_BRACKET_DOT = re.compile(r"(?:(?<!\s)\s++)?+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+", re.I)
+_DIGIT_DOT = re.compile(r"(?<=[0-9])\s++dot\s++(?=[0-9])", re.I)
 _LABEL = r"[A-Za-z0-9][A-Za-z0-9-]{0,62}"
 _DOT = r"(?:\s+dot\s+|\.)"
 #: A mailbox with a bare `at` needs a spelled dot in its domain; prose such as "at example.com" stays prose.
 _BARE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}(?:\s+dot\s+[A-Za-z0-9_%+-]{{1,64}}){{0,3}})(\s+at\s+)({_LABEL}(?:{_DOT}{_LABEL}){{0,4}}\s+dot\s+{_LABEL}(?:\s+dot\s+{_LABEL}){{0,2}})(?![A-Za-z0-9-])", re.I)
-_SIGN_AT = re.compile(rf"([A-Za-z0-9._%+-]+)(\s*@\s*)({_LABEL}(?:(?:{_DOT}|\s+\.\s+){_LABEL}){{1,4}})(?![A-Za-z0-9-])", re.I)
-_SPACED_DOT = re.compile(r"\s+(?:dot|\.)\s+", re.I)
+#: What follows the local part of a mailbox with a sign; `sign_at` looks for the local part from the sign backwards.
+_AT_DOMAIN = re.compile(rf"@\s*+({_LABEL}(?:(?:{_DOT}|\s+\.\s+){_LABEL}){{1,4}})(?![A-Za-z0-9-])", re.I)
+_SPACED_DOT = re.compile(r"(?<!\s)\s++(?:dot|\.)\s++", re.I)
 _LOOKS_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[\x20-]?[0-9])")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]", re.I)
 _SPACED_WORD_DOT = re.compile(r"\sdot\s", re.I)
 
 
+def sign_at(text: str) -> Iterator[tuple[Span, Span, Span]]:
+    """Local part, sign with the white space around it, domain: of each mailbox with a sign and, in its domain, dots or their disguises.
+
+    As of one pattern, leftmost and without overlap: from each @ the white space and then the local part before it are
+    taken, but nothing of the match before, so that every character is looked at once from either side.
+    """
+    end = 0
+    for m in _AT_DOMAIN.finditer(text):
+        sign = m.start()
+        while sign > end and text[sign - 1].isspace():
+            sign -= 1
+        start = sign
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < sign:
+            yield (start, sign), (sign, m.start(1)), m.span(1)
+            end = m.end()
+
+
+def bare_at(text: str) -> Iterator[tuple[Span, Span, Span]]:
+    for m in _BARE_AT.finditer(text):
+        yield m.span(1), m.span(2), m.span(3)
+
+
 class Traced:
     """A text whose every character knows the source span it came from. Until the first change, that is its own place."""
 
@@ -183,16 +211,13 @@ def fold_disguises(t: Traced) -> None:
     spelled = _SPACED_WORD_DOT.search(t.text)
     if spelled:
         t.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(t.text)])
-    for pattern, needed in ((_SIGN_AT, "@" in t.text), (_BARE_AT, spelled)):
+    for of_text, needed in ((sign_at, "@" in t.text), (bare_at, spelled)):
         if not needed:
             continue
         edits = []
-        for m in pattern.finditer(t.text):
-            for part, sign in ((1, "."), (2, "@"), (3, ".")):
-                if part == 2:
-                    edits.append((*m.span(2), sign))
-                else:
-                    edits += [(*d.span(), sign) for d in _SPACED_DOT.finditer(t.text, *m.span(part))]
+        for local, sign, domain in of_text(t.text):
+            dots = [[(*d.span(), ".") for d in _SPACED_DOT.finditer(t.text, *span)] for span in (local, domain)]
+            edits += [*dots[0], (*sign, "@"), *dots[1]]
         t.rewrite(edits)
 
 
@@ -204,8 +229,17 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     if t.text == text:
         return base
     found = {(s, k, e) for a, k, b in base_spans(t.text) for s, e in [t.source(a, b)]}
-    held = [(s, k, e) for s, k, e in found if not any(k == j and s >= x and e <= y for x, j, y in base)]
-    return sorted({*base, *held})
+    # Base spans of a kind don't overlap, so only the last to begin at or before a span can hold it.
+    ends: list[dict[int, int]] = [{} for _ in KINDS]
+    for s, k, e in base:
+        ends[k][s] = e
+    starts = [list(x) for x in ends]
+
+    def new(s: int, k: int, e: int) -> bool:
+        at = bisect.bisect_right(starts[k], s)
+        return not at or ends[k][starts[k][at - 1]] < e
+
+    return sorted({*base, *(x for x in found if new(*x))})
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -253,7 +287,7 @@ def redact(text: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of `docs` (doc_id, text).
 
-    Counts and digest are of the base spans; `spans` holds all, in code points of the source text. A null text counts
+    Time grows in proportion to a text's length, whatever it holds. Counts and digest are of the base spans; `spans` holds all, in code points of the source text. A null text counts
     as empty. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
