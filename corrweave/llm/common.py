@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, stored  # noqa: F401
+from ..sources.storage import shared_path as fresh_path  # noqa: F401
+
 #: Text bytes that one numpy pass over an Arrow batch may hold; longer single texts pass alone.
 CHUNK_BYTES = 1 << 18
 #: Rows of an Arrow batch: Spark's own 10,000 whole texts take tens of MB in each worker and in the JVM beside it.
@@ -23,27 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; only where unset, one of our own."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="corrweave-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Through Hadoop, so any store that Spark reads will do."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

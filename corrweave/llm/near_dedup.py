@@ -68,6 +68,33 @@ def variants(prints: DataFrame) -> DataFrame:
     return bits.select(key(F.col("bit")).alias("key"), "fp")
 
 
+#: A segment that more fingerprints share is long: the runs of its variants are split by the other segment's bytes.
+LONG_SEGMENT = 4096
+
+
+def split_runs(keyed: DataFrame, prints: DataFrame, long: int = LONG_SEGMENT) -> DataFrame:
+    """`keyed` (key, fp) with the keys of long runs split into up to 1,024 each, so that no run has to be held by one task.
+
+    Two fingerprints of a run differ in at most 3 bits of the other segment, so one of its 4 bytes is equal: each row of a
+    long run is told under all 4 bytes, each a key of its own. A run can be long only if one of the two segments that it
+    joins is; those are found by counting 2 rows a fingerprint, and are at most 2 / `long` of the fingerprints. Rows of
+    other runs stay as they are.
+    """
+    low = F.lit(0xFFFFFFFF)
+    segments = prints.select(F.posexplode(F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32))).alias("side", "segment"))
+    many = segments.groupBy("side", "segment").count().where(F.col("count") > long)
+    bit = F.col("side") * 32 + F.col("place")
+    wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place")))
+    key = F.call_function("shiftleft", bit.cast("bigint"), F.lit(32)) + F.col("segment").bitwiseAND(wildcard)
+    split = many.select("side", "segment", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("place")).select(key.alias("long_key")).distinct()
+    other = F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(low))
+    # Bits 40 up of a key: 1 + 256 * (place of the byte) + byte.
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(1).cast("bigint") + i * 256 + F.call_function("pmod", F.call_function("shiftrightunsigned", other, i * 8), F.lit(256)))
+    parts = F.when(F.col("long_key").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(bytes_)
+    rows = keyed.join(split, F.col("key") == F.col("long_key"), "left").select("key", "fp", F.explode(parts).alias("part"))
+    return rows.select((F.col("key") + F.call_function("shiftleft", F.col("part"), F.lit(40))).alias("key"), "fp")
+
+
 def _told_here(bit: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Of the variants that a pair with difference x shares, the first tells it."""
     low, high = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
@@ -96,7 +123,7 @@ def _search_run(bit: int, fps: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _runs(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bit = (key >> 32).astype(np.int64)
+    bit = (key >> 32).astype(np.int64) & 63
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((first, [len(key)])))
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -139,9 +166,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(np.concatenate(held_key), np.concatenate(held_fp))
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
+def fingerprint_links(prints: DataFrame, long: int = LONG_SEGMENT) -> DataFrame:
     """(a, b) of distinct fingerprints `fp` that differ in 1 to 3 bits: enough of them to connect what all would connect."""
-    return variants(prints.select("fp").distinct()).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a bigint, b bigint")
+    prints = prints.select("fp").distinct()
+    return split_runs(variants(prints), prints, long).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
