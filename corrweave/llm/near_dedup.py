@@ -182,10 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     small_batches(docs.sparkSession)
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), k, seed).alias("fp")))
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("count")))
-    links = fingerprint_links(first)
-    groups = components(links)
-    named = first.join(groups, first.fp == groups.node, "left").withColumn("component", F.coalesce("component", "fp"))
-    named = cut(named.select("fp", "first", "component"))
+    named = named_components(first)
     # The component's own name is a fingerprint; its smallest doc_id is what is wanted.
     least = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("count"))
     large = hot_keys(least, "component", named.count())
@@ -193,3 +190,37 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     copies = hot_keys(first, "fp", prints.count())
     rows = dealt(prints, "fp", copies).join(copied(of_print, "fp", copies), ["fp", "salt"])
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def named_components(first: DataFrame) -> DataFrame:
+    """`first` (fp, ..), a row for each distinct fingerprint, with `component`, a fingerprint that names its component."""
+    groups = components(fingerprint_links(first))
+    named = first.join(groups, first.fp == groups.node, "left").withColumn("component", F.coalesce("component", "fp"))
+    return cut(named.select(*first.columns, "component"))
+
+
+def deduplicated(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each near-duplicate component of `docs` (doc_id, text, ..), with all its columns.
+
+    The row with the smallest doc_id stays; without one only where the component has no other. Of several rows with that
+    doc_id the one with the smallest hash of all its values stays, so a text never goes for a namesake of another
+    component, and of rows that are equal in every column one. Null and empty texts are one component. Columns of any
+    name may be there; an empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
+    own = {name: _unused(docs, name) for name in ("hash", "kept_id", "kept_hash")}
+    values = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = cut(docs.select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", values.alias("hash"), fingerprint(F.col("text"), k, seed).alias("fp")))
+    first = cut(rows.groupBy("fp").agg(F.min(F.struct("unnamed", "doc_id", "hash")).alias("first")))
+    kept = named_components(first).groupBy("component").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias(own["kept_id"]), F.col("first.hash").alias(own["kept_hash"]))
+    marked = docs.withColumn(own["hash"], values)
+    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(own["kept_id"])) & (F.col(own["hash"]) == F.col(own["kept_hash"])), "left_semi")
+    return held.dropDuplicates(["doc_id", own["hash"]]).drop(own["hash"])
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

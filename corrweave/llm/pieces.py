@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -33,9 +34,27 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Recent:
+    """Words and what was found for them, in two generations: a full young one becomes the old one, so that words met again stay."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def keep(self, word: str, found: list[int]) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[word] = found
+
+    def get(self, word: str) -> list[int] | None:
+        found = self.young.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.keep(word, found)
+        return found
+
+
 class PieceCodec:
-    #: Words whose ids are kept; all are forgotten at the bound.
-    MOST = 100_000
+    #: Words of one generation whose ids are kept.
+    MOST = 150_000
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -67,7 +86,8 @@ class PieceCodec:
         self.unknown_score = min(scores, default=0.0) - UNKNOWN_PENALTY
         # No piece goes on over the start of a word, so the best path is the best paths of the words.
         self.words = re.compile("(?s).+") if inner else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, list[int]] = {}
+        self.singles = frozenset(p.piece for p in model.pieces if p.type in (NORMAL, USER) and len(p.piece) == 1)
+        self.known = Recent(self.MOST)
 
     def normalise(self, text: str) -> str:
         if not self.plain:
@@ -79,6 +99,26 @@ class PieceCodec:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
     def viterbi(self, word: str) -> list[int]:
+        return self._covered(word) if self.singles.issuperset(word) else self._gapped(word)
+
+    def _covered(self, word: str) -> list[int]:
+        """Of a word whose every character is a piece: no unknown one, which costs more than any piece, is on its best path."""
+        n = len(word)
+        best, back = [-inf] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for end, piece in self.automaton.iter(word):
+            end += 1
+            reached = best[end - piece[0]] + piece[1]
+            if reached > best[end]:
+                best[end], back[end] = reached, piece
+        ids: list[int] = []
+        while n:
+            size, _, i = back[n]
+            ids.append(i)
+            n -= size
+        return ids[::-1]
+
+    def _gapped(self, word: str) -> list[int]:
         n = len(word)
         best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
         done = 0
@@ -112,15 +152,16 @@ class PieceCodec:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        known = self.known
+        known, young = self.known, self.known.young
         for word in self.words.findall(self.normalise(text)):
-            found = known.get(word)
+            found = young.get(word)
             if found is None:
-                found = self.viterbi(word)
-                if len(word) <= 64:
-                    if len(known) >= self.MOST:
-                        known.clear()
-                    known[word] = found
+                found = known.get(word)
+                if found is None:
+                    found = self.viterbi(word)
+                    if len(word) <= 64:
+                        known.keep(word, found)
+                young = known.young
             ids += found
         return ids
 
