@@ -6,41 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrweave.llm import language, near_dedup, packing, pii, quality
-from corrweave.llm.common import fresh_path, small_batches, table
+from corrweave.llm.common import small_batches, stored, table
 
 #: Documents that score lower than this are rejected.
 QUALITY_AT_LEAST = 0.5
+#: Documents whose language has a smaller share than this of all languages' are rejected: as likely another one's.
+LANGUAGE_AT_LEAST = 0.5
+#: The languages to keep; None: all that the documents' labels teach.
+LANGUAGES: tuple[str, ...] | None = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier, learned from these documents' labels, finds good."""
+    """Keeps what the classifier, learned from these documents' labels, finds good.
+
+    Null and empty texts get the score of one empty passage. Repeated rows get equal scores and stay or go together; columns
+    of any name stay as they are; an empty table stays empty.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score(F.col("text"), model) >= QUALITY_AT_LEAST)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: texts that are null or have no letter."""
-    model = language.learn(docs)
-    return docs.where(language.predict(F.col("text"), model)["lang_pred"] != language.UNDETERMINED)
+    """Keeps documents in one of LANGUAGES that the model tells with a share of at least LANGUAGE_AT_LEAST.
+
+    Texts that are null or have no letter, and all texts where no label teaches a language, are in none. Repeated rows stay
+    or go together; columns of any name stay as they are; an empty table stays empty.
+    """
+    return in_languages(docs, LANGUAGES, LANGUAGE_AT_LEAST)
+
+
+def in_languages(docs: DataFrame, languages: tuple[str, ...] | None, at_least: float) -> DataFrame:
+    said = language.predict(F.col("text"), language.learn(docs))
+    told = (said["lang_pred"] != language.UNDETERMINED) & (said["score"] >= at_least)
+    return docs.where(told if languages is None else told & said["lang_pred"].isin(*languages))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component: the one with the smallest doc_id (rows without one stay)."""
-    grouped = near_dedup.near_duplicates(docs)
-    # One row of a component's smallest doc_id stays, also where rows with that doc_id repeat.
-    keepers = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keepers, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each near-duplicate component, as `near_dedup.deduplicated` chooses it, with its columns as they are."""
+    return near_dedup.deduplicated(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts kinds in brackets in place of personal data; n_chars follows."""
+    """Puts kinds in brackets in place of personal data; n_chars follows. Null texts and other columns stay; every row stays."""
     small_batches(spark)
     masked = docs.withColumn("text", pii.redact(F.col("text")))
     return masked.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences, as `packing.pack` gives them: null and empty texts are an end id alone."""
     return packing.pack(docs)
 
 
@@ -60,7 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
