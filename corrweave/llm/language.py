@@ -18,8 +18,10 @@ from pyspark.sql.functions import arrow_udf
 from .common import chunks, small_batches
 from .sampling import held_out, per_class
 
-#: Symbols parsed as one lane; a phrase ends with its lane.
+#: Symbols parsed as one lane, side by side with others; phrases go on from lane to lane.
 LANE = 512
+#: Bytes of text parsed at once; what is held beside them is about 40 times as much, for each language a quarter of that.
+PARSE_BYTES = 1 << 20
 UNKNOWN, GAP = 0, 1
 #: The language of texts in which none can be told.
 UNDETERMINED = "und"
@@ -119,6 +121,36 @@ class Parser:
         gap = s == GAP
         return s[~(gap & np.concatenate(([False], gap[:-1])))] if len(s) else s
 
+    def _mended(self, sizes: np.ndarray, root: np.ndarray, inner: np.ndarray, before: np.ndarray, grid: np.ndarray, states: list[np.ndarray], counts: list[np.ndarray], exits: np.ndarray, phrases: np.ndarray) -> None:
+        """Puts exits and phrases right where a lane is entered within a phrase.
+
+        All lanes were parsed from the root. From its true entry a lane soon comes to a state that it had at the same place
+        from the root, and is the same from there on; until then it is parsed again. A lane whose exit changes by that is
+        an entry that changes, so this is repeated while any does. inner: the lanes that go on from those in `before`.
+        """
+        rooted_exits, rooted = exits.copy(), phrases.copy()
+        entered = np.repeat(root, len(inner), axis=1)
+        while True:
+            lang, i = np.nonzero(exits[:, before] != entered)
+            if not len(i):
+                return
+            entered[lang, i] = state = exits[lang, before[i]]
+            lane, said = inner[i], np.zeros(len(i), np.int64)
+            exits[lang, lane], phrases[lang, lane] = rooted_exits[lang, lane], rooted[lang, lane]
+            for t in range(LANE):
+                over = sizes[lane] <= t
+                if over.any():  # never met the other parse: its own exit and count stand
+                    exits[lang[over], lane[over]], phrases[lang[over], lane[over]] = state[over], said[over]
+                    lang, lane, state, said = lang[~over], lane[~over], state[~over], said[~over]
+                if not len(lane):
+                    break
+                got = self.table[state + grid[t][lane]]
+                state, said = got >> 2, said + (got & 3)
+                met = states[t][lang, lane] == state
+                phrases[lang[met], lane[met]] += said[met] - counts[t][lang[met], lane[met]]
+                lang, lane, state, said = lang[~met], lane[~met], state[~met], said[~met]
+            exits[lang, lane], phrases[lang, lane] = state, said
+
     def rates(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): bits that the phrases take for each symbol; empty texts get zeros."""
         sequences = [self.symbols(t) for t in texts]
@@ -127,22 +159,29 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), lanes)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         length = np.minimum(LANE, sizes[owner] - within * LANE)
-        order = np.argsort(-length, kind="stable")
+        order = np.argsort(-length, kind="stable")  # long lanes first, so that those still parsed are the first ones
+        place = np.argsort(order, kind="stable")
         phrases = np.zeros((len(self.languages), len(owner)), np.int64)
         if len(owner):
             flat = np.concatenate([*sequences, np.zeros(LANE, np.int32)])
-            starts = (np.cumsum(sizes) - sizes)[owner] + within * LANE
-            grid = np.ascontiguousarray(flat[starts[order][None, :] + np.arange(LANE)[:, None]])
-            active = np.searchsorted(-length[order], -np.arange(LANE), side="left")
+            starts = ((np.cumsum(sizes) - sizes)[owner] + within * LANE)[order]
             root = np.array(self.root, self.table.dtype)[:, None]
-            state = np.repeat(root << 2, len(owner), axis=1)
-            for t in range(LANE):
-                n = active[t]
-                if not n:
-                    break
-                state[:, :n] = got = self.table[(state[:, :n] >> 2) + grid[t, :n]]
+            exits = np.repeat(root, len(owner), axis=1)
+            grid, states, counts = [], [], []
+            active = np.searchsorted(-length[order], -np.arange(LANE), side="left")
+            inner = np.flatnonzero(within)
+            for n in active[active > 0]:
+                grid.append(flat[starts[:n] + len(grid)])
+                exits[:, :n] = got = self.table[exits[:, :n] + grid[-1]]
+                exits[:, :n] >>= 2
                 phrases[:, :n] += got & 3
-            phrases += (state >> 2) != root  # the phrase that the lane's end cuts
+                if len(inner):
+                    states.append(exits[:, :n].copy())
+                    counts.append(phrases[:, :n].astype(np.int16))
+            if len(inner):
+                self._mended(length[order], root, place[inner], place[inner - 1], grid, states, counts, exits, phrases)
+            last = np.concatenate((within[1:] == 0, [True]))[order]
+            phrases += last & (exits != root)  # the phrase that the text's end cuts
         total = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
             total[:, k] = np.bincount(owner[order], weights=phrases[k], minlength=len(texts)) * self.bits[k]
@@ -193,7 +232,7 @@ def predict(text: Column, model: tuple[tuple[str, tuple[str, ...]], ...]) -> Col
         _, letter = _letters()
         langs: list[str] = []
         scores, best = [np.zeros(0)], [np.zeros(0)]
-        for part in chunks(texts):
+        for part in chunks(texts, PARSE_BYTES):
             strings = [t or "" for t in part.to_pylist()]
             known = np.array([bool(model) and bool(letter[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in strings])
             rates = parser.rates(strings) if model else np.zeros((len(strings), 1))

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 32
+#: Points of a data leaf, and queries of a query leaf: all of a query leaf share one bound, so it has to be narrow.
+LEAF, QUERY_LEAF = 32, 8
 #: Points scored at once when leaves are reached.
 BATCH = 256
 
@@ -25,8 +26,8 @@ class CoverTree:
     A node of scale s splits into children whose centres are more than s / 2 apart and whose points lie within s / 2.
     """
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points, self.leaf = points, leaf
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[np.ndarray | None] = []
@@ -46,7 +47,7 @@ class CoverTree:
             self.radius.append(float(distance.max()))
             self.children.append(None)
             self.members.append(mine)
-            if len(mine) > LEAF and distance.max() > 0:
+            if len(mine) > self.leaf and distance.max() > 0:
                 todo.append((mine, distance, node, []))
             return node
 
@@ -77,6 +78,9 @@ class _Best:
         self.match = np.full((len(query_ids), k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if scores.dtype == object:
+            self.score = self.score.astype(object)
+            scores = np.clip(scores, -(1 << 63), (1 << 63) - 1)
         scores = np.where(self.ids[rows][:, None] == ids[None, :], -np.inf, scores)
         all_scores = np.concatenate((self.score[rows], scores), axis=1)
         all_ids = np.concatenate((self.match[rows], np.broadcast_to(ids, scores.shape)), axis=1)
@@ -86,17 +90,19 @@ class _Best:
 
 
 def dual_tree_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> _Best:
-    best, q, c = _Best(query_ids, k), CoverTree(queries), CoverTree(points)
+    """queries and points of doubles, or of Python's integers: then trees and bounds are of doubles with room for their error, and scores exact."""
+    best, q, c = _Best(query_ids, k), CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(points.astype(np.float64))
     if not len(queries) or not len(points):
         return best
 
     def worst(rows: np.ndarray) -> float:
-        return best.score[rows, -1].min()
+        return float(best.score[rows, -1].min())
 
     def bounds(node: int, against: np.ndarray) -> np.ndarray:
         r, n = q.radii[node], q.norms[node]
         reach = c.centres[against] @ q.centres[node] + c.radii[against] * (n + r) + r * c.norms[against]
-        return reach + 1e-9 * (np.abs(reach) + 1) + 1e-6
+        reach = np.minimum(reach + 1e-9 * (c.norms[against] + c.radii[against]) * (n + r) + 1e-6, 2.0**63)
+        return np.maximum(reach, -(2.0**63))  # scores are held to a long, so their bounds are too
 
     rows_of: dict[int, np.ndarray] = {}
     for node in reversed(range(len(q.centre))):  # children come after their parents
@@ -136,9 +142,14 @@ def _vectors(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     flat = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     ids = t.column("id").to_numpy()
     v = flat.reshape(len(ids), -1)
-    # Whole numbers: doubles are exact while no sum of products passes 2^53; else Python's own integers are.
-    largest = float(np.abs(v.astype(np.float64)).max(initial=0))
-    return ids, v.astype(np.float64) if largest * largest * max(1, v.shape[1]) < 2.0**53 else v.astype(object)
+    return ids, v
+
+
+def _numbers(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as doubles while no sum of products passes 2^53, so that they are exact; else as Python's own integers."""
+    q, p = (float(np.abs(v.astype(np.float64)).max(initial=0)) for v in (queries, points))
+    kind = np.float64 if q * p * max(1, queries.shape[1]) < 2.0**53 else object
+    return queries.astype(kind), points.astype(kind)
 
 
 def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -147,14 +158,8 @@ def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table({n: pa.array([], t) for n, t in kinds.items()})
     query_ids, queries = _vectors(left, "v")
     ids, points = _vectors(right, "v")
-    if queries.dtype == object or points.dtype == object:
-        best = _Best(query_ids, k)
-        rows = np.arange(len(query_ids))
-        best.score, best.match = best.score.astype(object), best.match
-        for a in range(0, len(ids), 256):
-            best.offer(rows, queries.astype(np.int64).astype(object) @ points[a : a + 256].astype(np.int64).astype(object).T, ids[a : a + 256])
-    else:
-        best = dual_tree_top_k(query_ids, queries, ids, points, k)
+    queries, points = _numbers(queries, points)
+    best = dual_tree_top_k(query_ids, queries, ids, points, k)
     real = best.match != np.iinfo(np.int64).max
     real &= best.score.astype(np.float64) != -np.inf
     return pa.table({"query_id": pa.array(np.repeat(query_ids, real.sum(axis=1))), "vec_id": pa.array(best.match[real]), "score": pa.array(best.score[real].astype(np.int64))})
@@ -165,7 +170,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
 
     Components become floor(scale * x). Every other row is a candidate; ties go to the smaller vec_id. Rows with a null
     vec_id or vector, or with null or non-finite components, take no part. Of rows with one vec_id, the one with the
-    smallest vector counts. Vectors meet only those of their own length. Other columns are ignored, an empty table
+    smallest vector counts. Components and scores beyond a long are the nearest long, and tie there. Vectors meet only those of their own length. Other columns are ignored, an empty table
     gives an empty one.
     """
     x = F.col("embedding")

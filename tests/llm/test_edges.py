@@ -1,5 +1,6 @@
 """Every operator over an awkward table and an empty one: a row for each row, nothing crashes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +36,32 @@ def test_search_edges(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in search.top_k(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2), (0, 2, 3)]
     assert search.top_k(df.limit(0)).count() == 0
+
+
+def test_search_of_large_components(spark):
+    """Products beyond 2^53 stay exact, scores beyond a long are the nearest long and tie to the smaller vec_id."""
+    rows = [(0, [3e9, 1.0]), (1, [3e9, -2.0]), (2, [3e9, 5.0]), (3, [-1e300, 0.0]), (4, [1e300, 0.0]), (5, [2e15, 0.0]), (6, [1.0, 1.0])]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    top, low = (1 << 63) - 1, -(1 << 63)
+    v = {i: [max(low, min(top, int(np.floor(1024 * x)))) for x in e] for i, e in rows}
+    want = sorted((-max(low, min(top, sum(a * b for a, b in zip(v[0], v[i])))), i) for i in v if i)
+    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in want]
+
+
+def test_search_prunes_and_stays_exact():
+    """Clusters far apart: far fewer pairs are scored than there are, and nothing is lost."""
+    r = np.random.default_rng(4)
+    points = np.concatenate([r.integers(-20, 20, (400, 4)) + c for c in ([9000, 0, 0, 0], [0, 9000, 0, 0], [-9000, 0, 0, 0], [0, 0, 9000, 0])]).astype(float)
+    queries = points[::50]
+    scored = []
+    best = search.dual_tree_top_k(np.arange(0, 1600, 50), queries, np.arange(1600), points, 10)
+    plain = search._Best.offer
+    try:
+        search._Best.offer = lambda self, rows, scores, ids: scored.append(scores.size) or plain(self, rows, scores, ids)
+        search.dual_tree_top_k(np.arange(0, 1600, 50), queries, np.arange(1600), points, 10)
+    finally:
+        search._Best.offer = plain
+    for n, q in enumerate(range(0, 1600, 50)):
+        want = sorted((-float(queries[n] @ points[i]), i) for i in range(1600) if i != q)[:10]
+        assert [(-s, i) for s, i in zip(best.score[n], best.match[n])] == want
+    assert sum(scored) < 0.5 * len(queries) * len(points)

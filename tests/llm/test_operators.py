@@ -65,6 +65,29 @@ def test_parser_needs_the_fewest_longest_phrases():
     assert np.isclose(p.rates([text])[0, 0], n * p.bits[0] / len(text))
 
 
+def test_phrases_go_on_over_any_length():
+    """Long texts, periodic ones too, in batches of unlike lengths, against the parse of one text after another."""
+    r = np.random.default_rng(8)
+
+    def prose(n, letters="abcde "):
+        return "".join(r.choice(list(letters), n))
+
+    sources = {"a": prose(900), "b": "ab" * 700 + prose(300, "abz"), "c": prose(50, "xyz") + "a" * 900}
+    p = language.Parser(tuple((k, (v,)) for k, v in sources.items()))
+    texts = ["ab" * 2000, "a" * 5000, prose(3000), prose(1025, "abxyz"), "z", "", "aab" * 1200 + prose(700), sources["a"] * 3, "b" * 512, "ab" * 256 + "z"]
+    found = p.rates(texts)
+    for i, text in enumerate(texts):
+        for k, (_, source) in enumerate(sources.items()):
+            text_, source_ = ("".join(map(chr, p.symbols(x).tolist())) for x in (text, source))
+            n, at = 0, 0
+            while at < len(text_):
+                size = 1
+                while at + size < len(text_) and text_[at : at + size + 1] in source_:
+                    size += 1
+                n, at = n + 1, at + size
+            assert np.isclose(found[i, k], n * p.bits[k] / max(1, len(text_))), (i, k)
+
+
 def test_pieces_as_brute_force(spark, documents):
     """The best score over every way to cut a text into pieces, by trying all pieces that end at each place."""
     from sentencepiece import sentencepiece_model_pb2
