@@ -9,6 +9,7 @@ one block moved to the front, find every pair within the radius by equality join
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, shuffle_width, small_batches
+from .common import chunks, copied, cut, dealt, hot_keys, shuffle_width, small_batches
 
 BITS = 128
 #: Shingle length in words: weight of a vote.
@@ -126,47 +127,162 @@ def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFra
     return met.where(first).select("query", "match", distance.alias("distance")).where(F.col("distance") <= radius)
 
 
+#: Fingerprints of one block key beyond which the key is split by the blocks of what is left of them.
+LONG_BLOCK = 4096
+
+
+def _block_bounds(size: int, parts: int) -> list[int]:
+    return [round(i * size / parts) for i in range(parts + 1)]
+
+
+def block_rows(prints: DataFrame, radius: int, long: int = LONG_BLOCK) -> DataFrame:
+    """(table, key, high, low) of distinct `fingerprint`s: each in radius + 1 tables, keyed by the block that the table has in front.
+
+    A key that many fingerprints share is split: of the bits behind its block, cut into radius + 1 blocks too, one is equal
+    in both of a pair, so each row goes into a table for each of them. table is the block, or for split keys block + 32 *
+    (1 + the second block). Keys are hashes; who compares their fingerprints loses nothing by a collision.
+    """
+    bounds = _block_bounds(BITS // 4, radius + 1)
+    blocks = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(bounds, bounds[1:])]
+    rests = [F.concat(F.substring("fingerprint", 1, a), F.substring("fingerprint", b + 1, BITS // 4 - b)) for a, b in zip(bounds, bounds[1:])]
+    halves = [F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("bigint").alias(name) for at, name in ((1, "high"), (17, "low"))]
+    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), block).alias("key"), rest.alias("rest")) for i, (block, rest) in enumerate(zip(blocks, rests))])
+    rows = prints.select(*halves, F.inline(tables))
+    many = rows.groupBy("key").count().where(F.col("count") > long).select(F.col("key").alias("long_key"))
+    marked = rows.join(many, F.col("key") == F.col("long_key"), "left")
+
+    def second(i: int, table: Column, key: Column, rest: Column) -> Column:
+        a, b = (F.floor(F.length(rest) * n / (radius + 1)).cast("int") for n in (i, i + 1))
+        return F.struct((table + 32 * (1 + i)).alias("table"), F.xxhash64(key, F.lit(i), F.substring(rest, a + 1, b - a)).alias("key"))
+
+    split = F.array(*[second(i, F.col("table"), F.col("key"), F.col("rest")) for i in range(radius + 1)])
+    whole = F.array(F.struct("table", "key"))
+    return marked.select("high", "low", F.inline(F.when(F.col("long_key").isNull(), whole).otherwise(split))).select("table", "key", "high", "low")
+
+
+def _masks(radius: int) -> dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """For each table of `block_rows`: the blocks before its own, and the second blocks before its own, as masks of both halves."""
+    digits = BITS // 4
+
+    def halves(places: list[int]) -> tuple[int, int]:
+        whole = sum(0xF << 4 * (digits - 1 - d) for d in places)
+        return whole >> 64, whole & (1 << 64) - 1
+
+    bounds, out = _block_bounds(digits, radius + 1), {}
+    blocks = [list(range(a, b)) for a, b in zip(bounds, bounds[1:])]
+    for i, block in enumerate(blocks):
+        rest = [d for d in range(digits) if d not in block]
+        seconds = [rest[len(rest) * j // (radius + 1) : len(rest) * (j + 1) // (radius + 1)] for j in range(radius + 1)]
+        out[i] = ([halves(x) for x in blocks[: i + 1]], [])
+        for j in range(radius + 1):
+            out[i + 32 * (1 + j)] = ([halves(x) for x in blocks[: i + 1]], [halves(x) for x in seconds[: j + 1]])
+    return out
+
+
+def _run_counts(masks: tuple, radius: int, high: np.ndarray, low: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """For each fingerprint of one key the others within the radius that this table tells: those whose first equal block, and second one, is its own."""
+    n, out = len(high), np.zeros(len(high), np.int64)
+    rows = max(1, step // n)
+    for at in range(0, n, rows):
+        x, y = high[at : at + rows, None] ^ high, low[at : at + rows, None] ^ low
+        near = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= radius
+        near[np.arange(len(near)), at + np.arange(len(near))] = False
+        for group in masks:
+            for i, (m, k) in enumerate(group):
+                equal = ((x & _U(m)) | (y & _U(k))) == 0
+                near &= equal if i == len(group) - 1 else ~equal
+        out[at : at + rows] = near.sum(axis=1)
+    return out
+
+
+def _near_counts(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(high, low, near) of the runs of rows in order of table and key that have any; a run that goes on in the next batch is carried over."""
+    masks, held = _masks(radius), None
+
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+        size = np.diff(np.concatenate((starts, [len(rows)])))
+        near = np.zeros(len(rows), np.int64)
+        for s, n in zip(starts[size > 1], size[size > 1]):
+            near[s : s + n] = _run_counts(masks[int(rows[s, 0])], radius, rows[s : s + n, 2].view(np.uint64), rows[s : s + n, 3].view(np.uint64))
+        found = near > 0
+        return pa.RecordBatch.from_arrays([pa.array(rows[found, 2]), pa.array(rows[found, 3]), pa.array(near[found])], ["high", "low", "near"])
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        if held is not None:
+            rows = np.concatenate((held, rows))
+        if not len(rows):
+            continue
+        last = len(rows) - int(np.argmax((rows[::-1, :2] != rows[-1, :2]).any(axis=1))) if (rows[:, :2] != rows[-1, :2]).any() else 0
+        if last:
+            yield told(rows[:last].copy(order="F"))
+        held = rows[last:]
+    if held is not None and len(held):
+        yield told(held.copy(order="F"))
+
+
+def near_counts(prints: DataFrame, radius: int = 3, long: int = LONG_BLOCK) -> DataFrame:
+    """(fingerprint, n_near): how many other distinct fingerprints lie within the radius, of those that have any.
+
+    All are found by the block tables, each pair by the first that can tell it; of a key's run only counts leave the task,
+    never its pairs. Null fingerprints take no part, repeated ones count once. Radius 0 to 31.
+    """
+    rows = block_rows(prints.where("fingerprint is not null").select("fingerprint").distinct(), radius, long)
+    ordered = rows.repartition("table", "key").sortWithinPartitions("table", "key")
+    found = ordered.mapInArrow(functools.partial(_near_counts, radius), "high bigint, low bigint, near bigint")
+    name = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("high", "low")]).alias("fingerprint")
+    return found.groupBy("high", "low").agg(F.sum("near").alias("n_near")).select(name, "n_near")
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, text, fingerprint) with the next document's text and fingerprint, in descending doc_id, in a ring.
 
-    Null texts are empty; equal doc_ids go by text, a null doc_id comes last. Documents are dealt into ranges of
-    doc_id; a range's last document takes the first of the next range, so that no task sees more than its range.
+    Null texts are empty; equal doc_ids go by text, a null doc_id comes last and goes by a hash of the text. Documents are
+    dealt into ranges of that order; a range's last document takes the first of the next range, so that no task sees more
+    than its range.
     """
     spark = docs.sparkSession
     parts = parts or 4 * shuffle_width(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))).alias("order"), "doc_id")
-    cuts = ids.where("doc_id is not null").agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("by_hash"))
+    named = docs.where("doc_id is not null").select((-F.col("doc_id").cast("double")).alias("order"))
+    cuts = named.agg(F.percentile_approx("order", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) == 2:
         splits.insert(1, 0.0)
-    deal = Bucketizer(splits=splits, inputCol="order", outputCol="part", handleInvalid="keep")
-    rows = deal.transform(rows.withColumn("order", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))).drop("order")
-    # Of each range the first document: at most `parts` rows, found on the ids alone.
-    heads = deal.transform(ids).groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    firsts = rows.join(F.broadcast(heads.select(F.col("part").alias("p"), F.col("doc_id").alias("d"))), F.expr("part = p and doc_id <=> d"))
-    firsts = firsts.groupBy("part").agg(F.min("text").alias("text")).coalesce(1)
-    ring = Window.orderBy("part")
-    follow = F.coalesce(F.lead("text").over(ring), F.first("text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    follow = firsts.select("part", follow.alias("after"))
+    deal = Bucketizer(splits=splits, inputCol="order", outputCol="bucket", handleInvalid="keep")
+    rows = deal.transform(rows.withColumn("order", -F.col("doc_id").cast("double")))
+    # Rows without an id: ranges of the hash behind those of ids, by its first bits.
+    unnamed = F.lit(len(splits)) + (F.shiftright("by_hash", 57) + 64)
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), unnamed).otherwise(F.col("bucket")).cast("int")).drop("order", "bucket")
+    # Of each range the first document: at most `parts` + 128 rows, found without the texts.
+    first = F.min(F.struct((-F.col("doc_id")).alias("order"), "by_hash"))
+    heads = rows.groupBy("part").agg(first.alias("first")).select(F.col("part").alias("p"), (-F.col("first.order")).alias("d"), F.col("first.by_hash").alias("h"))
+    firsts = rows.join(F.broadcast(heads), F.expr("part = p and doc_id <=> d and by_hash <=> h")).groupBy("part").agg(F.min("text").alias("after"))
+    # The ring goes over the ranges' numbers alone; the texts follow by a join.
+    ring, every = Window.orderBy("p"), Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = heads.select("p", F.coalesce(F.lead("p").over(ring), F.first("p").over(every)).alias("next"))
+    follow = ranges.join(firsts, F.col("next") == F.col("part")).select(F.col("p").alias("of"), "after")
     follow = follow.withColumn("after_fingerprint", fingerprint(F.col("after")))
 
     rows = rows.withColumn("fingerprint", fingerprint(F.col("text")))
-    order = Window.partitionBy("part").orderBy(F.desc("doc_id"), "text")
+    order = Window.partitionBy("part").orderBy(F.desc("doc_id"), "by_hash", "text")
     rows = rows.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
-    rows = rows.join(follow, "part", "left")
+    rows = rows.join(follow, F.col("part") == F.col("of"), "left")
     return rows.select(
         "doc_id", "text", "fingerprint",
         F.coalesce("next_text", "after").alias("next_text"), F.coalesce("next_fingerprint", "after_fingerprint").alias("next_fingerprint"),
     )
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
+def edited_likeness(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Each document's fingerprint beside that of an edited text and that of the next document.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, in descending doc_id; the last document's next is the first, a lone document's is itself. Null texts are
-    empty, repeated rows stay, other columns are ignored, an empty table gives an empty one.
+    empty, repeated rows stay, other columns are ignored, an empty table gives an empty one. n_near is the number of other
+    distinct fingerprints of the table within `radius` bits of the document's own, as the block tables find them.
     """
     small_batches(docs.sparkSession)
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
@@ -174,8 +290,14 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
     rows = rows.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    rows = cut(
+        rows.select(
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+            likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        )
     )
+    near = near_counts(rows, radius)
+    copies = hot_keys(rows.groupBy("fingerprint").count(), "fingerprint", rows.count())
+    found = dealt(rows, "fingerprint", copies).join(copied(near, "fingerprint", copies), ["fingerprint", "salt"], "left")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))

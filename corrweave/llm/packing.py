@@ -112,7 +112,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     A null or empty text has the end id alone. Repeated rows are packed as often as they occur, ties in length are
-    broken by doc_id and piece, other columns are ignored, an empty table gives an empty one. The driver holds the
+    broken by doc_id, piece, start and content, other columns are ignored, an empty table gives an empty one. The driver holds the
     histogram of lengths, at most `capacity` rows.
     """
     spark = docs.sparkSession
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path:
     pieces = cut(cut_pieces(docs, capacity, end_id, tokenizer_path))
     # One length may be hot (copies of one document), so ranks are taken in salted parts and shifted by the parts before.
     salts = 4 * shuffle_width(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(7)), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path:
             offset[mine] = off[k]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(parts, ["length", "salt"])
     ranked = ranked.withColumn("place", place("length", F.col("before") + F.col("within") - 1))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")

@@ -36,6 +36,46 @@ def test_block_tables_find_all_neighbours(spark):
     assert got == want
 
 
+def test_block_tables_count_all_neighbours(spark):
+    """With keys that many share, split or not, and runs that go over batches."""
+    r = np.random.default_rng(6)
+    seeds = [int.from_bytes(r.bytes(16), "big") for _ in range(6)]
+    prints = {f"{s ^ sum(1 << int(b) for b in r.choice(128, k, replace=False)):032x}" for s in seeds for k in (0, 1, 1, 2, 2, 3) for _ in range(12)}
+    shared = seeds[0] >> 96 << 96  # many fingerprints with one first block
+    prints |= {f"{shared | int.from_bytes(r.bytes(12), 'big'):032x}" for _ in range(300)}
+    df = spark.createDataFrame([(p,) for p in [*prints, next(iter(prints))]] + [(None,)], "fingerprint string")
+    numbers = {p: int(p, 16) for p in prints}
+    for radius in (0, 3, 5):
+        want = {p: n for p, a in numbers.items() if (n := sum(0 < (a ^ b).bit_count() <= radius for b in numbers.values()))}
+        for long in (16, 100_000):
+            assert {x.fingerprint: x.n_near for x in fingerprints.near_counts(df, radius, long).collect()} == want, (radius, long)
+
+
+def test_ring_of_rows_without_ids(spark):
+    """Each text is the next of exactly one row, whatever the ids, ties and nulls."""
+    rows = [(i // 2, f"text {i} " * 3) for i in range(60)] + [(None, f"none {i} " * 3) for i in range(60)] + [(None, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprints.with_next(df, 5).collect()
+    assert sorted(r.next_text for r in got) == sorted(t or "" for _, t in rows)
+    ids = sorted(((r.doc_id, r.text, r.next_text) for r in got if r.doc_id is not None), key=lambda x: (-x[0], x[1]))
+    assert all(a[2] == b[1] for a, b in zip(ids, ids[1:]))
+    alone = fingerprints.with_next(df.limit(1)).first()
+    assert alone.next_text == alone.text
+
+
+def test_votes_by_hand(spark, documents):
+    """Bits, likeness and neighbours recomputed one document at a time."""
+    got = fingerprints.edited_likeness(documents).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    distinct = set(prints.values())
+    order = sorted(prints, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    for r in got:
+        assert np.isclose(r.near_edited, 1 - (prints[r.doc_id] ^ int(r.edited_fingerprint, 16)).bit_count() / 128)
+        assert np.isclose(r.near_next, 1 - (prints[r.doc_id] ^ prints[after[r.doc_id]]).bit_count() / 128)
+        assert r.n_near == sum(0 < (prints[r.doc_id] ^ p).bit_count() <= 3 for p in distinct)
+
+
 def page(i, body):
     return f"<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class='main'><h1>Story {i}</h1><p>{body}</p><p>Always the same line.</p></div><script>x=1</script><footer>All rights {i}</footer></body></html>"
 
