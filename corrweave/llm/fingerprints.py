@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, copied, cut, dealt, hot_keys, shuffle_width, small_batches
+from .common import chunks, copied, cut, dealt, hot_keys, shuffle_width, small_batches, stored
 
 BITS = 128
 #: Shingle length in words: weight of a vote.
@@ -148,7 +148,8 @@ def block_rows(prints: DataFrame, radius: int, long: int = LONG_BLOCK) -> DataFr
     halves = [F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("bigint").alias(name) for at, name in ((1, "high"), (17, "low"))]
     tables = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), block).alias("key"), rest.alias("rest")) for i, (block, rest) in enumerate(zip(blocks, rests))])
     rows = prints.select(*halves, F.inline(tables))
-    many = rows.groupBy("key").count().where(F.col("count") > long).select(F.col("key").alias("long_key"))
+    # As a table of known size, so that the rows are not shuffled to join a few keys.
+    many = stored(rows.groupBy("key").count().where(F.col("count") > long).select(F.col("key").alias("long_key")), "long-blocks")
     marked = rows.join(many, F.col("key") == F.col("long_key"), "left")
 
     def second(i: int, table: Column, key: Column, rest: Column) -> Column:
