@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .bits import bit_counts, pack_bits
-from .common import chunks, copied, cut, dealt, hot_keys, small_batches
+from .common import chunks, copied, cut, dealt, hot_keys, small_batches, stored
 from .components import components
 
 RADIUS = 3
@@ -87,6 +87,7 @@ def split_runs(keyed: DataFrame, prints: DataFrame, long: int = LONG_SEGMENT) ->
     wildcard = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place")))
     key = F.call_function("shiftleft", bit.cast("bigint"), F.lit(32)) + F.col("segment").bitwiseAND(wildcard)
     split = many.select("side", "segment", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("place")).select(key.alias("long_key")).distinct()
+    split = stored(split, "long-keys")  # as a table of known size, so that the rows are not shuffled to join a few keys
     other = F.when(F.shiftright("key", 32) < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(low))
     # Bits 40 up of a key: 1 + 256 * (place of the byte) + byte.
     bytes_ = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(1).cast("bigint") + i * 256 + F.call_function("pmod", F.call_function("shiftrightunsigned", other, i * 8), F.lit(256)))
@@ -208,15 +209,14 @@ def deduplicated(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     name may be there; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    own = {name: _unused(docs, name) for name in ("hash", "kept_id", "kept_hash")}
-    values = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = cut(docs.select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", values.alias("hash"), fingerprint(F.col("text"), k, seed).alias("fp")))
-    first = cut(rows.groupBy("fp").agg(F.min(F.struct("unnamed", "doc_id", "hash")).alias("first")))
+    # 96 bits of all values name a row; both are keys of the join and of what follows, so that texts are shuffled once.
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    hashes = {_unused(docs, "hash"): F.xxhash64(*values), _unused(docs, "more"): F.hash(*values)}
+    names = list(hashes)
+    rows = cut(docs.select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *[h.alias(n) for n, h in hashes.items()], fingerprint(F.col("text"), k, seed).alias("fp")))
+    first = cut(rows.groupBy("fp").agg(F.min(F.struct("unnamed", "doc_id", *names)).alias("first")))
     kept = named_components(first).groupBy("component").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias(own["kept_id"]), F.col("first.hash").alias(own["kept_hash"]))
-    marked = docs.withColumn(own["hash"], values)
-    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(own["kept_id"])) & (F.col(own["hash"]) == F.col(own["kept_hash"])), "left_semi")
-    return held.dropDuplicates(["doc_id", own["hash"]]).drop(own["hash"])
+    return docs.withColumns(hashes).join(kept.select(*[F.col(f"first.{n}").alias(n) for n in names]), names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def _unused(docs: DataFrame, name: str) -> str:
