@@ -491,6 +491,8 @@ def _fold(into: dict[tuple[str, str], Shape], host: str, other: Shape) -> None:
         into[key] = other
 
 
+#: Bytes of all wrappers up to which each executor gets them; beyond it pages and wrappers meet by a shuffle on the host.
+BROADCAST_BYTES = 32 << 20
 #: Structures and texts of nodes that a task holds before it hands them on.
 MOST_SHAPES, MOST_TEXTS = 2000, 200_000
 
@@ -603,8 +605,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     induce(pages).write.parquet(path)
     wrappers = pages.sparkSession.read.schema("host string, wrapper string").parquet(path)
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    # Where the wrappers outgrow a broadcast, pages of a hot host are dealt over tasks, each of which gets its wrapper.
-    hot = hot_keys(rows.groupBy("host").count(), "host", rows.count())
-    rows = dealt(rows, "host", hot).join(copied(wrappers, "host", hot), ["host", "salt"], "left")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(wrappers), "host", "left")
+    else:  # pages of a hot host are dealt over tasks, each of which gets its wrapper
+        hot = hot_keys(rows.groupBy("host").count(), "host", rows.count())
+        rows = dealt(rows, "host", hot).join(copied(wrappers, "host", hot), ["host", "salt"], "left")
     rows = rows.select("page_id", "url", text("html", "wrapper").alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -102,7 +102,10 @@ def test_names_part_what_varies_alike(spark):
     assert texts(spark, pages) == {i: words(i, 40) for i in range(6)}
 
 
-def test_hosts_hot_and_rare_get_their_wrapper(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_hosts_hot_and_rare_get_their_wrapper(spark, monkeypatch, most):
+    """By a broadcast or by a shuffle, the same."""
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", most)
     rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"<body><div><p>Constant</p></div><div class=x><p>{words(i)}</p></div></body>") for i in range(60)] + [(None, None, None), (60, "no url", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in wrappers.main_text(df.withColumn("salt", F.lit(1)).withColumn("wrapper", F.lit("z")).withColumn("host", F.lit(0))).collect()}
