@@ -1,23 +1,32 @@
 """Exact top-k by inner product with two cover trees.
 
-Queries and data are cut into blocks; each pair of blocks builds a cover tree on either side and walks both together.
-A data node is left out for a whole query node when no vector in its covering radius can reach the worst kth score of
-that node's queries. Winners of all blocks are merged by a window.
+Data lie in cells about pivots, queries in groups about fewer of them. A query's kth score within its own part of a
+cell is a floor for its kth score over all; a group meets a cell only where the bound of centres and radii reaches the
+lowest floor of its queries. Each pair that meets builds a cover tree on either side and walks both together: a data
+node is left out for a whole query node when no vector in its covering radius can reach the worst kth score of that
+node's queries. Winners of all pairs are merged by a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Points of a data leaf, and queries of a query leaf: all of a query leaf share one bound, so it has to be narrow.
 LEAF, QUERY_LEAF = 32, 8
 #: Points scored at once when leaves are reached.
 BATCH = 256
+#: Vectors whose distances to all pivots are held at once.
+DEALT = 512
+LOWEST = -(1 << 63)
 
 
 class CoverTree:
@@ -89,20 +98,28 @@ class _Best:
         self.match[rows] = np.take_along_axis(all_ids, order, axis=1)
 
 
-def dual_tree_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> _Best:
-    """queries and points of doubles, or of Python's integers: then trees and bounds are of doubles with room for their error, and scores exact."""
+def _reach(dots, norms, radii, query_norm, query_radius) -> np.ndarray:
+    """No inner product of a vector within one ball and one within another is larger; held to a long, as scores are."""
+    most = dots + radii * (query_norm + query_radius) + query_radius * norms
+    slack = 1e-9 * (norms + radii) * (query_norm + query_radius) + 1e-6
+    return np.clip(most + slack, -(2.0**63), 2.0**63)
+
+
+def dual_tree_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, floor: np.ndarray | None = None) -> _Best:
+    """queries and points of doubles, or of Python's integers: then trees and bounds are of doubles with room for their error, and scores exact.
+
+    floor: of each query, a score that its k best over all data are known to reach; what is below may be left out.
+    """
+    floor = np.full(len(queries), -np.inf) if floor is None else floor.astype(np.float64)
     best, q, c = _Best(query_ids, k), CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(points.astype(np.float64))
     if not len(queries) or not len(points):
         return best
 
     def worst(rows: np.ndarray) -> float:
-        return float(best.score[rows, -1].min())
+        return float(np.maximum(best.score[rows, -1].astype(np.float64), floor[rows]).min())
 
     def bounds(node: int, against: np.ndarray) -> np.ndarray:
-        r, n = q.radii[node], q.norms[node]
-        reach = c.centres[against] @ q.centres[node] + c.radii[against] * (n + r) + r * c.norms[against]
-        reach = np.minimum(reach + 1e-9 * (c.norms[against] + c.radii[against]) * (n + r) + 1e-6, 2.0**63)
-        return np.maximum(reach, -(2.0**63))  # scores are held to a long, so their bounds are too
+        return _reach(c.centres[against] @ q.centres[node], c.norms[against], c.radii[against], q.norms[node], q.radii[node])
 
     rows_of: dict[int, np.ndarray] = {}
     for node in reversed(range(len(q.centre))):  # children come after their parents
@@ -152,47 +169,141 @@ def _numbers(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.nd
     return queries.astype(kind), points.astype(kind)
 
 
-def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
-    if not left.num_rows or not right.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+def _met(k: int, left: pa.Table, right: pa.Table, floor: np.ndarray | None = None) -> tuple[np.ndarray, _Best, np.ndarray]:
+    """Ids of the queries, their best, and which of these are matches."""
     query_ids, queries = _vectors(left, "v")
     ids, points = _vectors(right, "v")
     queries, points = _numbers(queries, points)
-    best = dual_tree_top_k(query_ids, queries, ids, points, k)
+    best = dual_tree_top_k(query_ids, queries, ids, points, k, floor)
     real = best.match != np.iinfo(np.int64).max
-    real &= best.score.astype(np.float64) != -np.inf
+    return query_ids, best, real & (best.score.astype(np.float64) != -np.inf)
+
+
+def _seed(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The queries with the kth score within their own part as `floor`: the lowest long where it holds fewer."""
+    kept = left.select(["id", "v", "dim", "grp", "gpart"])
+    if not left.num_rows:
+        return kept.append_column("floor", pa.array([], pa.int64()))
+    _, best, real = _met(k, left, right)
+    return kept.append_column("floor", pa.array([int(s[-1]) if r[-1] else LOWEST for s, r in zip(best.score, real)], pa.int64()))
+
+
+def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+    if not left.num_rows or not right.num_rows:
+        return pa.table({n: pa.array([], t) for n, t in kinds.items()})
+    query_ids, best, real = _met(k, left, right, left.column("floor").to_numpy())
     return pa.table({"query_id": pa.array(np.repeat(query_ids, real.sum(axis=1))), "vec_id": pa.array(best.match[real]), "score": pa.array(best.score[real].astype(np.int64))})
 
 
-def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, query_block: int = 2048, block: int = 2048) -> DataFrame:
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector, the number of a nearest centre and the distance to it."""
+    norms, near = (centres**2).sum(axis=1), []
+    for at in range(0, len(x), DEALT):
+        near.append(np.argmin(norms - 2 * (x[at : at + DEALT] @ centres.T), axis=1))
+    near = np.concatenate(near)
+    return near, np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
+
+
+class _Pivots:
+    """Centres of each length of vector; a length that no pivot has gets the zero vector."""
+
+    def __init__(self, by_dim: dict[int, np.ndarray]):
+        self.by_dim = by_dim
+
+    def of(self, dim: int) -> np.ndarray:
+        return self.by_dim.get(dim, np.zeros((1, dim)))
+
+    def first(self, share: float) -> _Pivots:
+        return _Pivots({dim: c[: max(1, ceil(len(c) * share))] for dim, c in self.by_dim.items()})
+
+
+def _deal(cells: _Pivots, groups: _Pivots):
+    """Adds dim, the cell and the group of each vector, and its distances to their centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = pc.list_value_length(b.column("v")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                mine = b.filter(pa.array(dims == dim))
+                x = mine.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                (cell, away), (grp, grp_away) = _nearest(x, cells.of(dim)), _nearest(x, groups.of(dim))
+                more = [pa.array(np.full(len(x), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(away), pa.array(grp, pa.int32()), pa.array(grp_away)]
+                yield pa.RecordBatch.from_arrays([*mine.columns, *more], ["id", "v", "dim", "cell", "away", "grp", "grp_away"])
+
+    return run
+
+
+def _meeting(cells: _Pivots, groups: _Pivots):
+    """Keeps the pairs of a group and a cell whose bound reaches the group's floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, cell, grp, r, gr, floor = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "cell", "grp", "radius", "grp_radius", "floor"))
+            keep = np.zeros(len(dims), bool)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                c, g = cells.of(dim)[cell[at]], groups.of(dim)[grp[at]]
+                norms, grp_norms = np.sqrt((c**2).sum(axis=1)), np.sqrt((g**2).sum(axis=1))
+                keep[at] = _reach((c * g).sum(axis=1), norms, r[at], grp_norms, gr[at]) >= floor[at].astype(np.float64)
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, query_block: int = 2048, block: int = 2048, most_pivots: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each row whose vec_id is divisible by `every`.
 
     Components become floor(scale * x). Every other row is a candidate; ties go to the smaller vec_id. Rows with a null
     vec_id or vector, or with null or non-finite components, take no part. Of rows with one vec_id, the one with the
     smallest vector counts. Components and scores beyond a long are the nearest long, and tie there. Vectors meet only those of their own length. Other columns are ignored, an empty table
     gives an empty one.
+
+    Pivots are a sample of one row in `block`, `most_pivots` at most: they pass through the driver and decide only who
+    meets whom. Cells and groups with more rows than `block` and `query_block` are split by a hash of the id.
     """
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
-    rows = embeddings.where(fine).select(F.col("vec_id").cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("bigint")).alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).where("dim > 0")
+    rows = embeddings.where(fine).select(F.col("vec_id").cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("bigint")).alias("v")).where(F.size("v") > 0)
     size = embeddings.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    n_blocks, n_query_blocks = max(1, ceil(size["n"] / block)), max(1, ceil(size["q"] / query_block))
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def dealt(n: int):
-        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    data = rows.withColumn("block", dealt(n_blocks)).select("*", numbers(n_query_blocks).alias("query_block"))
-    queries = rows.where(F.col("id") % every == 0).withColumn("query_block", dealt(n_query_blocks)).select("*", numbers(n_blocks).alias("block"))
-    keys = ("dim", "block", "query_block")
+    n_pivots = min(most_pivots, max(1, ceil(size["n"] / block)))
+    by_dim: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect():
+        by_dim.setdefault(len(r["v"]), []).append(r["v"])
+    cells = _Pivots({dim: np.array(v, np.float64) for dim, v in by_dim.items()})
+    groups = cells.first(ceil(size["q"] / query_block) / n_pivots)
+
+    def parted(df: DataFrame, sizes: DataFrame, cell: str, part: str, most: int) -> DataFrame:
+        # Sizes are a row for each pivot: Spark sees that the table is small, and checks it.
+        numbers = sizes.select("dim", cell, F.ceil(F.col("n") / most).alias("parts"))
+        return df.join(numbers, ["dim", cell]).withColumn(part, F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+
+    placed = stored(rows.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_deal(cells, groups), "id bigint, v array<bigint>, dim int, cell int, away double, grp int, grp_away double"), "vectors")
+    asked = placed.where(F.col("id") % every == 0).select(*[F.col(c).alias(c) for c in placed.columns])  # columns of their own, since both sides meet
+    cell_sizes = stored(placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")), "cells")
+    group_sizes = stored(asked.groupBy("dim", "grp").agg(F.count("*").alias("n"), F.max("grp_away").alias("grp_radius")), "groups")
+    data = parted(placed.select("id", "v", "dim", "cell"), cell_sizes, "cell", "part", block)
+    queries = parted(parted(asked.select("id", "v", "dim", "cell", "grp"), cell_sizes, "cell", "part", block), group_sizes, "grp", "gpart", query_block)
+
+    def seed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _seed(k, left, right)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         return _pair(k, left, right)
 
-    found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(pair, "query_id bigint, vec_id bigint, score bigint")
+    own = ("dim", "cell", "part")
+    queries = stored(queries.groupBy(*own).cogroup(data.groupBy(*own)).applyInArrow(seed, "id bigint, v array<bigint>, dim int, grp int, gpart bigint, floor bigint"), "queries")
+    floors = queries.groupBy("dim", "grp").agg(F.min("floor").alias("floor"))
+    bounds = group_sizes.join(floors, ["dim", "grp"]).select("dim", "grp", "grp_radius", "floor", F.ceil(F.col("n") / query_block).alias("gparts"))
+    bounds = bounds.join(cell_sizes.select("dim", "cell", "radius", F.ceil(F.col("n") / block).alias("parts")), "dim")
+    kept = bounds.mapInArrow(_meeting(cells, groups), bounds.schema)
+
+    def numbers(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    kept = stored(kept.select("dim", "grp", "cell", "parts", numbers("gparts").alias("gpart")).select("dim", "grp", "gpart", "cell", numbers("parts").alias("part")), "meetings")
+    keys = ("dim", "grp", "gpart", "cell", "part")
+    left, right = queries.join(kept, ["dim", "grp", "gpart"]), data.join(kept, ["dim", "cell", "part"])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -225,6 +225,27 @@ def test_top_k_as_brute_force(spark):
     assert [(x.query_id, x["rank"], x.vec_id, x.score) for x in got] == want
 
 
+def test_top_k_of_clusters_meets_few_cells(spark, monkeypatch):
+    """Clusters far apart, one of them with a third of all rows as one vector: most pairs of group and cell never meet."""
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.integers(-3, 4, (200, 6)) + 900 * c for c in np.eye(6, dtype=int)])
+    v[:400] = v[0]
+    v = v[r.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v / 1024)], "vec_id bigint, embedding array<double>")
+    want = []
+    for q in range(0, len(v), 20):
+        order = sorted((-int(v[q] @ v[i]), i) for i in range(len(v)) if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+    written = {}
+    plain = search.stored
+    monkeypatch.setattr(search, "stored", lambda rows, kind: written.setdefault(kind, plain(rows, kind)))
+    got = search.top_k(df, every=20, block=50, query_block=3).orderBy("query_id", "rank").collect()
+    assert [(x.query_id, x["rank"], x.vec_id, x.score) for x in got] == want
+    cells, groups = written["cells"].count(), written["groups"].count()
+    met = written["meetings"].select("dim", "grp", "cell").distinct().count()
+    assert cells > 6 and met < 0.5 * cells * groups
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
