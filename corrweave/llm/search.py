@@ -169,30 +169,34 @@ def _numbers(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.nd
     return queries.astype(kind), points.astype(kind)
 
 
-def _met(k: int, left: pa.Table, right: pa.Table, floor: np.ndarray | None = None) -> tuple[np.ndarray, _Best, np.ndarray]:
-    """Ids of the queries, their best, and which of these are matches."""
-    query_ids, queries = _vectors(left, "v")
-    ids, points = _vectors(right, "v")
-    queries, points = _numbers(queries, points)
-    best = dual_tree_top_k(query_ids, queries, ids, points, k, floor)
-    real = best.match != np.iinfo(np.int64).max
-    return query_ids, best, real & (best.score.astype(np.float64) != -np.inf)
-
-
 def _seed(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The queries with the kth score within their own part as `floor`: the lowest long where it holds fewer."""
+    """The queries with the kth score within their own part as `floor`: the lowest long where it holds fewer.
+
+    A floor only says whom a query need not meet; its rows come from the trees.
+    """
     kept = left.select(["id", "v", "dim", "grp", "gpart"])
     if not left.num_rows:
         return kept.append_column("floor", pa.array([], pa.int64()))
-    _, best, real = _met(k, left, right)
-    return kept.append_column("floor", pa.array([int(s[-1]) if r[-1] else LOWEST for s, r in zip(best.score, real)], pa.int64()))
+    (query_ids, queries), (ids, points) = _vectors(left, "v"), _vectors(right, "v")
+    queries, points = _numbers(queries, points)
+    floors = np.full(len(query_ids), LOWEST)
+    for at in range(0, len(query_ids) if len(ids) > k else 0, DEALT):  # one of these is the query itself
+        scores = np.clip(queries[at : at + DEALT] @ points.T, LOWEST, -LOWEST - 1) if queries.dtype == object else queries[at : at + DEALT] @ points.T
+        others = np.where(query_ids[at : at + DEALT, None] == ids, LOWEST, scores)
+        floors[at : at + DEALT] = np.sort(others, axis=1)[:, -k] if others.dtype == object else np.partition(others, -k, axis=1)[:, -k]
+    return kept.append_column("floor", pa.array(floors, pa.int64()))
 
 
 def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
     kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
     if not left.num_rows or not right.num_rows:
         return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-    query_ids, best, real = _met(k, left, right, left.column("floor").to_numpy())
+    query_ids, queries = _vectors(left, "v")
+    ids, points = _vectors(right, "v")
+    queries, points = _numbers(queries, points)
+    best = dual_tree_top_k(query_ids, queries, ids, points, k, left.column("floor").to_numpy())
+    real = best.match != np.iinfo(np.int64).max
+    real &= best.score.astype(np.float64) != -np.inf
     return pa.table({"query_id": pa.array(np.repeat(query_ids, real.sum(axis=1))), "vec_id": pa.array(best.match[real]), "score": pa.array(best.score[real].astype(np.int64))})
 
 

@@ -41,11 +41,14 @@ def test_search_edges(spark):
 def test_search_of_large_components(spark):
     """Products beyond 2^53 stay exact, scores beyond a long are the nearest long and tie to the smaller vec_id."""
     rows = [(0, [3e9, 1.0]), (1, [3e9, -2.0]), (2, [3e9, 5.0]), (3, [-1e300, 0.0]), (4, [1e300, 0.0]), (5, [2e15, 0.0]), (6, [1.0, 1.0])]
-    got = search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = search.top_k(df).orderBy("rank").collect()
     top, low = (1 << 63) - 1, -(1 << 63)
     v = {i: [max(low, min(top, int(np.floor(1024 * x)))) for x in e] for i, e in rows}
     want = sorted((-max(low, min(top, sum(a * b for a, b in zip(v[0], v[i])))), i) for i in v if i)
     assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in want]
+    few = search.top_k(df, k=2, block=4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in few] == [(i, -s) for s, i in want[:2]]
 
 
 def test_search_prunes_and_stays_exact():
