@@ -7,11 +7,13 @@ length of the history. Work is spread over graphs; only weights and their summed
 from __future__ import annotations
 
 import dataclasses
+import functools
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ from .kernels import Graph, Hallucination, Layers
 PACKED = "date date, tickers array<string>, x array<array<double>>, src array<int>, dst array<int>, corr array<double>, weight array<double>, ret_mean array<double>, ret_std array<double>"
 
 
+# The columns of a training's log.
+LOG = "epoch int, loss double, g_pos double, g_neg double, hallucinate_ratio double, gate_ratio double, hall_hardness double, energy_penalty double, risk_loss double"
+
+
 def edge_table(windows: DataFrame, k: int = 5, mode: str = "abs", norm: bool = True, matrix: bool = True) -> DataFrame:
     """(date, src, dst, corr, weight, edge_weight) of the top-k graph; without norm the edge weight is the weight."""
     edges = graphs.topk_edges(windows, k, matrix=matrix).withColumn("weight", graphs.edge_weight(F.col("corr"), mode))
@@ -45,6 +51,22 @@ def _graph(r) -> Graph:
     return Graph(np.stack(r.x).astype(float), np.asarray(r.src, int), np.asarray(r.dst, int), np.asarray(r.corr, float), np.asarray(r.weight, float))
 
 
+def _graphs(batch: pa.RecordBatch) -> Iterator[Graph]:
+    """The graphs of a batch, from its buffers: no list of lists is made of them."""
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+
+    nodes = batch.column("x").offsets.to_numpy()
+    inner, values = flat(batch.column("x").values)
+    ends = {c: flat(batch.column(c)) for c in ("src", "dst", "corr", "weight")}
+    for i in range(batch.num_rows):
+        a, b = nodes[i], nodes[i + 1]
+        x = values[inner[a] : inner[b]].astype(float).reshape(b - a, -1)
+        src, dst, corr, weight = (v[at[i] : at[i + 1]] for at, v in ends.values())
+        yield Graph(x, src.astype(int), dst.astype(int), corr.astype(float), weight.astype(float))
+
+
 def _rng(seed: int, date) -> np.random.Generator:
     """Of the seed and the graph alone, so that partitions and retries change nothing."""
     return np.random.default_rng([seed, pd.Timestamp(date).toordinal()])
@@ -53,12 +75,12 @@ def _rng(seed: int, date) -> np.random.Generator:
 def score(packed: DataFrame, layers: Layers, temperature: float = 1.0) -> DataFrame:
     """(date, goodness) of each graph under the model."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [kernels.goodness(kernels.forward(layers, g, g.x)[-1][1], temperature)[0] for g in map(_graph, b.itertuples())]
-            yield pd.DataFrame({"date": b["date"], "goodness": found})
+            found = [kernels.goodness(kernels.forward(layers, g, g.x)[-1][1], temperature)[0] for g in _graphs(b)]
+            yield pa.RecordBatch.from_arrays([b.column("date"), pa.array(found, pa.float64())], ["date", "goodness"])
 
-    return packed.mapInPandas(run, "date date, goodness double")
+    return packed.mapInArrow(run, "date date, goodness double")
 
 
 def _with_x(packed: DataFrame, change) -> DataFrame:
@@ -83,6 +105,10 @@ def hallucinate(packed: DataFrame, layers: Layers, config: Hallucination = Hallu
 class Training:
     """How a model is trained. style: e2e, layerwise, multiscale or backprop (a supervised head on pooled nodes).
 
+    layerwise: each layer learns from its own input, that of the layer below, against a negative made of it by
+    layer_negative and layer_noise, or hallucinated under that layer alone where `negative` says so; then layer_corr,
+    layer_mean and layer_std stand for the hallucination's weights (None: those), and its energy is not counted.
+
     negative: a mode of `kernels.negative`, `hallucinate`, `schedule` (shuffled until `warmup`, then hallucinated) or `mix`
     (after it hallucinated with a chance that goes from mix_start to mix_end over `ramp` epochs). curriculum: fields of the
     hallucination with their first and last value, moved over curriculum_ramp epochs from curriculum_start. risk_weight:
@@ -99,6 +125,11 @@ class Training:
     temperature: float = 1.0
     negative: str = "shuffle"
     noise: float = 0.05
+    layer_negative: str = "shuffle"
+    layer_noise: float | None = None
+    layer_corr: float | None = 0.0
+    layer_mean: float | None = None
+    layer_std: float | None = None
     warmup: int = 1
     mix_start: float = 0.0
     mix_end: float = 1.0
@@ -115,7 +146,6 @@ class Training:
     clip: float = 1.0
     seed: int = 7
 
-
     def at(self, epoch: int) -> Hallucination:
         """The hallucination's settings in an epoch: whole numbers half to even and at least 1, shares within 0 and 1."""
         t = 0.0 if epoch < self.curriculum_start else min(1.0, (epoch - self.curriculum_start) / max(1, self.curriculum_ramp))
@@ -129,38 +159,75 @@ class Training:
         progress = min(1.0, (epoch - self.warmup) / max(1, self.ramp))
         return 0.0 if epoch <= self.warmup else self.mix_start + progress * (self.mix_end - self.mix_start)
 
+    def at_layer(self, epoch: int) -> Hallucination:
+        """The hallucination's settings within one layer."""
+        own = {f"{k}_weight": v for k, v in (("corr", self.layer_corr), ("mean", self.layer_mean), ("std", self.layer_std)) if v is not None}
+        return dataclasses.replace(self.at(epoch), **own)
 
-def _negatives_of(g: Graph, layers: Layers, c: Training, window: int, rng: np.random.Generator, epoch: int) -> list[np.ndarray]:
-    mode = c.negative
-    if mode == "schedule":
-        mode = "shuffle" if epoch <= c.warmup else "hallucinate"
-    elif mode == "mix":
-        mode = "hallucinate" if rng.random() < c.hallucinated(epoch) else "shuffle"
-    if mode != "hallucinate":
-        found = kernels.negative(g.x, mode, window, c.noise, rng)
+    def mode(self, epoch: int, rng: np.random.Generator) -> str:
+        """How a graph's negative is made in an epoch."""
+        if self.negative == "schedule":
+            return "shuffle" if epoch <= self.warmup else "hallucinate"
+        if self.negative == "mix":
+            return "hallucinate" if rng.random() < self.hallucinated(epoch) else "shuffle"
+        return self.negative
+
+
+#: What a step tells of a graph, in this order: sums over negatives from `made` on.
+TOLD = ("loss", "g_pos", "g_neg", "energy", "made", "hallucinated", "gated", "hardness")
+
+
+def _hallucinated(layers: Layers, g: Graph, c: Training, settings: Hallucination, window: int, rng: np.random.Generator, tally: np.ndarray) -> np.ndarray:
+    """A hallucinated negative; one that is far better than the real one teaches nothing yet, so a shuffled one stands for it."""
+    found = kernels.hallucinate(layers, g, settings, rng)
+    good = [kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, found)]
+    if c.gate_margin is not None and good[1] > good[0] + c.gate_margin:
+        tally += [1, 0, 1, 0]
+        return kernels.negative(g.x, "shuffle", window, c.noise, rng)
+    tally += [1, 1, 0, good[1] - good[0]]
+    return found
+
+
+def _negatives_of(g: Graph, layers: Layers, c: Training, window: int, rng: np.random.Generator, epoch: int, tally: np.ndarray) -> list[np.ndarray]:
+    mode = c.mode(epoch, rng)
+    if mode == "hallucinate":
+        found = _hallucinated(layers, g, c, c.at(epoch), window, rng, tally)
     else:
-        found = kernels.hallucinate(layers, g, c.at(epoch), rng)
-        if c.gate_margin is not None:  # a negative that is far better than the real one teaches nothing yet
-            good = [kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, found)]
-            if good[1] > good[0] + c.gate_margin:
-                found = kernels.negative(g.x, "shuffle", window, c.noise, rng)
+        tally += [1, 0, 0, 0]
+        found = kernels.negative(g.x, mode, window, c.noise, rng)
     return [found, kernels.negative(g.x, "time_flip", window, c.noise, rng)] if c.style == "multiscale" else [found]
 
 
+def _layer_negative(g: Graph, layers: Layers, c: Training, window: int, rng: np.random.Generator, epoch: int, mode: str, tally: np.ndarray, i: int, x: np.ndarray) -> np.ndarray:
+    """Layer i's negative of its input x: hallucinated under that layer alone, or x changed as layer_negative says."""
+    if mode == "hallucinate":
+        return _hallucinated([layers[i]], g.with_x(x), c, c.at_layer(epoch), window, rng, tally)
+    tally += [1, 0, 0, 0]
+    return kernels.negative(x, c.layer_negative, window, c.noise if c.layer_noise is None else c.layer_noise, rng)
+
+
 def _graph_step(layers: Layers, head: np.ndarray, g: Graph, c: Training, window: int, rng: np.random.Generator, epoch: int) -> tuple[np.ndarray, Layers, np.ndarray]:
-    """(loss, g_pos, g_neg), gradients of the layers, gradient of the head."""
-    bad = _negatives_of(g, layers, c, window, rng, epoch)
+    """What TOLD names, gradients of the layers, gradient of the head."""
+    tally = np.zeros(4)
     drop = kernels.Dropout(c.dropout, rng) if c.dropout > 0 else None
+    if c.style == "layerwise":
+        bad = functools.partial(_layer_negative, g, layers, c, window, rng, epoch, c.mode(epoch, rng), tally)
+        said, grads = kernels.layerwise_step(layers, g, bad, c.target, c.temperature, drop)
+        return np.concatenate((said, [0.0], tally)), grads, np.zeros_like(head)
+    bad = _negatives_of(g, layers, c, window, rng, epoch, tally)
     if c.style != "backprop":
-        told, grads = kernels.ff_step(layers, g, bad, c.target, c.temperature, c.style, c.energy, drop)
-        return told, grads, np.zeros_like(head)
+        said, grads = kernels.ff_step(layers, g, bad, c.target, c.temperature, c.style, c.energy, drop)
+        energy = 0.0
+        if c.energy > 0:
+            energy = c.energy * np.mean([(h * h).mean() for _, h in kernels.forward(layers, g, g.x)][-1 if c.style == "e2e" else 0 :])
+        return np.concatenate((said, [energy], tally)), grads, np.zeros_like(head)
     sums, d_head, loss = None, np.zeros_like(head), 0.0
     for x, y in ((g.x, 1.0), (bad[0], 0.0)):
         value, grads, dw, db = kernels.pooled_step(layers, (head[:-1], head[-1]), g, x, y, "bce", drop)
         loss, d_head = loss + value / 2, d_head + np.append(dw, db) / 2
         sums = [(w / 2, b / 2) for w, b in grads] if sums is None else [(w + dw2 / 2, b + db2 / 2) for (w, b), (dw2, db2) in zip(sums, grads)]
     good = [kernels.goodness(kernels.forward(layers, g, x)[-1][1], c.temperature)[0] for x in (g.x, bad[0])]
-    return np.array([loss, *good]), sums, d_head
+    return np.concatenate(([loss, *good, 0.0], tally)), sums, d_head
 
 
 def _flat(layers: Layers, head: np.ndarray) -> np.ndarray:
@@ -176,20 +243,20 @@ def _unflat(flat: np.ndarray, like: Layers) -> tuple[Layers, np.ndarray]:
 
 
 def train(packed: DataFrame, window: int, width: int, c: Training = Training(), targets: DataFrame | None = None) -> tuple[Layers, list[dict]]:
-    """A model, and what each epoch told: loss, g_pos, g_neg, risk_loss (null without a risk head). One Spark job for each batch of an epoch.
+    """A model, and what each epoch told: loss, g_pos, g_neg, hallucinate_ratio, gate_ratio, hall_hardness, energy_penalty, risk_loss (null without a risk head).
 
-    Every task sums its graphs' gradients into one row; the rows, as many as tasks, meet in one aggregate as long as the model.
-    Graphs are dealt to batches by a hash of their date. Read `packed` from a table or cache it: each job scans it.
-    targets (date, target): what the risk head learns; graphs without one, or with one that isn't finite, leave it alone.
+    One Spark job for each batch of an epoch: every task sums its graphs' gradients into one row; the rows, as many as
+    tasks, meet in one aggregate as long as the model. Graphs are dealt to batches by a hash of their date. Read `packed`
+    from a table or cache it: each job scans it. targets (date, target): what the risk head learns; graphs without one, or
+    with one that isn't finite, leave it alone.
     """
-    layers, head, log, _ = _trained(packed, window, width, c, targets)
+    layers, _, log, _ = train_all(packed, window, width, [c], targets)[0]
     return layers, log
 
 
 def train_with_head(packed: DataFrame, window: int, width: int, c: Training = Training(), targets: DataFrame | None = None) -> tuple[Layers, np.ndarray, list[dict]]:
     """As `train`, with the linear head's weights and bias: that of the risk, or of the labels for backprop."""
-    layers, head, log, _ = _trained(packed, window, width, c, targets)
-    return layers, head, log
+    return train_all(packed, window, width, [c], targets)[0][:3]
 
 
 def _risk_step(layers: Layers, head: np.ndarray, g: Graph, target: float, c: Training) -> tuple[float, Layers, np.ndarray]:
@@ -197,56 +264,103 @@ def _risk_step(layers: Layers, head: np.ndarray, g: Graph, target: float, c: Tra
     return loss, grads, np.append(dw, db)
 
 
-def _trained(packed: DataFrame, window: int, width: int, c: Training, targets: DataFrame | None) -> tuple[Layers, np.ndarray, list[dict], list[tuple[float, int]]]:
-    """Layers, head, log, and for each epoch its seconds and graphs."""
-    risk = targets is not None and c.style in ("e2e", "multiscale")
-    if risk:  # one row a graph on either side
+class _Model:
+    """A model in training: its weights between steps, and what its epochs told."""
+
+    def __init__(self, c: Training, width: int, targets: bool):
+        self.c, self.risk = c, targets and c.style in ("e2e", "multiscale")
+        self.layers, self.head, self.adam = kernels.new_layers(width, c.hidden, c.layers, c.seed), np.zeros(c.hidden + 1), kernels.Adam(c.lr)
+        self.log: list[dict] = []
+        self.took: list[tuple[float, int]] = []
+        self.told: list[tuple[int, np.ndarray]] = []
+        self.risks: list[tuple[float, float]] = []
+        self.seconds = 0.0
+
+    def at(self, step: int) -> tuple[int, int] | None:
+        """The epoch, from 1, and the batch of a step; None when all are done."""
+        epoch, batch = divmod(step, self.c.batches)
+        return (epoch + 1, batch) if epoch < self.c.epochs else None
+
+    def step(self, n: int, sums: np.ndarray) -> None:
+        """One step by a batch's sums over n graphs."""
+        c, told, size = self.c, len(TOLD), len(_flat(self.layers, self.head))
+        mean = sums[: told + size] / n
+        if self.risk and (known := sums[told + size]) > 0:
+            mean[0] += c.risk_weight * sums[told + size + 1] / known
+            mean[told:] += c.risk_weight * sums[told + size + 2 :] / known
+            self.risks.append((sums[told + size + 1] / known, known))
+        grads, d_head = _unflat(mean[told:], self.layers)
+        grads = [kernels.clipped([x], c.clip)[0] for x in grads] if c.style == "layerwise" else kernels.clipped(grads, c.clip)
+        self.adam.t += 1
+        self.layers = [(self.adam.step((i, 0), w, dw), self.adam.step((i, 1), b, db)) for i, ((w, b), (dw, db)) in enumerate(zip(self.layers, grads))]
+        self.head = self.adam.step("head", self.head, d_head) if c.style == "backprop" or self.risk else self.head
+        self.told.append((n, mean[:told]))
+
+    def end_epoch(self, epoch: int) -> None:
+        if self.told:
+            at = dict(zip(TOLD, np.average([m for _, m in self.told], axis=0, weights=[n for n, _ in self.told])))
+            risk_loss = float(np.average([x for x, _ in self.risks], weights=[n for _, n in self.risks])) if self.risks else None
+            made, used = at["made"] or 1.0, at["hallucinated"]
+            log = {"epoch": epoch, "loss": at["loss"], "g_pos": at["g_pos"], "g_neg": at["g_neg"], "hallucinate_ratio": used / made, "gate_ratio": at["gated"] / made, "hall_hardness": at["hardness"] / used if used else 0.0, "energy_penalty": at["energy"]}
+            self.log.append({k: float(v) if k != "epoch" else v for k, v in log.items()} | {"risk_loss": risk_loss})
+            self.took.append((self.seconds, int(sum(n for n, _ in self.told))))
+        self.told, self.risks, self.seconds = [], [], 0.0
+
+
+def train_all(packed: DataFrame, window: int, width: int, plans: list[Training], targets: DataFrame | None = None) -> list[tuple[Layers, np.ndarray, list[dict], list[tuple[float, int]]]]:
+    """For each plan its model, as `train` makes it: layers, head, log, and for each epoch its seconds and graphs.
+
+    All plans learn side by side: a job carries the weights of every model that still learns, a task sums the gradients of
+    each into one row, and the rows meet by (model, place). So jobs grow with the longest plan's steps and not with the
+    number of plans. A graph is read once a job, by the models whose batch it is in.
+    """
+    models = [_Model(c, width, targets is not None) for c in plans]
+    if any(m.risk for m in models):  # one row a graph on either side
         packed = stored(packed.join(targets.select("date", F.col("target").alias("risk_target")), "date", "left"), "with-targets")
-    layers, head, adam, log, took = kernels.new_layers(width, c.hidden, c.layers, c.seed), np.zeros(c.hidden + 1), kernels.Adam(c.lr), [], []
-    for epoch in range(1, c.epochs + 1):
-        told, began, risks = [], time.perf_counter(), []
-        for batch in range(c.batches):
-            now = (layers, head)
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                total, n = None, 0
-                for b in batches:
-                    for r in b.itertuples():
-                        g = _graph(r)
-                        said, grads, d_head = _graph_step(*now, g, c, window, _rng(c.seed * 1000 + epoch, r.date), epoch)
+    deal = F.xxhash64("date")
+    rows = packed.withColumn("deal", deal)
+    for step in range(max((c.epochs * c.batches for c in plans), default=0)):
+        began = time.perf_counter()
+        now = [(i, m.c, m.layers, m.head, m.risk, *at) for i, m in enumerate(models) if (at := m.at(step)) is not None]
+        in_turn = {(c.batches, batch) for _, c, _, _, _, _, batch in now}
+        mine = functools.reduce(lambda a, b: a | b, (F.pmod("deal", F.lit(n)) == batch for n, batch in sorted(in_turn)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list] = {}
+            for b in batches:
+                dates, deals = b.column("date").to_pylist(), b.column("deal").to_pylist()
+                known = b.column("risk_target").to_pylist() if "risk_target" in b.schema.names else [None] * len(dates)
+                for date, deal, y, g in zip(dates, deals, known, _graphs(b)):
+                    for i, c, layers, head, risk, epoch, batch in now:
+                        if deal % c.batches != batch:
+                            continue
+                        said, grads, d_head = _graph_step(layers, head, g, c, window, _rng(c.seed * 1000 + epoch, date), epoch)
                         row = np.concatenate((said, _flat(grads, d_head)))
                         if risk:  # the risk's sums stand behind, since they are divided by another count
-                            aside = np.zeros(2 + len(row) - 3)
-                            if r.risk_target is not None and np.isfinite(r.risk_target):
-                                loss, grads, d_head = _risk_step(*now, g, r.risk_target, c)
+                            aside = np.zeros(2 + len(row) - len(said))
+                            if y is not None and np.isfinite(y):
+                                loss, grads, d_head = _risk_step(layers, head, g, y, c)
                                 aside = np.concatenate(([1.0, loss], _flat(grads, d_head)))
                             row = np.concatenate((row, aside))
-                        total, n = row if total is None else total + row, n + 1
-                if n:
-                    yield pd.DataFrame({"n": [n], "sums": [total.tolist()]})
-
-            mine = packed.where(F.pmod(F.xxhash64("date"), F.lit(c.batches)) == batch) if c.batches > 1 else packed
-            rows = mine.mapInPandas(run, "n bigint, sums array<double>").select("n", F.posexplode("sums").alias("at", "v"))
-            found = rows.groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("at").collect()  # as long as the model
-            if not found:
-                continue
-            sums, size = np.array([r["v"] for r in found]), len(_flat(layers, head))
-            mean = sums[: 3 + size] / found[0]["n"]
-            if risk and (known := sums[3 + size]) > 0:
-                mean[0] += c.risk_weight * sums[4 + size] / known
-                mean[3:] += c.risk_weight * sums[5 + size :] / known
-                risks.append((sums[4 + size] / known, known))
-            grads, d_head = _unflat(mean[3:], layers)
-            grads, adam.t = kernels.clipped(grads, c.clip), adam.t + 1
-            layers = [(adam.step((i, 0), w, dw), adam.step((i, 1), b, db)) for i, ((w, b), (dw, db)) in enumerate(zip(layers, grads))]
-            head = adam.step("head", head, d_head) if c.style == "backprop" or risk else head
-            told.append((found[0]["n"], mean[:3]))
-        if told:
-            at = np.average([m for _, m in told], axis=0, weights=[n for n, _ in told])
-            risk_loss = float(np.average([x for x, _ in risks], weights=[n for _, n in risks])) if risks else None
-            log.append({"epoch": epoch, "loss": float(at[0]), "g_pos": float(at[1]), "g_neg": float(at[2]), "risk_loss": risk_loss})
-            took.append((time.perf_counter() - began, int(sum(n for n, _ in told))))
-    return layers, head, log, took
+                        held = total.setdefault(i, [0, 0.0])
+                        held[0], held[1] = held[0] + 1, held[1] + row
+            if total:
+                arrays = [pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([v.tolist() for _, v in total.values()], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["model", "n", "sums"])
+
+        sums = rows.where(mine).mapInArrow(run, "model int, n bigint, sums array<double>").select("model", "n", F.posexplode("sums").alias("at", "v"))
+        found = sums.groupBy("model", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()  # as long as the models
+        model, at, v, n = (found.column(c).to_numpy() for c in ("model", "at", "v", "n"))
+        seconds = time.perf_counter() - began
+        for i in np.unique(model):
+            own = np.flatnonzero(model == i)
+            own = own[np.argsort(at[own])]
+            models[i].step(int(n[own[0]]), v[own])
+        for i, c, _, _, _, epoch, batch in now:
+            models[i].seconds += seconds
+            if batch == c.batches - 1:
+                models[i].end_epoch(epoch)
+    return [(m.layers, m.head, m.log, m.took) for m in models]
 
 
 def benchmark(packed: DataFrame, window: int, width: int, base: Training = Training(), modes: tuple[str, ...] = ("layerwise", "e2e", "backprop"), warmup: int = 1) -> DataFrame:
@@ -262,7 +376,7 @@ def benchmark(packed: DataFrame, window: int, width: int, base: Training = Train
     rows = []
     for mode in modes:
         c = dataclasses.replace(base, style=mode)
-        layers, head, _, took = _trained(learned, window, width, c, None)
+        layers, head, _, took = train_all(learned, window, width, [c])[0]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -355,8 +469,8 @@ def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
 def run_trials(grid: DataFrame, packed: DataFrame, window: int, base: Training = Training()) -> DataFrame:
     """(trial_id, mode, eval_g_pos, eval_g_neg, eval_sep, eval_acc) of each row of `grid`: a model trained on four fifths of all graphs, tested on the rest.
 
-    grid's columns beside trial_id, seed and mode name fields of Training. All trials share one split. Models are trained
-    one after another as by `train`; one pass over the graphs held out tests them all. A single graph is both trained and tested on.
+    grid's columns beside trial_id, seed and mode name fields of Training. All trials share one split and learn side by
+    side, as by `train_all`; one pass over the graphs held out tests them all. A single graph is both trained and tested on.
     """
     parts = stored(trials.split(packed.select("date"), 0.2, key="date"), "split")
     known = {r["part"] for r in parts.select("part").distinct().collect()}
@@ -364,10 +478,10 @@ def run_trials(grid: DataFrame, packed: DataFrame, window: int, base: Training =
     learned, held = stored(learned, "train"), stored(held, "eval")
     first = packed.select(F.size(F.col("x")[0]).alias("width")).first()
     names = [c for c in grid.columns if c not in ("trial_id", "seed", "mode")]
-    models = []
-    for t in grid.orderBy("trial_id").collect():  # the plan of trials
-        c = dataclasses.replace(base, style=t["mode"], seed=int(t["seed"]), **{k: type(getattr(base, k))(t[k]) for k in names})
-        models.append((t["trial_id"], t["mode"], c, train(learned, window, first["width"] if first else 0, c)[0]))
+    asked = grid.orderBy("trial_id").collect()  # the plan of trials
+    plans = [dataclasses.replace(base, style=t["mode"], seed=int(t["seed"]), **{k: type(getattr(base, k))(t[k]) for k in names}) for t in asked]
+    learnt = train_all(learned, window, first["width"] if first else 0, plans)
+    models = [(t["trial_id"], t["mode"], c, found[0]) for t, c, found in zip(asked, plans, learnt)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
