@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import copied, dealt, fresh_path, hot_keys, small_batches
+from .common import copied, dealt, fresh_path, hot_keys, small_batches, stored
 
 # HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +40,10 @@ ASIDE_WORDS = frozenset(
     "disqus respond reply replies discussion form search pagination pager tags toolbar skip copyright legal disclaimer contentinfo".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody main content entry post story body".split())
+# Those that set even an inline element apart.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+# Elements that text flows in, one after another.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure".split())
 # Of the first, those that beside one of the second name a layout and not a part to leave out.
 LAYOUT_WORDS = frozenset("sidebar header masthead banner widget more form search tags legal".split())
 
@@ -64,7 +68,7 @@ class Node:
         return [x for x in self.parts if isinstance(x, Node)]
 
     def aside(self) -> bool:
-        if self.hidden or self.tag in NO_TEXT:
+        if self.hidden or self.tag in NO_TEXT or self.tag in INLINE:  # an inline node is one that is set apart
             return True
         named = self.words & ASIDE_WORDS
         return bool(named - LAYOUT_WORDS if self.words & ARTICLE_WORDS else named) and self.tag not in ("body", "html")
@@ -84,11 +88,16 @@ def _described(tag: str, attributes: str) -> tuple[str, frozenset[str], bool]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are mended much as browsers do. Inline elements are part of their block."""
+    """The tree of a page; unclosed and stray tags are mended much as browsers do, in time that grows with the page alone.
+
+    Inline elements are part of their block, whatever they are called, but for hidden ones and adverts: such a one is a node
+    of its own, up to its own end or that of its block.
+    """
     root = Node("#", "#")
     stack, at = [root], 0
-
+    open_: dict[str, list[int]] = {}  # of each tag, where it is on the stack
     linked = False
+    apart: list[list] = []  # open inline nodes set apart: place on the stack, open elements of the same tag
 
     def say(raw: str) -> None:
         if raw:
@@ -96,13 +105,23 @@ def parse(page: str) -> Node:
             if linked:
                 stack[-1].links += len(raw)
 
+    def push(node: Node) -> None:
+        open_.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut_back(i: int) -> None:
+        while len(stack) > i:
+            open_[stack.pop().tag].pop()
+        while apart and apart[-1][0] >= i:
+            apart.pop()
+
+    def last(tags) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
     def close(tags: frozenset[str] | set[str], until: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in until:
-                return
+        i = last(tags)
+        if i > last(until):
+            cut_back(i)
 
     scope = frozenset({"ul", "ol", "dl", "table", "td", "th", "article", "section", "main", "div", "body"})
     n = len(page)
@@ -118,38 +137,49 @@ def parse(page: str) -> Node:
         tag = m.group(2).lower()
         linked = tag == "a" and not m.group(1) or linked and tag in INLINE and tag != "a"
         if m.group(1):
-            if tag == "br" or tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "br" or tag == "p" and not open_.get("p"):
                 stack[-1].parts.append(Node("br", "br"))
-            elif tag not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+            elif tag in INLINE:
+                if apart and stack[apart[-1][0]].tag == tag:
+                    apart[-1][1] -= 1
+                    if not apart[-1][1]:
+                        cut_back(apart[-1][0])
+            elif open_.get(tag):
+                cut_back(open_[tag][-1])
             continue
         attributes = m.group(3)
         if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else n
             continue
         sign, words, hidden = _described(tag, attributes) if attributes.strip(" /") else (tag, frozenset(), False)
-        if tag in INLINE and not hidden and not words & ASIDE_WORDS:
+        if tag in INLINE:
+            if apart and stack[apart[-1][0]].tag == tag:
+                apart[-1][1] += 1
+            elif hidden or words & ADVERT_WORDS:
+                node = Node(sign, tag, words, hidden)
+                stack[-1].parts.append(node)
+                apart.append([len(stack), 1])
+                push(node)
             continue
-        if tag not in INLINE and tag not in VOID:
-            close({"p"}, scope - {"p"})
+        if tag not in VOID:
+            close({"p"}, scope)
         if tag in CLOSED_BY and CLOSED_BY[tag]:
             close(CLOSED_BY[tag], frozenset({"ul", "ol", "dl", "table", "select"}))
         node = Node(sign, tag, words, hidden)
         if stack[-1].sign in BOXES:  # a box without a name is told from its like by what it begins with
             stack[-1].sign += f"-{tag}"
         stack[-1].parts.append(node)
-        if tag not in VOID and tag not in INLINE:
-            stack.append(node)
-        elif tag in INLINE:  # an inline advert or notice: what it holds goes with it
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else at
+        if tag not in VOID:
+            push(node)
     return root
 
 
+@functools.lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I)
+
+
 def blocks(node: Node, skip: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """Texts of the blocks under a node in page order, white space as one space, without asides and nodes in `skip` (by id)."""
     out: list[str] = []
@@ -170,6 +200,8 @@ def blocks(node: Node, skip: frozenset[int] | set[int] = frozenset()) -> list[st
                     held.append(" " if part.tag == "br" else "")
                 elif part.tag in VOID:
                     held.append(" ")
+                elif part.tag in INLINE:
+                    continue
                 elif part.aside() or id(part) in skip:
                     flush()
                 else:
@@ -263,8 +295,59 @@ def _run(nodes: list[Node]) -> Shape:
     return s
 
 
+def _stretch(runs: list[Shape], sign: str) -> Shape:
+    """Several runs as one shape, whose children are the runs of each sign brought together, in order of sign."""
+    by_sign: dict[str, list[Node]] = {}
+    for r in runs:
+        by_sign.setdefault(r.sign, []).extend(r.nodes)
+    nodes = [n for r in runs for n in r.nodes]
+    text = hashlib.blake2b(b"".join(n.digest for n in nodes), digest_size=8).hexdigest()
+    s = Shape(sign, False, False, text, sum(r.chars for r in runs if not r.aside), sum(r.plain for r in runs))
+    s.nodes = nodes
+    s.kids = [_run(by_sign[k]) for k in sorted(by_sign)]
+    return s
+
+
+#: Kinds of siblings that may alternate in a stretch, and how often they have to.
+PERIODS, REPEATS = (2, 3, 4), 3
+
+
+def _folded(runs: list[Shape]) -> list[Shape]:
+    """Stretches of prose, and of runs that alternate in one order, as one shape each: however long they are, they align as one."""
+    out: list[Shape] = []
+    held: list[Shape] = []
+
+    def flush() -> None:
+        if held:
+            out.append(held[0] if len(held) == 1 else _stretch(list(held), "~"))
+            held.clear()
+
+    for r in runs:  # a named aside stays by itself
+        if r.nodes[0].tag in PROSE and not r.aside:
+            held.append(r)
+        else:
+            flush()
+            out.append(r)
+    flush()
+    runs, out, i = out, [], 0
+    signs = [r.sign for r in runs]
+    while i < len(runs):
+        for p in PERIODS:
+            j = i + p
+            while j < len(runs) and signs[j] == signs[j - p]:
+                j += 1
+            if j - i >= REPEATS * p:
+                out.append(_stretch(runs[i:j], "~" + "~".join(sorted(set(signs[i : i + p])))))
+                i = j
+                break
+        else:
+            out.append(runs[i])
+            i += 1
+    return out
+
+
 def shape(root: Node) -> Shape:
-    """The shape of a page's tree, however deep and wide; adjacent like siblings are one run."""
+    """The shape of a page's tree, however deep and wide; adjacent like siblings are one run, stretches are folded."""
     measure(root)
     top = _run([root])
     todo = [top]
@@ -278,8 +361,9 @@ def shape(root: Node) -> Shape:
                         runs[-1].append(part)
                     else:
                         runs.append([part])
-        s.kids = [_run(r) for r in runs]
-        todo += s.kids
+        s.kids = _folded([_run(r) for r in runs])
+        for k in s.kids:
+            todo += k.kids if k.sign[0] == "~" else [k]
     return top
 
 
@@ -385,7 +469,7 @@ def content_root(t: Shape) -> Shape:
         return max(inner, key=lambda s: s.chars)
     while True:
         best = max((k for k in t.kids if not k.aside), key=lambda k: k.chars, default=None)
-        if best is None or best.chars < 0.8 * t.chars or not best.kids:
+        if best is None or best.chars < 0.8 * t.chars or not best.kids or best.sign[0] == "~":
             return t
         t = best
 
@@ -493,6 +577,8 @@ def _fold(into: dict[tuple[str, str], Shape], host: str, other: Shape) -> None:
 
 #: Bytes of all wrappers up to which each executor gets them; beyond it pages and wrappers meet by a shuffle on the host.
 BROADCAST_BYTES = 32 << 20
+#: Digests of pages with copies that each executor gets; beyond it all pages are shuffled by digest.
+BROADCAST_COPIES = 500_000
 #: Structures and texts of nodes that a task holds before it hands them on.
 MOST_SHAPES, MOST_TEXTS = 2000, 200_000
 
@@ -562,12 +648,21 @@ def constants(parts: DataFrame) -> DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper) over all pages (url, html) with html, the wrapper as JSON and, on a second line, its constant nodes.
 
-    A host's copies of one page, which say nothing about what is constant, are first made one over the whole table. Then
+    A host's copies of one page, which say nothing about what is constant, are first made one over the whole table: only
+    pages that have a copy leave their place for that, as long as their digests are few enough to send to all. Then
     each task merges its pages by host and structure before anything is shuffled, so a hot host sends a few shapes from
     each task; they are merged by structure first and then, across structures, by group of structures and by host. The
     tasks' rows are written to the shared folder, since shapes and counts of texts are both made from them.
     """
-    rows = pages.where("html <> ''").select(_host(F.col("url")).alias("host"), "html").distinct()
+    rows = pages.where("html <> ''").select(_host(F.col("url")).alias("host"), "html")
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat("host", F.lit("\n"), "html"), 256)))
+    copied_ = stored(rows.groupBy("digest").count().where("count > 1").select("digest"), "copies")
+    if copied_.count() <= BROADCAST_COPIES:
+        alone = rows.join(F.broadcast(copied_), "digest", "left_anti")
+        rows = alone.unionByName(rows.join(F.broadcast(copied_), "digest", "left_semi").dropDuplicates(["digest"]))
+    else:
+        rows = rows.dropDuplicates(["digest"])
+    rows = rows.select("host", "html")
     path = fresh_path(pages.sparkSession, "shapes")
     rows.mapInArrow(_shapes, _PARTS).write.parquet(path)
     parts = pages.sparkSession.read.schema(_PARTS).parquet(path)
@@ -596,20 +691,44 @@ def main_text(pages: DataFrame) -> DataFrame:
     written to the shared folder, so that their size is known when they are joined.
     """
 
-    @arrow_udf("string")
-    def text(htmls: pa.Array, said: pa.Array) -> pa.Array:
-        return pa.array([extract(p.as_py(), _wrapper(w.as_py()) if w.is_valid else None) for p, w in zip(htmls, said)], pa.string())
-
-    small_batches(pages.sparkSession)
-    path = fresh_path(pages.sparkSession, "wrappers")
+    spark = pages.sparkSession
+    small_batches(spark)
+    path = fresh_path(spark, "wrappers")
     induce(pages).write.parquet(path)
-    wrappers = pages.sparkSession.read.schema("host string, wrapper string").parquet(path)
+    wrappers = spark.read.schema("host string, wrapper string").parquet(path)
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
     size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(wrappers), "host", "left")
+        every = spark.sparkContext.broadcast(dict(map(tuple, wrappers.collect())))
+
+        @arrow_udf("string")
+        def text(htmls: pa.Array, hosts: pa.Array) -> pa.Array:
+            return pa.array([extract(p.as_py(), _wrapper(w) if (w := every.value.get(h)) else None) for p, h in zip(htmls, hosts.to_pylist())], pa.string())
+
+        rows = rows.select("page_id", "url", text("html", "host").alias("text"))
     else:  # pages of a hot host are dealt over tasks, each of which gets its wrapper
         hot = hot_keys(rows.groupBy("host").count(), "host", rows.count())
-        rows = dealt(rows, "host", hot).join(copied(wrappers, "host", hot), ["host", "salt"], "left")
-    rows = rows.select("page_id", "url", text("html", "wrapper").alias("text"))
+        kinds = dict(rows.dtypes)
+        pages_of = dealt(rows, "host", hot).withColumn("wrapper", F.lit(None).cast("string"))
+        first = copied(wrappers, "host", hot).select(*(F.lit(None).cast(kinds[c]).alias(c) for c in ("page_id", "url", "html")), "host", "salt", "wrapper")
+        both = pages_of.withColumn("page", F.lit(1)).unionByName(first.withColumn("page", F.lit(0)))
+        in_turn = both.repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
+        rows = in_turn.mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of pages, each host's behind its wrapper's row."""
+    now, wrapper = None, None
+    for batch in batches:
+        kept, texts = [], []
+        for i, (host, salt, page, said) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "page", "wrapper")))):
+            if (host, salt) != now:
+                now, wrapper = (host, salt), None
+            if not page:
+                wrapper = _wrapper(said)
+            else:
+                kept.append(i)
+                texts.append(extract(batch.column("html")[i].as_py(), wrapper))
+        pages = batch.select(["page_id", "url"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*pages.columns, pa.array(texts, pa.string())], ["page_id", "url", "text"])

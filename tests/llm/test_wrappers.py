@@ -1,6 +1,8 @@
 """Pages that are deep, wide, repeated or have constant blocks beside their article."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,67 @@ def test_hosts_hot_and_rare_get_their_wrapper(spark, monkeypatch, most):
     got = {r.page_id: r.text for r in wrappers.main_text(df.withColumn("salt", F.lit(1)).withColumn("wrapper", F.lit("z")).withColumn("host", F.lit(0))).collect()}
     assert len(got) == 62 and got[None] == "" and got[60] == ""
     assert all(got[i] == words(i) for i in range(60) if i % 3)
+
+
+def test_inline_text_stays_whatever_its_class(spark):
+    """Only hidden inline elements and inline adverts go, each with all that it holds, up to its own end or its block's."""
+    def page(i):
+        return (
+            f"<body><nav><a href=/>home</a></nav><div class=article><p>see <a class='more'>detail{i}</a> and <code class='search'>find{i}</code>, <span class=share><b>b{i}</b>old</span>.</p>"
+            f"<p>w{i} <span class='ad'><span>x</span> BUY <b>NOW</b></span>tail{i}<i hidden>no<i>no</i>no</i>end</p><div>u{i}<span class=sponsored>never closed <em>x</em></div><p>last{i}</p></div></body>"
+        )
+
+    want = {i: f"see detail{i} and find{i}, b{i}old. w{i} tail{i}end u{i} last{i}" for i in range(8)}
+    assert texts(spark, [page(i) for i in range(8)]) == want
+    assert {i: alone(page(i)) for i in range(8)} == want
+
+
+def plain_text(leaves, page, of):
+    """Of blocks in page order, each (words, whether it varies): those that are not the same on all of four pages or more."""
+    return " ".join(page[k] for k in range(len(leaves)) if len({p[k] for p in of}) > 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_wrapper_by_plain_recount(spark, seed):
+    """Nameless boxes of random nesting: what stays the same over a host's pages goes, all else stays, as a recount of blocks says."""
+    r = random.Random(seed)
+    tags = ["p", "h2", "div", "section", "ul"]
+
+    def tree(depth):
+        kids = [r.choice(tags) if depth == 0 or r.random() < 0.6 else tree(depth - 1) for _ in range(r.randint(2, 5))]
+        return (r.choice(["div", "section"]), kids)
+
+    def leaves(t):
+        return [x for k in t[1] for x in (leaves(k) if isinstance(k, tuple) else [k])]
+
+    while True:  # no box holds most of the text, so that the root is the outermost
+        skeleton = tree(3)
+        blocks = leaves(skeleton)
+        if len(blocks) > 8 and all(len(leaves(k)) < 0.6 * len(blocks) for k in skeleton[1] if isinstance(k, tuple)):
+            break
+    varies = [r.random() < 0.7 for _ in blocks]
+    pages = [[words(f"{seed}b{k}p{i}" if v else f"{seed}b{k}", 6) for k, v in enumerate(varies)] for i in range(6)]
+
+    def html(t, said):
+        return f"<{t[0]}>" + "".join(html(k, said) if isinstance(k, tuple) else f"<{k}>{f'<li>{next(said)}</li>' if k == 'ul' else next(said)}</{k}>" for k in t[1]) + f"</{t[0]}>"
+
+    got = texts(spark, ["<body>" + html(skeleton, iter(p)) + "</body>" for p in pages])
+    assert got == {i: plain_text(blocks, p, pages) for i, p in enumerate(pages)}
+
+
+@pytest.mark.parametrize("page", ["<x>" * 100_000, "<div>" + "<span class=ad>" * 70_000, "<div>" * 40_000 + "<p>x" * 120_000, "<span class=ad>x</span></b>" * 40_000, "<h2>a</h2><p>b</p>" * 55_000, "<div class=a>x</div><div class=b>y</div>" * 26_000, "<" * 1_000_000, '<a "' * 250_000, "<script>" * 120_000, "<!--" * 250_000])
+def test_a_megabyte_takes_seconds(page):
+    """Nothing grows with the square of a page: neither parsing nor alignment with another page, nor the text."""
+    began = time.perf_counter()
+    a, b = wrappers.shape(wrappers.parse(page)), wrappers.shape(wrappers.parse("<table></table>" + page + "<p>more</p>"))
+    wrappers.merge(a, b)
+    wrapper = wrappers.Wrapper(a)
+    wrappers.extract(page, wrapper)
+    assert time.perf_counter() - began < 60
+
+
+def test_copies_beyond_the_bound_of_a_broadcast(spark, monkeypatch):
+    pages = [f"<body><div class=main><p>{words(i % 5)}</p><p>Always here</p></div></body>" for i in range(20)]
+    want = texts(spark, pages)
+    monkeypatch.setattr(wrappers, "BROADCAST_COPIES", 0)
+    assert texts(spark, pages) == want == {i: words(i % 5) for i in range(20)}
