@@ -47,6 +47,64 @@ def pack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("date", F.col("n.ticker").alias("tickers"), F.col("n.x").alias("x"), *ends, F.col("e.corr").alias("corr"), F.col("e.edge_weight").alias("weight"), F.col("n.ret_mean").alias("ret_mean"), F.col("n.ret_std").alias("ret_std"))
 
 
+@dataclasses.dataclass(frozen=True)
+class Edges:
+    """Which edges a graph has: of each node's k strongest partners, or of all pairs from a correlation on; and what they weigh."""
+
+    k: int | None = 5
+    threshold: float | None = None
+    symmetric: bool = True
+    mode: str = "abs"
+    norm: bool = True
+    block: int = 256
+
+    def of(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """src, dst, corr and weight in order of src and dst, by the nodes' numbers."""
+        n, found = len(w), []
+        for mine, corr in graphs.correlations(w, self.block):
+            if self.threshold is not None:
+                row, dst = np.nonzero(np.abs(corr) >= self.threshold)
+                other = mine[row] != dst
+                row, dst = row[other], dst[other]
+            else:
+                dst = graphs.strongest_of(corr, mine, self.k)
+                row, dst = np.repeat(np.arange(len(mine)), dst.shape[1]), dst.ravel()
+            found.append((mine[row], dst, corr[row, dst]))
+        src, dst, corr = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found) if found else ((),) * 3, (int, int, float)))
+        if self.symmetric and self.threshold is None:
+            src, dst, corr = np.concatenate((src, dst)), np.concatenate((dst, src)), np.concatenate((corr, corr))
+        _, first = np.unique(src * n + dst, return_index=True)
+        src, dst, corr = src[first], dst[first], corr[first]
+        weight = {"abs": np.abs(corr), "ones": np.ones(len(corr)), "raw": corr}[self.mode]
+        if self.norm:
+            degree = np.bincount(dst, weight, n)
+            factor = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0.0)
+            weight = weight * factor[src] * factor[dst]
+        return src, dst, corr, weight
+
+
+def packed_graphs(nodes: DataFrame, k: int | None = 5, threshold: float | None = None, symmetric: bool = True, mode: str = "abs", norm: bool = True) -> DataFrame:
+    """As `pack` of the nodes (date, ticker, w, x, ret_mean, ret_std) and their edges, all of a date in one task: one shuffle, by date.
+
+    A task holds a date's nodes and a block of rows of its correlation matrix. Dates without an edge are left out.
+    """
+    how = Edges(k, threshold, symmetric, mode, norm)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        tickers, order, w = graphs._windows_of(table)
+        src, dst, corr, weight = how.of(w)
+        if not len(src):
+            return
+        own = table.take(pa.array(order))
+        lists = [own.column(c).combine_chunks() for c in ("x", "ret_mean", "ret_std")]
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
+        columns = [pa.array([table.column("date")[0].as_py()], pa.date32()), one(list(tickers), pa.string()), one(lists[0], None), one(src, pa.int32()), one(dst, pa.int32()), one(corr, pa.float64()), one(weight, pa.float64()), one(lists[1], None), one(lists[2], None)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PACKED.split(", ")])
+
+    return nodes.select("date", "ticker", "w", "x", "ret_mean", "ret_std").groupBy("date").applyInArrow(run, PACKED)
+
+
 def _graph(r) -> Graph:
     return Graph(np.stack(r.x).astype(float), np.asarray(r.src, int), np.asarray(r.dst, int), np.asarray(r.corr, float), np.asarray(r.weight, float))
 
@@ -402,6 +460,36 @@ def benchmark(packed: DataFrame, window: int, width: int, base: Training = Train
     return packed.sparkSession.createDataFrame(rows, "mode string, avg_epoch_s double, graphs_per_s double, eval_acc double, eval_bce double, eval_g_neg double, eval_g_pos double, eval_sep double")
 
 
+def tune(packed: DataFrame, window: int, width: int, base: Training = Training(), partitions: tuple[int, ...] = (1, 2, 4, 8), batch_rows: tuple[int, ...] = (64, 1000), sample: int = 256) -> DataFrame:
+    """(parallel_workers, batch_rows, graphs_seen, wall_time_s, graphs_per_s): training on one sample, with each number of partitions and of rows in an Arrow batch.
+
+    The sample is the first graphs by date. The first epoch of each setting warms up and is not timed, so `base` has two at
+    least. The session's own batch size is put back at the end.
+    """
+    if base.epochs < 2:
+        raise ValueError("the first epoch is not timed; train for two at least")
+    spark, key = packed.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), []
+    kept = packed.orderBy("date").limit(sample)
+    try:
+        for n in partitions:
+            dealt = stored(kept.repartition(n, "date"), "sample")
+            for size in batch_rows:
+                spark.conf.set(key, str(size))
+                took = train_all(dealt.coalesce(n), window, width, [base])[0][3][1:]
+                seconds, seen = sum(s for s, _ in took), sum(g for _, g in took)
+                rows.append((n, size, seen, seconds, seen / max(seconds, 1e-9)))
+    finally:
+        spark.conf.set(key, before)
+    return spark.createDataFrame(rows, "parallel_workers int, batch_rows int, graphs_seen int, wall_time_s double, graphs_per_s double")
+
+
+def best_setting(tuned: DataFrame) -> dict[str, int]:
+    """The fastest setting of `tune`; of equal ones that with the fewest partitions and then rows."""
+    best = tuned.orderBy(F.desc("graphs_per_s"), "parallel_workers", "batch_rows").first()
+    return {k: best[k] for k in ("parallel_workers", "batch_rows")}
+
+
 def model_table(spark, layers: Layers) -> DataFrame:
     """(layer, name, shape, data): a model as rows, to be written and read again."""
     rows = [(i, name, list(a.shape), a.ravel().tolist()) for i, pair in enumerate(layers) for name, a in zip(("weight", "bias"), pair)]

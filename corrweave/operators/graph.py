@@ -27,26 +27,49 @@ def corr_pairs(windows: DataFrame) -> DataFrame:
     return pairs.select("date", "src", "dst", (arrays.dot(F.col("a"), F.col("b")) / (F.size("a") - 1)).alias("corr"))
 
 
-def _strongest(k: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For one date: each node's k strongest partners, a block of rows of the correlation matrix at a time."""
-    table = pa.Table.from_batches(batches)
-    tickers = np.array(table.column("ticker").to_pylist(), dtype=object)
-    order = np.argsort(tickers, kind="stable")
-    tickers = tickers[order]
-    w = np.array(table.column("w").to_pylist(), dtype=np.float64)[order]
+def correlations(w: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of windows (nodes, steps), a block of rows of the correlation matrix at a time: the rows' numbers and their correlations with all."""
     n = len(w)
     c = w - w.mean(axis=1, keepdims=True)
     z = c / (np.sqrt((c * c).mean(axis=1, keepdims=True)) + arrays.EPS)
-    take = max(1, min(k, n - 1))
     for a in range(0, n if n > 1 else 0, block):
         corr = z[a : a + block] @ z.T / (w.shape[1] - 1)
-        mine = np.arange(len(corr))
-        strength = np.abs(corr)
-        strength[mine, a + mine] = -1.0
-        best = np.argsort(-strength, axis=1, kind="stable")[:, :take]  # tickers are in order, so ties go to the smaller
-        src = np.repeat(a + mine, take)
-        dst = best.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([table.column("date")[0].as_py()] * len(src), pa.date32()), pa.array(tickers[src]), pa.array(tickers[dst]), pa.array(corr[np.repeat(mine, take), dst])], ["date", "src", "dst", "corr"])
+        yield np.arange(a, a + len(corr)), corr
+
+
+def strongest_of(corr: np.ndarray, mine: np.ndarray, k: int) -> np.ndarray:
+    """For each row the k columns of the largest size but its own, ties to the smaller: a partition, and a sort only where the kth ties."""
+    strength = np.abs(corr)
+    rows = np.arange(len(corr))
+    strength[rows, mine] = -1.0
+    k = max(1, min(k, corr.shape[1] - 1))
+    best = np.sort(np.argpartition(-strength, k - 1, axis=1)[:, :k], axis=1)
+    own = strength[rows[:, None], best]
+    kth = own.min(axis=1, keepdims=True)
+    tied = np.flatnonzero((strength == kth).sum(axis=1) > (own == kth).sum(axis=1))
+    if len(tied):
+        best[tied] = np.sort(np.argsort(-strength[tied], axis=1, kind="stable")[:, :k], axis=1)
+        own = strength[rows[:, None], best]
+    return np.take_along_axis(best, np.argsort(-own, axis=1, kind="stable"), axis=1)
+
+
+def _windows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A date's tickers in order, the rows they are in, and their windows (nodes, steps)."""
+    tickers = np.array(table.column("ticker").to_pylist(), dtype=object)
+    order = np.argsort(tickers, kind="stable")
+    flat = table.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return tickers[order], order, flat.astype(np.float64).reshape(len(tickers), -1)[order]
+
+
+def _strongest(k: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For one date: each node's k strongest partners, a block of rows of the correlation matrix at a time."""
+    table = pa.Table.from_batches(batches)
+    tickers, _, w = _windows_of(table)
+    date = table.column("date")[0].as_py()
+    for mine, corr in correlations(w, block):
+        best = strongest_of(corr, mine, k)
+        src, dst = np.repeat(mine, best.shape[1]), best.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([date] * len(src), pa.date32()), pa.array(tickers[src]), pa.array(tickers[dst]), pa.array(corr[src - mine[0], dst])], ["date", "src", "dst", "corr"])
 
 
 def strongest_pairs(windows: DataFrame, k: int, block: int = 256) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from . import quantiles
 
 SERIES = ("real", "halluc")
 
@@ -99,7 +100,7 @@ def worst_scenario(report: DataFrame, series: str = "halluc") -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 10, name: str = "decile") -> DataFrame:
     """df with the value's bin from 0: linear quantile edges, equal edges merged, bins closed on the right; nulls have none."""
-    edges = df.agg(F.array_distinct(F.percentile(value, [i / bins for i in range(bins + 1)])).alias("__edges"))  # one row
+    edges = quantiles.quantiles(df, {"__edges": F.col(value)}, [i / bins for i in range(bins + 1)]).select(F.array_distinct("__edges").alias("__edges"))  # one row
     below = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     return df.crossJoin(edges).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__edges")
 
@@ -118,15 +119,21 @@ def goodness_quantiles(rows: DataFrame, horizons: list[int], bins: int = 10) ->
 
 
 def upper_median(c: Column | str) -> Column:
-    """The middle value in order, the upper of two: an order statistic, so percentile's discrete form would take the lower."""
+    """The middle value of a small group in order, the upper of two: an order statistic, so percentile's discrete form would take the lower."""
     a = F.array_sort(F.collect_list(c))
     return F.try_element_at(a, F.floor(F.size(a) / 2).cast("int") + 1)
 
 
+def whole_upper_median(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """One row: the same over all rows, of which no task holds more than a range; null without values."""
+    return quantiles.order_statistics(df, {name: column}, {name: [F.floor(F.col("n") / 2)]}).select(F.get(name, F.lit(0)).alias(name))
+
+
 def hit_summary(diag: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """One row: rows, hits within the tolerance, their share, mean and upper median of hall_minus_target. One row a scenario comes in."""
+    """One row: rows, hits within the tolerance, their share, mean and upper median of hall_minus_target."""
     d = F.col("hall_minus_target")
-    return diag.where(d.isNotNull()).agg(F.count("*").alias("n"), F.count_if(F.abs(d) <= tolerance).alias("hits"), F.avg((F.abs(d) <= tolerance).cast("double")).alias("hit_rate"), F.avg(d).alias("mean_diff"), upper_median(d).alias("median_diff"))
+    told = diag.where(d.isNotNull()).agg(F.count("*").alias("n"), F.count_if(F.abs(d) <= tolerance).alias("hits"), F.avg((F.abs(d) <= tolerance).cast("double")).alias("hit_rate"), F.avg(d).alias("mean_diff"))
+    return told.crossJoin(F.broadcast(whole_upper_median(diag, d, "median_diff")))  # one row each
 
 
 def scenario_diagnostics(pairs: DataFrame, target_drop: float) -> DataFrame:

@@ -170,7 +170,13 @@ def scan_pairs(spark, sf_dir):
 
 @query(_with("prices", f"SELECT date, {_r(price='price')} FROM prices WHERE ticker = 'S000001'"))
 def scan_ticker(spark, sf_dir):
-    return panel.prices(spark, sf_dir).where(F.col("ticker") == BENCHMARK).select("date", "price")
+    """One ticker out of raw files of two layouts, among rows without a price, with words for one, and of tickers that contain its name."""
+    p = _panel_csv(spark, sf_dir).select("date", "ticker", F.col("close").cast("string").alias("close"))
+    early = F.col("date") < "1995-01-01"
+    odd = p.withColumn("close", F.when(F.month("date") % 2 == 0, F.lit("n/a")).otherwise(F.lit(" ")))
+    longer = p.withColumn("ticker", F.concat("ticker", F.lit("0")))
+    root = _written(spark, "ticker", a=p.where(early).unionByName(odd), b=p.where(~early).unionByName(longer).select("close", "ticker", "date"))
+    return raw.scan_ticker(spark, root, BENCHMARK, "part-*.csv")
 
 
 @query(_with("report", f"SELECT scenario, series, {_r(**{c: c for c in ('total_return', 'max_drawdown', 'volatility', 'var_95', 'cvar_95')})} FROM report"))
@@ -214,19 +220,21 @@ def write_read_pairs(spark, sf_dir):
     return reports.load_windows(raw.read_csv(spark, path)).select("ticker", "series", "t", arrays.total(F.col("w")).alias("total"))
 
 
-@query("SELECT CAST(e AS BIGINT) AS epoch, CAST(e AS DOUBLE) / 2 AS loss FROM range(1, 7) v(e)")
+@query(f"SELECT l_orderkey AS trial_id, CAST(l_linenumber AS INTEGER) AS epoch, {_r(loss='l_extendedprice')} FROM lineitem")
 def append_read_log(spark, sf_dir):
-    path = shared_path(spark, "log")
-    for part in ((1, 2, 3), (4, 5, 6)):
-        reports.append_log(spark, [{"epoch": e, "loss": e / 2} for e in part], path)
-    return spark.read.parquet(path).select("epoch", "loss")
+    """What all epochs of all trials told, appended epoch by epoch half and read again."""
+    path, log = shared_path(spark, "log"), _epochs(spark, sf_dir).select("trial_id", F.col("epoch").cast("int").alias("epoch"), F.col("graphs").alias("loss"))
+    for early in (True, False):
+        reports.append_log(spark, log.where((F.col("epoch") <= 3) == early), path)
+    return spark.read.parquet(path)
 
 
 @query("SELECT layer, name, n FROM (VALUES (0, 'weight', 320), (0, 'bias', 16), (1, 'weight', 256), (1, 'bias', 16)) v(layer, name, n)")
 def write_read_model(spark, sf_dir):
-    """A model as a table, written, read, made a model and a table again: how many values each part has, all as they were."""
+    """A model trained on the panel as a table, written, read, made a model and a table again: how many values each part has, all as they were."""
     path = shared_path(spark, "model")
-    before = jobs.model_table(spark, _layers())
+    layers, _ = jobs.train(_packed(spark, sf_dir), WINDOW, WINDOW, jobs.Training(hidden=16, epochs=1))
+    before = jobs.model_table(spark, layers)
     before.write.parquet(path)
     after = jobs.model_table(spark, jobs.model_from(spark.read.parquet(path)))
     return after.join(before, ["layer", "name", "shape", "data"], "left_semi").select("layer", "name", F.size("data").alias("n"))
@@ -239,7 +247,7 @@ def merge_years(spark, sf_dir):
     for year, rows in (("y1", p.where("date < '1995-01-01'")), ("y2", p.where("date >= '1995-01-01'").select("close", "ticker", "date"))):
         for name in ("prices", "constituents", "fundamentals", "macro_prices"):
             df = rows.withColumnRenamed("date", "time") if name == "macro_prices" else rows.withColumnRenamed("ticker", "constituent_symbol") if name == "constituents" else rows
-            (df if name == "prices" else df.limit(5)).coalesce(1).write.csv(f"{root}/{year}/{name}.csv", header=True)
+            df.coalesce(1).write.csv(f"{root}/{year}/{name}.csv", header=True)
     merged = raw.merge_years(spark, root)
     return merged["prices"].select("date", "ticker", cleaning.number(F.col("close")).alias("close"))
 
@@ -444,12 +452,19 @@ def pair_real_halluc(spark, sf_dir):
     return pairs.select("scenario", "ticker", F.posexplode(F.arrays_zip("real", "halluc")).alias("t", "p")).select("scenario", "ticker", "t", "p.*")
 
 
-GRID = {"goodness_temp": [0.25, 0.5, 1.0], "hall_steps": [1, 2], "hall_lr": [0.02, 0.05]}
+_GRID_SQL = """
+WITH x AS (SELECT DISTINCT l_discount AS a FROM lineitem), y AS (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS s FROM lineitem), z AS (SELECT DISTINCT l_tax AS l FROM lineitem)
+SELECT CAST(row_number() OVER (ORDER BY a, s, l, k) - 1 AS INTEGER) AS trial_id, CAST(row_number() OVER (ORDER BY a, s, l, k) + 6 AS INTEGER) AS seed, m AS mode, a AS goodness_temp, s AS hall_steps, l AS hall_lr
+FROM x, y, z, (VALUES (0, 'ff_layerwise'), (1, 'ff_e2e')) w(k, m)
+"""
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY a, s, l, k) - 1 AS INTEGER) AS trial_id, CAST(row_number() OVER (ORDER BY a, s, l, k) + 6 AS INTEGER) AS seed, m AS mode, a AS goodness_temp, s AS hall_steps, l AS hall_lr FROM (VALUES (25e-2), (5e-1), (1e0)) x(a), (VALUES (1), (2)) y(s), (VALUES (2e-2), (5e-2)) z(l), (VALUES (0, 'ff_layerwise'), (1, 'ff_e2e')) w(k, m)")
+@query(_GRID_SQL)
 def param_grid(spark, sf_dir):
-    return trials.param_grid(spark, GRID, ["ff_layerwise", "ff_e2e"], seed=7)
+    """The grid over all values that three columns of the lines take, in order."""
+    lines = panel.table(spark, sf_dir, "lineitem")
+    found = lines.agg(*[F.array_sort(F.collect_set(F.col(c).cast(t))).alias(name) for name, c, t in (("goodness_temp", "l_discount", "double"), ("hall_steps", "l_linenumber", "int"), ("hall_lr", "l_tax", "double"))]).first()
+    return trials.param_grid(spark, found.asDict(), ["ff_layerwise", "ff_e2e"], seed=7)
 
 
 # --- windows and features --------------------------------------------------------------------------------------------
@@ -503,9 +518,9 @@ def node_zscore(spark, sf_dir):
     return panel.windows(spark, sf_dir).select("date", "ticker", F.posexplode(arrays.z_score(F.col("w"))).alias("t", "z"))
 
 
-@query(_with("summary", f"SELECT date, ticker, {_r(**{c: f'({c} - avg({c}) OVER (PARTITION BY date)) / (stddev_pop({c}) OVER (PARTITION BY date) + 1e-8)' for c in ('vol', 'momentum')})} FROM summary"))
+@query(_with("summary", f"SELECT date, ticker, {_r(**{c: f'({c} - avg({c}) OVER (PARTITION BY date)) / (stddev_pop({c}) OVER (PARTITION BY date) + 1e-8)' for c in features.SUMMARY})} FROM summary"))
 def xs_zscore(spark, sf_dir):
-    return features.cross_section(features.summaries(panel.windows(spark, sf_dir), BENCHMARK), ("vol", "momentum")).select("date", "ticker", "vol", "momentum")
+    return features.cross_section(features.summaries(panel.windows(spark, sf_dir), BENCHMARK, RSI), features.SUMMARY).select("date", "ticker", *features.SUMMARY)
 
 
 @query(_with("fundamentals", f"SELECT date, ticker, {_r(**{c: f'coalesce({c}, median({c}) OVER (PARTITION BY date), 0)' for c in ('pe_ratio', 'debt_equity')})} FROM fundamentals"))
@@ -519,16 +534,18 @@ def _nodes(spark: SparkSession, sf_dir: str, mode: str = "window") -> DataFrame:
     return features.node_features(panel.windows(spark, sf_dir), mode, BENCHMARK, RSI, fundamentals=f)
 
 
-def _scored(c: str) -> str:
-    return f"({c} - avg({c}) OVER (PARTITION BY date)) / (stddev_pop({c}) OVER (PARTITION BY date) + 1e-8)"
-
-
 _FUND = ("pe_ratio", "debt_equity", "pb_ratio")
-_WIDE = f"SELECT date, ticker, {', '.join(f'{c} AS v{i}' for i, c in enumerate(features.SUMMARY))}, {', '.join(f'coalesce(f.{c}, median(f.{c}) OVER (PARTITION BY date), 0) AS v{5 + i}' for i, c in enumerate(_FUND))} FROM summary LEFT JOIN fundamentals f USING (date, ticker)"
-_DIMS = " UNION ALL ".join(f"SELECT date, ticker, {20 + i} AS dim, {_scored(f'v{i}')} AS x FROM wide" for i in range(8))
+_V = range(len(features.SUMMARY) + len(_FUND))
+_MEDIANS = f"SELECT date, {', '.join(f'median(f.{c}) AS {c}' for c in _FUND)} FROM summary LEFT JOIN fundamentals f USING (date, ticker) GROUP BY date"
+_WIDE = f"SELECT s.date, s.ticker, {', '.join(f's.{c} AS v{i}' for i, c in enumerate(features.SUMMARY))}, {', '.join(f'coalesce(f.{c}, m.{c}, 0) AS v{5 + i}' for i, c in enumerate(_FUND))} FROM summary s LEFT JOIN fundamentals f ON f.date = s.date AND f.ticker = s.ticker JOIN medians m ON m.date = s.date"
+_MOMENTS = f"SELECT date, {', '.join(f'avg(v{i}) AS a{i}, stddev_pop(v{i}) AS s{i}' for i in _V)} FROM wide GROUP BY date"
+_DIMS = f"SELECT date, ticker, {', '.join(f'(v{i} - a{i}) / (s{i} + 1e-8) AS d{20 + i}' for i in _V)} FROM wide JOIN moments USING (date)"
+_NODE_SQL = f""", medians AS MATERIALIZED ({_MEDIANS}), wide AS MATERIALIZED ({_WIDE}), moments AS MATERIALIZED ({_MOMENTS}), scored AS MATERIALIZED ({_DIMS}),
+dims AS (SELECT date, ticker, CAST(t AS INTEGER) AS dim, ret AS x FROM win UNION ALL SELECT date, ticker, CAST(substr(name, 2) AS INTEGER), value FROM (UNPIVOT scored ON COLUMNS('d2[0-9]') INTO NAME name VALUE value))
+SELECT date, ticker, 28 AS width, dim, {_r(value='x')} FROM dims"""
 
 
-@query(_with("summary fundamentals", f", wide AS ({_WIDE}), dims AS (SELECT date, ticker, CAST(t AS INTEGER) AS dim, ret AS x FROM win UNION ALL {_DIMS}) SELECT date, ticker, 28 AS width, dim, {_r(value='x')} FROM dims"))
+@query(_with("summary fundamentals", _NODE_SQL))
 def node_features(spark, sf_dir):
     """The widest mode, as long rows."""
     return _nodes(spark, sf_dir, "window_plus_summary_fund").select("date", "ticker", F.size("x").alias("width"), F.posexplode("x").alias("dim", "value"))
@@ -659,6 +676,17 @@ def goodness_quantiles(spark, sf_dir):
     return risk.goodness_quantiles(rows, HORIZONS)
 
 
+@query(SQL["goodness_quantiles"])
+def write_read_backtest(spark, sf_dir):
+    """A backtest's rows and its quantiles as files, and the quantiles of the rows read again."""
+    path, rows = shared_path(spark, "backtest"), stored(risk.backtest(_scores(spark, sf_dir), panel.prices(spark, sf_dir), BENCHMARK, HORIZONS), "backtest")
+    reports.write_backtest(rows, risk.goodness_quantiles(rows, HORIZONS), path)
+    again = raw.read_csv(spark, f"{path}/rows")
+    again = again.select("date", *[cleaning.number(F.col(c)).alias(c) for c in again.columns if c != "date" and c[0] != "_"])
+    read = reports.load_trials(raw.read_csv(spark, f"{path}/quantiles"), ()).withColumns({c: F.col(c).cast("int") for c in ("horizon", "decile")})
+    return read.join(risk.goodness_quantiles(again, HORIZONS).select("horizon", "decile"), ["horizon", "decile"], "left_semi")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.paired(panel.book(spark, sf_dir), ["date", "ticker"])
 
@@ -798,14 +826,20 @@ def ff_loss(spark, sf_dir):
     return learning.ff_loss(panel.trials(spark, sf_dir).select(F.col("graphs_per_s").alias("g_pos"), F.col("eval_sep").alias("g_neg")), 2.0)
 
 
-@query(f"SELECT CAST(e AS INTEGER) AS epoch, CASE WHEN e > 5 THEN 'hallucinate' ELSE 'shuffle' END AS schedule_mode, {_r(p_hallucinate='CASE WHEN e > 5 THEN 1e-1 + least(1e0, (e - 5) / 10e0) * 6e-1 ELSE 0 END')} FROM range(1, 31) v(e)")
+@query(f"SELECT CAST(e AS INTEGER) AS epoch, CASE WHEN e > 2 THEN 'hallucinate' ELSE 'shuffle' END AS schedule_mode, {_r(p_hallucinate='any_value(p)', seconds='sum(l_quantity * p)')} FROM (SELECT *, l_linenumber AS e, CASE WHEN l_linenumber > 2 THEN 1e-1 + least(1e0, (l_linenumber - 2) / 4e0) * 6e-1 ELSE 0 END AS p FROM lineitem) GROUP BY e")
 def neg_schedule(spark, sf_dir):
-    return learning.negative_schedule(spark, 30, 5, 0.1, 0.7, 10)
+    """The schedule over the epochs of all trials: its mode, its chance, and the seconds that hallucinated negatives are to take."""
+    schedule = learning.negative_schedule(spark, 7, 2, 0.1, 0.7, 4)
+    spent = _epochs(spark, sf_dir).groupBy(F.col("epoch").cast("int").alias("epoch")).agg(F.sum("seconds").alias("s"))
+    return spent.join(F.broadcast(schedule), "epoch").select("epoch", "schedule_mode", "p_hallucinate", (F.col("s") * F.col("p_hallucinate")).alias("seconds"))  # a row an epoch
 
 
-@query(f"SELECT CAST(e AS INTEGER) AS epoch, CAST(greatest(1, round_even(1 + 4 * t, 0)) AS INTEGER) AS steps, {_r(lr='2e-2 + 3e-2 * t', node_fraction='2e-1 + 8e-1 * t')} FROM (SELECT e, CASE WHEN e < 5 THEN 0 ELSE least(1e0, (e - 5) / 8e0) END AS t FROM range(1, 21) v(e))")
+@query(f"SELECT CAST(e AS INTEGER) AS epoch, CAST(greatest(1, round_even(1 + 4 * any_value(t), 0)) AS INTEGER) AS steps, {_r(lr='2e-2 + 3e-2 * any_value(t)', node_fraction='2e-1 + 8e-1 * any_value(t)')}, count(*) * CAST(greatest(1, round_even(1 + 4 * any_value(t), 0)) AS BIGINT) AS all_steps FROM (SELECT l_linenumber AS e, CASE WHEN l_linenumber < 2 THEN 0 ELSE least(1e0, (l_linenumber - 2) / 4e0) END AS t FROM lineitem) GROUP BY e")
 def curriculum(spark, sf_dir):
-    return learning.curriculum(spark, 20, {"steps": (1, 5), "lr": (0.02, 0.05), "node_fraction": (0.2, 1.0)}, 5, 8)
+    """The settings of each epoch of all trials, and the steps that all trials take in it."""
+    ramps = learning.curriculum(spark, 7, {"steps": (1, 5), "lr": (0.02, 0.05), "node_fraction": (0.2, 1.0)}, 2, 4)
+    ran = _epochs(spark, sf_dir).groupBy(F.col("epoch").cast("int").alias("epoch")).agg(F.count("*").alias("n"))
+    return ran.join(F.broadcast(ramps), "epoch").select("epoch", "steps", "lr", "node_fraction", (F.col("n") * F.col("steps")).alias("all_steps"))  # a row an epoch
 
 
 @query(_with("win", f"SELECT date, CAST(t AS INTEGER) AS dim, {_r(value='avg(ret)')} FROM win GROUP BY date, win.t"))
@@ -821,8 +855,8 @@ def temp_sweep(spark, sf_dir):
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graphs, written once to the shared folder, since training reads them again and again."""
-    w = panel.kept_windows(spark, sf_dir)
-    return stored(jobs.pack(features.node_features(w, "window", BENCHMARK, RSI), jobs.edge_table(w, TOP_K)), "graphs")
+    w = panel.windows(spark, sf_dir)
+    return stored(jobs.packed_graphs(features.node_features(w, "window", BENCHMARK, RSI), TOP_K), "graphs")
 
 
 def _layers() -> kernels.Layers:
@@ -883,6 +917,12 @@ def training_benchmark(spark, sf_dir):
     return jobs.benchmark(_packed(spark, sf_dir), WINDOW, WINDOW, jobs.Training(hidden=16, epochs=3))
 
 
+@query()
+def tune_parallel(spark, sf_dir):
+    """Training's speed by number of partitions and rows of an Arrow batch."""
+    return jobs.tune(_packed(spark, sf_dir), WINDOW, WINDOW, jobs.Training(hidden=8, epochs=2), partitions=(1, 4), batch_rows=(8, 1000))
+
+
 @query()
 def sweep_trials(spark, sf_dir):
     grid = trials.param_grid(spark, {"temperature": [0.5, 1.0], "hidden": [4, 8]}, ["e2e", "layerwise"], seed=7)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +136,42 @@ def load_prices(df: DataFrame, order: list[str] = ["_file", "_line"]) -> DataFra
     return first_rows(rows.dropna(subset=["date", "ticker"]), ["date", "ticker"], order).drop(*order)
 
 
+def scan_ticker(spark: SparkSession, root: str, ticker: str, name: str = "*.csv", recursive: bool = True) -> DataFrame:
+    """(date, price) of one ticker from price files, in order of nothing: of equal dates the first by file and line counts.
+
+    Lines without the ticker's letters are dropped as text, before anything of them is parsed; the rest are read by their
+    file's own header. Adjusted close stands before close. Rows whose price is blank or no number, or whose date or
+    ticker doesn't read, are left out. A row is one line: line ends within quotes are not looked for.
+    """
+    files = _files(spark, root, name, recursive)
+    if not files:
+        raise FileNotFoundError(f"no file {name} in {root}")
+    by_header: dict[str | None, list[str]] = {}
+    for f in files:
+        by_header.setdefault(_header(spark, f), []).append(f)
+    found = []
+    for header, mine in by_header.items():
+        if not header:
+            continue
+        columns = next(csv.reader([header]))
+        lines = spark.read.text(mine).where(F.upper("value").contains(ticker.upper()) & (F.col("value") != header))
+        lines = lines.select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_line"))
+        schema = ", ".join(f"`{c}` string" for c in columns)
+        rows = lines.select(F.from_csv("value", schema).alias("row"), "_file", "_line").select("row.*", "_file", "_line")
+        names = _names(rows)
+        price = next((names[c] for c in (*PRICE_NAMES["adj_close"], "close") if c in names), None)
+        date = next((names[c] for c in DATE_NAMES if c in names), None)
+        who = next((names[c] for c in (*TICKER_NAMES, *LAST_TICKER_NAMES) if c in names), None)
+        if price is None or date is None or who is None:
+            raise ValueError(f"{mine[0]} has no date, ticker or price")
+        own = [cleaning.coerce_date(F.col(f"`{date}`")).alias("date"), cleaning.simple_ticker(F.col(f"`{who}`")).alias("ticker"), cleaning.number(F.col(f"`{price}`")).alias("price")]
+        found.append(rows.select(*own, "_file", "_line"))
+    if not found:
+        raise ValueError(f"the files {name} in {root} are empty")
+    rows = functools.reduce(DataFrame.unionByName, found).where((F.col("ticker") == ticker.upper()) & F.col("date").isNotNull() & F.col("price").isNotNull())
+    return first_rows(rows, ["date", "ticker"], ["_file", "_line"]).select("date", "price")
+
+
 def load_constituents(df: DataFrame) -> DataFrame:
     """(date, ticker, ..) of the rows that are members; without a flag all are."""
     missing = {"date", "ticker"} - set(df.columns)
