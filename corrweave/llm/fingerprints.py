@@ -282,7 +282,7 @@ def edited_likeness(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, in descending doc_id; the last document's next is the first, a lone document's is itself. Null texts are
-    empty, repeated rows stay, other columns are ignored, an empty table gives an empty one. n_near is the number of other
+    empty, texts of any length are read whole, repeated rows stay, other columns are ignored, an empty table gives an empty one. n_near is the number of other
     distinct fingerprints of the table within `radius` bits of the document's own, as the block tables find them.
     """
     small_batches(docs.sparkSession)

@@ -248,7 +248,8 @@ def predict(text: Column, model: tuple[tuple[str, tuple[str, ...]], ...]) -> Col
 def identify(docs: DataFrame, chars: int = 20_000, most: int = 200) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rate) for each row of `docs` (doc_id, text, lang), learning from the rows not held out.
 
-    A null doc_id is not held out. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
+    A null doc_id is not held out, texts of any length are parsed whole. Repeated rows stay, other columns are ignored, an
+    empty table gives an empty one.
     """
     model = learn(docs, chars, most)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), model).alias("p"))

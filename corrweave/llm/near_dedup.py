@@ -176,7 +176,8 @@ def fingerprint_links(prints: DataFrame, long: int = LONG_SEGMENT) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of `docs` (doc_id, text).
 
-    Texts without words, null ones included, have fingerprint zero and link like any other. component_id is the
+    Texts without words, null ones included, have fingerprint zero and link like any other; of texts of any length all
+    shingles vote. component_id is the
     smallest doc_id reachable over links of 3 or fewer differing bits. Repeated rows stay and share a component, a
     null doc_id is never a component's id unless it has no other, other columns are ignored, an empty table gives an empty one.
     """

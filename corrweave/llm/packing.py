@@ -111,7 +111,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
-    A null or empty text has the end id alone. Repeated rows are packed as often as they occur, ties in length are
+    A null or empty text has the end id alone, texts of any length are cut into as many pieces as they fill. Repeated rows are packed as often as they occur, ties in length are
     broken by doc_id, piece, start and content, other columns are ignored, an empty table gives an empty one. The driver holds the
     histogram of lengths, at most `capacity` rows.
     """

@@ -203,7 +203,7 @@ def encoded_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame
     """(doc_id, n_bytes, n_tokens, ids_crc32, round_trip) for each row of `docs` (doc_id, text).
 
     ids_crc32 is over little-endian unsigned 32-bit ids; round_trip tells whether decoding gives the text again. A null
-    text counts as empty. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
+    text counts as empty, texts of any length are encoded whole. Repeated rows stay, other columns are ignored, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     path = model_path or default_path()

@@ -186,7 +186,7 @@ def score(text: Column, model: AttentionMil | float) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text).
 
-    predicted is 1 if score >= 0.5. A null doc_id is not held out. Repeated rows stay, other columns are ignored, an
+    predicted is 1 if score >= 0.5. A null doc_id is not held out; all passages of texts of any length are weighed. Repeated rows stay, other columns are ignored, an
     empty table gives an empty one.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), learn(docs, labels, most)).alias("score"))
