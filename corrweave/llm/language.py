@@ -20,7 +20,9 @@ from .sampling import held_out, per_class
 
 #: Symbols parsed as one lane, side by side with others; phrases go on from lane to lane.
 LANE = 512
-#: Bytes of text parsed at once; what is held beside them is about 40 times as much, for each language a quarter of that.
+#: Languages parsed at once; what is held beside a text's bytes is about 40 times as much, for each of these a quarter of that.
+LANGUAGES = 4
+#: Bytes of text parsed at once.
 PARSE_BYTES = 1 << 20
 UNKNOWN, GAP = 0, 1
 #: The language of texts in which none can be told.
@@ -76,8 +78,75 @@ class SuffixAutomaton:
             last = new
 
 
+class Edges:
+    """Transitions of many automata, laid over each other: a state's edges lie at its base plus their symbols.
+
+    Rows of states that branch are put, widest first, where all their places are free; states with one edge fill what is
+    left. Each place names its owner, so that what one state lacks is never taken from another. Memory grows with the
+    edges, at most three a symbol of sample text, whatever the number of letters.
+    """
+
+    #: Bases tried at once.
+    TRIED = 256
+
+    def __init__(self, width: int):
+        self.width, self.states, self.size = width, 0, width
+        self.bases: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+
+    def add(self, automaton: SuffixAutomaton) -> int:
+        """The automaton's root; its other states follow in their order."""
+        rows = automaton.next
+        degree = np.array([len(e) for e in rows])
+        symbols = np.fromiter((c for e in rows for c in e), np.int64, degree.sum())
+        to = np.fromiter((t for e in rows for t in e.values()), np.int64, degree.sum())
+        start = np.cumsum(degree) - degree
+        base = np.zeros(len(rows), np.int64)
+        free = np.ones(len(to) + len(to) // 4 + 2 * self.width + self.TRIED, bool)
+        tried, at = 0, 0
+        for s in np.argsort(-degree, kind="stable").tolist():
+            if degree[s] < 2:
+                break
+            if degree[s] != tried:
+                tried, at = degree[s], 0
+            own = symbols[start[s] : start[s] + degree[s]]
+            apart = (own - own.min()).tolist()
+            while True:
+                if at + self.TRIED + self.width > len(free):
+                    free = np.concatenate((free, np.ones(len(free), bool)))
+                fits = np.ones(self.TRIED, bool)
+                for d in apart:
+                    fits &= free[at + d : at + d + self.TRIED]
+                k = int(fits.argmax())
+                if fits[k]:
+                    at += k
+                    break
+                at += self.TRIED
+            free[at + np.array(apart)] = False
+            base[s] = at - own.min()
+        single = np.flatnonzero(degree == 1)
+        room = np.flatnonzero(free)
+        if len(room) < len(single):
+            room = np.concatenate((room, len(free) + np.arange(len(single))))
+        base[single] = room[: len(single)] - symbols[start[single]]
+        owner = np.repeat(np.arange(len(rows)), degree)
+        place = base[owner] + symbols
+        laid = np.full(place.max(initial=-1) + 1, -1 << 32)
+        laid[place] = ((owner + self.states) << 32) | (to + self.states)
+        root, self.states = self.states, self.states + len(rows)
+        self.bases.append((base + self.size).astype(np.int64))
+        self.places.append(laid)
+        self.size += len(laid)
+        return root
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """(base of each state, at each place the owner's number in the upper 32 bits and the next state's in the lower)."""
+        edge = np.full(self.width, -1 << 32)
+        return np.concatenate([*self.bases, np.zeros(0, np.int64)]), np.concatenate([edge, *self.places, edge])
+
+
 class Parser:
-    """All languages' automata as one table: from a state and a symbol to the next state and the phrases ended.
+    """All languages' automata side by side: from a state and a symbol to the next state and the phrases ended.
 
     texts: (language, its sample texts) in order of language.
     """
@@ -85,35 +154,35 @@ class Parser:
     def __init__(self, texts: tuple[tuple[str, tuple[str, ...]], ...]):
         lower, _ = _letters()
         self.languages = [k for k, _ in texts]
-        found = sorted({c for _, many in texts for t in many for c in lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)].tolist()} - {0})
+        found = sorted({c for _, many in texts for t in many for c in np.unique(lower[np.frombuffer(t.encode("utf-32-le"), np.uint32)]).tolist()} - {0})
         self.symbol = np.where(lower > 0, UNKNOWN, GAP).astype(np.int32)
-        place = {c: i + 2 for i, c in enumerate(found)}
+        place = np.zeros(0x110000, np.int32)
+        place[found] = np.arange(len(found)) + 2
         letters = np.flatnonzero(lower)
-        self.symbol[letters] = [place.get(c, UNKNOWN) for c in lower[letters].tolist()]
-        self.width = width = len(found) + 2
-        tables, self.root, self.bits, base = [], [], [], 0
-        for _, many in texts:
+        self.symbol[letters] = place[lower[letters]]
+        width = len(found) + 2
+        edges, roots, self.bits = Edges(width), [], []
+        self.start = np.full((len(texts), width), -1, np.int32)
+        for k, (_, many) in enumerate(texts):
             sequence: list[int] = []
             for t in many:
                 sequence += [*self.symbols(t).tolist(), UNKNOWN]
             automaton = SuffixAutomaton(sequence)
-            go = np.zeros((len(automaton.next), width), np.int32)
-            start = np.full(width, -1)
+            roots.append(edges.add(automaton))
             for c, s in automaton.next[0].items():
-                start[c] = s
-            fail = np.where(start >= 0, ((base + start * width) << 2) | 1, (base << 2) | 2)
-            go[:] = fail  # a phrase ends before the symbol; one that the language lacks is a phrase of its own
-            go[0] = np.where(start >= 0, (base + start * width) << 2, (base << 2) | 1)
-            for s, edges in enumerate(automaton.next):
-                for c, t in edges.items():
-                    go[s, c] = (base + t * width) << 2
-            if base + go.size >= 1 << 29:
-                raise ValueError("the languages' sample texts are too long for one table; lower `chars`")
-            tables.append(go.ravel())
-            self.root.append(base)
+                self.start[k, c] = roots[k] + s
             self.bits.append(np.log2(max(2, len(sequence))))
-            base += go.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.root = np.array(roots, np.int64)
+        self.base, self.edge = edges.done()
+
+    def step(self, lang: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the phrases ended: a phrase ends before a symbol that cannot follow it; one that the language lacks is a phrase of its own."""
+        edge = self.edge[self.base[state] + symbol]
+        follows = (edge >> 32) == state
+        root, start = self.root[lang], self.start[lang, symbol]
+        lacks = start < 0
+        said = np.where(follows, 0, lacks.astype(np.int64) + (state != root))
+        return np.where(follows, edge & 0xFFFFFFFF, np.where(lacks, root, start)), said
 
     def symbols(self, text: str) -> np.ndarray:
         """Lower-case letters, with one gap for each run of anything else."""
@@ -121,7 +190,7 @@ class Parser:
         gap = s == GAP
         return s[~(gap & np.concatenate(([False], gap[:-1])))] if len(s) else s
 
-    def _mended(self, sizes: np.ndarray, root: np.ndarray, inner: np.ndarray, before: np.ndarray, grid: np.ndarray, states: list[np.ndarray], counts: list[np.ndarray], exits: np.ndarray, phrases: np.ndarray) -> None:
+    def _mended(self, langs: np.ndarray, sizes: np.ndarray, root: np.ndarray, inner: np.ndarray, before: np.ndarray, grid: np.ndarray, states: list[np.ndarray], counts: list[np.ndarray], exits: np.ndarray, phrases: np.ndarray) -> None:
         """Puts exits and phrases right where a lane is entered within a phrase.
 
         All lanes were parsed from the root. From its true entry a lane soon comes to a state that it had at the same place
@@ -144,8 +213,8 @@ class Parser:
                     lang, lane, state, said = lang[~over], lane[~over], state[~over], said[~over]
                 if not len(lane):
                     break
-                got = self.table[state + grid[t][lane]]
-                state, said = got >> 2, said + (got & 3)
+                state, more = self.step(langs[lang], state, grid[t][lane])
+                said = said + more
                 met = states[t][lang, lane] == state
                 phrases[lang[met], lane[met]] += said[met] - counts[t][lang[met], lane[met]]
                 lang, lane, state, said = lang[~met], lane[~met], state[~met], said[~met]
@@ -154,38 +223,43 @@ class Parser:
     def rates(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): bits that the phrases take for each symbol; empty texts get zeros."""
         sequences = [self.symbols(t) for t in texts]
+        total = np.zeros((len(texts), len(self.languages)))
+        for k in range(0, len(self.languages), LANGUAGES):
+            langs = np.arange(k, min(k + LANGUAGES, len(self.languages)))
+            total[:, langs] = self._phrases(langs, sequences).T * np.array(self.bits)[langs]
+        return total / np.maximum([len(s) for s in sequences], 1)[:, None]
+
+    def _phrases(self, langs: np.ndarray, sequences: list[np.ndarray]) -> np.ndarray:
+        """(langs, sequences): the phrases of each."""
         sizes = np.array([len(s) for s in sequences], np.int64)
         lanes = (sizes + LANE - 1) // LANE
-        owner = np.repeat(np.arange(len(texts)), lanes)
+        owner = np.repeat(np.arange(len(sequences)), lanes)
+        phrases = np.zeros((len(langs), len(owner)), np.int64)
+        if not len(owner):
+            return np.zeros((len(langs), len(sequences)), np.int64)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         length = np.minimum(LANE, sizes[owner] - within * LANE)
         order = np.argsort(-length, kind="stable")  # long lanes first, so that those still parsed are the first ones
         place = np.argsort(order, kind="stable")
-        phrases = np.zeros((len(self.languages), len(owner)), np.int64)
-        if len(owner):
-            flat = np.concatenate([*sequences, np.zeros(LANE, np.int32)])
-            starts = ((np.cumsum(sizes) - sizes)[owner] + within * LANE)[order]
-            root = np.array(self.root, self.table.dtype)[:, None]
-            exits = np.repeat(root, len(owner), axis=1)
-            grid, states, counts = [], [], []
-            active = np.searchsorted(-length[order], -np.arange(LANE), side="left")
-            inner = np.flatnonzero(within)
-            for n in active[active > 0]:
-                grid.append(flat[starts[:n] + len(grid)])
-                exits[:, :n] = got = self.table[exits[:, :n] + grid[-1]]
-                exits[:, :n] >>= 2
-                phrases[:, :n] += got & 3
-                if len(inner):
-                    states.append(exits[:, :n].copy())
-                    counts.append(phrases[:, :n].astype(np.int16))
+        flat = np.concatenate([*sequences, np.zeros(LANE, np.int32)])
+        starts = ((np.cumsum(sizes) - sizes)[owner] + within * LANE)[order]
+        root = self.root[langs][:, None]
+        exits = np.repeat(root, len(owner), axis=1)
+        grid, states, counts = [], [], []
+        active = np.searchsorted(-length[order], -np.arange(LANE), side="left")
+        inner = np.flatnonzero(within)
+        for n in active[active > 0]:
+            grid.append(flat[starts[:n] + len(grid)])
+            exits[:, :n], more = self.step(langs[:, None], exits[:, :n], grid[-1])
+            phrases[:, :n] += more
             if len(inner):
-                self._mended(length[order], root, place[inner], place[inner - 1], grid, states, counts, exits, phrases)
-            last = np.concatenate((within[1:] == 0, [True]))[order]
-            phrases += last & (exits != root)  # the phrase that the text's end cuts
-        total = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            total[:, k] = np.bincount(owner[order], weights=phrases[k], minlength=len(texts)) * self.bits[k]
-        return total / np.maximum(sizes, 1)[:, None]
+                states.append(exits[:, :n].astype(np.int32))
+                counts.append(phrases[:, :n].astype(np.int16))
+        if len(inner):
+            self._mended(langs, length[order], root, place[inner], place[inner - 1], grid, states, counts, exits, phrases)
+        last = np.concatenate((within[1:] == 0, [True]))[order]
+        phrases += last & (exits != root)  # the phrase that the text's end cuts
+        return np.array([np.bincount(owner[order], weights=p, minlength=len(sequences)) for p in phrases])
 
 
 @functools.lru_cache(maxsize=2)
@@ -193,15 +267,26 @@ def _parser(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
     return Parser(texts)
 
 
-def learn(docs: DataFrame, chars: int = 20_000, most: int = 200) -> tuple[tuple[str, tuple[str, ...]], ...]:
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+
+
+def common(docs: DataFrame, share: float) -> tuple[str, ...]:
+    """The languages of at least `share` of the rows with text and lang that are not held out, in order: 1 / share at most."""
+    counts = _usable(docs).where("lang is not null").groupBy("lang").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return tuple(sorted(r["lang"] for r in counts.where(F.col("count") >= share * total).collect()))
+
+
+def learn(docs: DataFrame, chars: int = 20_000, most: int = 200, most_labels: int = 2000) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """For each lang value, sample texts of about `chars` characters in all, from a sample of about `most` documents.
 
     Only rows with text and lang that are not held out count; whole texts are taken, in order of hash, while they fit
-    (the shortest, if none does). The driver gets at most that: (lang, texts) in order of lang.
+    (the shortest, if none does). The driver gets at most that: (lang, texts) in order of lang. A worker holds about
+    25 bytes for each character. Of the labels, the `most_labels` with the most such rows are learned; no other is predicted.
     """
     small_batches(docs.sparkSession)
-    usable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    sample = per_class(usable, "lang", most).select("doc_id", "lang", F.char_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).distinct()
+    sample = per_class(_usable(docs), "lang", most, most_labels).select("doc_id", "lang", F.char_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h")).distinct()
     rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["h"]))
     picked: list[tuple] = []
     room: dict[str, int] = {}
