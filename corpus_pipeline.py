@@ -12,8 +12,10 @@ from corrweave.llm.common import small_batches, stored, table
 QUALITY_AT_LEAST = 0.5
 #: Documents whose language has a smaller share than this of all languages' are rejected: as likely another one's.
 LANGUAGE_AT_LEAST = 0.5
-#: The languages to keep; None: all that the documents' labels teach.
+#: The languages to keep; None: those of at least LANGUAGE_SHARE of the labelled documents.
 LANGUAGES: tuple[str, ...] | None = None
+#: Languages with fewer of the labelled documents than this are learned, so that they are told apart, and rejected.
+LANGUAGE_SHARE = 0.01
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +29,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of LANGUAGES that the model tells with a share of at least LANGUAGE_AT_LEAST.
+    """Keeps documents in one of the languages kept that the model tells with a share of at least LANGUAGE_AT_LEAST.
 
-    Texts that are null or have no letter, and all texts where no label teaches a language, are in none. Repeated rows stay
+    Kept are LANGUAGES or, where these are None, the languages of at least LANGUAGE_SHARE of the labelled documents with
+    text; a language too rare to train on goes, whatever its documents' labels. Texts that are null or have no letter, and all texts where no label teaches a language, are in none. Repeated rows stay
     or go together; columns of any name stay as they are; an empty table stays empty.
     """
-    return in_languages(docs, LANGUAGES, LANGUAGE_AT_LEAST)
+    kept = language.common(docs, LANGUAGE_SHARE) if LANGUAGES is None else LANGUAGES
+    return in_languages(docs, kept, LANGUAGE_AT_LEAST)
 
 
-def in_languages(docs: DataFrame, languages: tuple[str, ...] | None, at_least: float) -> DataFrame:
+def in_languages(docs: DataFrame, languages: tuple[str, ...], at_least: float) -> DataFrame:
     said = language.predict(F.col("text"), language.learn(docs))
-    told = (said["lang_pred"] != language.UNDETERMINED) & (said["score"] >= at_least)
-    return docs.where(told if languages is None else told & said["lang_pred"].isin(*languages))
+    return docs.where(said["lang_pred"].isin(*languages) & (said["score"] >= at_least) & (said["lang_pred"] != language.UNDETERMINED))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
