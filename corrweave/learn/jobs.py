@@ -521,14 +521,62 @@ def scenario_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
     return packed.where(F.array_contains("tickers", ticker)).mapInPandas(run, "date date, ticker string, real array<double>, halluc array<double>")
 
 
-# How far a scenario book's controller moves the settings of its synthetic windows.
-BOUNDS = {"lr": (0.001, 0.5), "l2_weight": (0.001, 0.2), "mean_weight": (0.001, 0.2), "std_weight": (0.001, 0.2), "corr_weight": (0.01, 1.0)}
-
-
-def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, target: float, config: Hallucination = Hallucination(), weight: float = 10.0, tolerance: float = 0.01, hit_rate: float = 0.6, attempts: int = 4, seed: int = 0) -> tuple[DataFrame, list[dict]]:
+@dataclasses.dataclass(frozen=True)
+class Controller:
+    """How a scenario book's settings follow its hit rate: factors and steps of one move, and bounds that no move leaves."""
+
+    # The controller's defaults.
+    weight_factor: float = 1.5
+    weight_bounds: tuple[float, float] = (1.0, 1000.0)
+    lr_factor: float = 1.2
+    loosen_factor: float = 0.8
+    fine_lr_factor: float = 1.05
+    fine_steps: int = 1
+    steps: int = 5
+    steps_bounds: tuple[int, int] = (1, 60)
+    node_fraction: float = 0.1
+    node_fraction_bounds: tuple[float, float] = (0.1, 1.0)
+    clamp_std: float = 0.5
+    clamp_std_bounds: tuple[float, float] = (1.0, 6.0)
+    lr_bounds: tuple[float, float] = (0.001, 0.5)
+    l2_bounds: tuple[float, float] = (0.001, 0.2)
+    mean_bounds: tuple[float, float] = (0.001, 0.2)
+    std_bounds: tuple[float, float] = (0.001, 0.2)
+    corr_bounds: tuple[float, float] = (0.01, 1.0)
+
+    def moved(self, weight: float, config: Hallucination, mean_diff: float, tolerance: float) -> tuple[float, Hallucination]:
+        """The constraint's weight and the windows' settings for the next attempt.
+
+        Where the mean misses the target by no more than the tolerance, windows get a little more time. Above it the
+        constraint was too weak: it gets stronger and the windows freer; below it the opposite.
+        """
+
+        def held(value: float, bounds: tuple[float, float]) -> float:
+            return min(max(value, bounds[0]), bounds[1])
+
+        if abs(mean_diff) <= tolerance:
+            steps, lr = min(config.steps + self.fine_steps, self.steps_bounds[1]), min(config.lr * self.fine_lr_factor, self.lr_bounds[1])
+            return weight, dataclasses.replace(config, steps=steps, lr=lr)
+        up = mean_diff > tolerance
+        sign = 1 if up else -1
+        loosen = self.loosen_factor**sign
+        return held(weight * self.weight_factor**sign, self.weight_bounds), dataclasses.replace(
+            config,
+            lr=held(config.lr * self.lr_factor**sign, self.lr_bounds),
+            l2_weight=held(config.l2_weight * loosen, self.l2_bounds),
+            mean_weight=held(config.mean_weight * loosen, self.mean_bounds),
+            std_weight=held(config.std_weight * loosen, self.std_bounds),
+            corr_weight=held(config.corr_weight * loosen, self.corr_bounds),
+            steps=int(held(config.steps + sign * self.steps, self.steps_bounds)),
+            node_fraction=held(config.node_fraction + sign * self.node_fraction, self.node_fraction_bounds),
+            clamp_std=held((config.clamp_std or Hallucination.clamp_std) + sign * self.clamp_std, self.clamp_std_bounds),
+        )
+
+
+def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, target: float, config: Hallucination = Hallucination(), weight: float = 10.0, tolerance: float = 0.01, hit_rate: float = 0.6, attempts: int = 4, seed: int = 0, controller: Controller = Controller()) -> tuple[DataFrame, list[dict]]:
     """A scenario book whose settings follow its hit rate, and what each attempt told. One job for each attempt.
 
-    Too little effect strengthens the constraint and frees the windows, too much does the opposite; settings at their bounds end it.
+    The controller moves the settings between attempts; where it can move none of them any more, the book is done.
     """
     log, book = [], None
     for attempt in range(1, attempts + 1):
@@ -540,15 +588,7 @@ def adaptive_book(packed: DataFrame, layers: Layers, window: int, ticker: str, t
         if not told["n"] or told["hit_rate"] >= hit_rate:
             break
         before = (weight, config)
-        if abs(told["mean_diff"]) <= tolerance:
-            config = dataclasses.replace(config, steps=min(config.steps + 1, 60), lr=min(config.lr * 1.05, 0.5))
-        else:
-            up = told["mean_diff"] > tolerance
-            weight = min(weight * 1.5, 1000.0) if up else max(weight / 1.5, 1.0)
-            scale = {"lr": 1.2, **{k: 0.8 for k in ("l2_weight", "mean_weight", "std_weight", "corr_weight")}}
-            moved = {k: float(np.clip(getattr(config, k) * (s if up else 1 / s), *BOUNDS[k])) for k, s in scale.items()}
-            step = 1 if up else -1
-            config = dataclasses.replace(config, **moved, steps=int(np.clip(config.steps + 5 * step, 1, 60)), node_fraction=float(np.clip(config.node_fraction + 0.1 * step, 0.1, 1.0)), clamp_std=float(np.clip((config.clamp_std or 3.0) + 0.5 * step, 1.0, 6.0)))
+        weight, config = controller.moved(weight, config, told["mean_diff"], tolerance)
         if (weight, config) == before:
             break
     return book, log

@@ -132,6 +132,31 @@ def frontier_prefix_max(trials: DataFrame, speed: str, quality: str) -> DataFram
     return so_far(known, [speed, "trial_id"], quality).where(F.col(quality) > F.col("__top")).drop("__top")
 
 
+def tradeoff(trials: DataFrame, speed: str, quality: str) -> DataFrame:
+    """Each trial's speed and quality with `on_frontier`: what the scatter of a sweep and the line through its frontier show.
+
+    Trials that lack either measure are left out, equal speeds go by trial_id. The frontier is that of `frontier_prefix_max`.
+    """
+    known = trials.where(F.col(speed).isNotNull() & F.col(quality).isNotNull()).select("mode", "trial_id", speed, quality)
+    return so_far(known, [speed, "trial_id"], quality).withColumn("on_frontier", F.col(quality) > F.col("__top")).drop("__top")
+
+
+def training_curves(log: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, epoch, series, mean, lowest, highest, n): each measure's course over the epochs of a log, over all its trainings.
+
+    Measures that the log lacks have no row, nor have epochs in which none told the measure. Without `by`, all trainings
+    are one; with it, each of its groups has curves of its own. One shuffle of a row for each task, group, epoch and series.
+    """
+    there = [m for m in measures if m in log.columns]
+    if not there:
+        raise ValueError(f"the log has none of {', '.join(measures)}")
+    said = F.array(*[F.struct(F.lit(m).alias("series"), F.col(m).cast("double").alias("value")) for m in there])
+    rows = log.select(*(by or []), "epoch", F.explode(said).alias("s")).where("s.value is not null")
+    value = F.col("s.value")
+    each = rows.groupBy(*(by or []), "epoch", F.col("s.series").alias("series"))
+    return each.agg(F.avg(value).alias("mean"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count("*").alias("n"))
+
+
 def pareto(trials: DataFrame, speed: str, quality: str) -> DataFrame:
     """Points that no other beats in one measure without losing in the other; equal points stay all.
 

@@ -788,6 +788,20 @@ def frontier_prefix_max(spark, sf_dir):
     return trials.frontier_prefix_max(panel.trials(spark, sf_dir), "graphs_per_s", "eval_sep")
 
 
+@query(_with("trials", f"SELECT mode, trial_id, {_r(graphs_per_s='graphs_per_s', eval_sep='eval_sep')}, coalesce(eval_sep > top, true) AS on_frontier FROM (SELECT *, max(eval_sep) OVER (ORDER BY graphs_per_s, trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM trials WHERE eval_sep IS NOT NULL)"))
+def sweep_tradeoff(spark, sf_dir):
+    """All trials' points in the scatter of a sweep, and which of them its frontier joins."""
+    return trials.tradeoff(panel.trials(spark, sf_dir), "graphs_per_s", "eval_sep")
+
+
+@query(f"SELECT mode, CAST(epoch AS INTEGER) AS epoch, series, {_r(mean='avg(value)', lowest='min(value)', highest='max(value)')}, count(*) AS n FROM (SELECT l_returnflag AS mode, l_linenumber AS epoch, unnest(['loss', 'g_pos', 'g_neg']) AS series, unnest([l_extendedprice, l_quantity, CASE WHEN l_tax > 0 THEN l_discount END]) AS value FROM lineitem) WHERE value IS NOT NULL GROUP BY ALL")
+def training_curves(spark, sf_dir):
+    """The log of all trials' epochs as curves: loss and both goodnesses by epoch, of measures that some epochs lack too."""
+    l = panel.table(spark, sf_dir, "lineitem")
+    log = l.select(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").cast("int").alias("epoch"), F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("g_pos"), F.when(F.col("l_tax") > 0, F.col("l_discount")).alias("g_neg"))
+    return trials.training_curves(log, ["loss", "g_pos", "g_neg", "risk_loss"], ["mode"])
+
+
 @query(_with("trials", f", b AS (SELECT *, row_number() OVER (ORDER BY eval_sep DESC NULLS LAST, trial_id) AS rank FROM trials), f AS (SELECT * FROM (SELECT *, max(eval_sep) OVER (ORDER BY graphs_per_s, trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM trials WHERE eval_sep IS NOT NULL) WHERE top IS NULL OR eval_sep > top) SELECT section, CAST(rank AS INTEGER) AS rank, {_TRIALS} FROM (SELECT 'best' AS section, * FROM b WHERE rank = 1 UNION ALL SELECT 'top', * FROM b WHERE rank <= 10 UNION ALL SELECT 'frontier', trial_id, mode, parallel_workers, graphs_per_s, eval_sep, row_number() OVER (ORDER BY graphs_per_s, trial_id) FROM f)"))
 def sweep_summary(spark, sf_dir):
     return trials.summary(panel.trials(spark, sf_dir), "eval_sep", "graphs_per_s", "eval_sep")
