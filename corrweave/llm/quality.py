@@ -110,21 +110,26 @@ class AttentionMil:
     def score(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self._forward((x - self.shift) / self.scale, n)[-1]
 
+    def _gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted sum of the bags' logistic losses."""
+        p, starts = self.p, np.cumsum(n) - n
+        h, t, g, a, z, s = self._forward(x, n)
+        e = weight * (s - y)
+        ez = np.repeat(e[:, None] * p["c"], n, axis=0)
+        ea = (ez * h).sum(axis=1)
+        ea = a * (ea - np.repeat(np.add.reduceat(a * ea, starts), n))
+        et, eg = ea[:, None] * p["w"] * g * (1 - t * t), ea[:, None] * p["w"] * t * g * (1 - g)
+        eh = (a[:, None] * ez + et @ p["V"].T + eg @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ eh, "b": eh.sum(axis=0), "V": h.T @ et, "U": h.T @ eg, "w": (t * g).T @ ea, "c": z.T @ e, "d": e.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.03, decay: float = 1e-4) -> AttentionMil:
         """Adam over all bags; the two labels weigh alike."""
         self.shift, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x, p, starts = (x - self.shift) / self.scale, self.p, np.cumsum(n) - n
+        x, p = (x - self.shift) / self.scale, self.p
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
         m, v = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            h, t, g, a, z, s = self._forward(x, n)
-            e = weight * (s - y)
-            ez = np.repeat(e[:, None] * p["c"], n, axis=0)
-            ea = (ez * h).sum(axis=1)
-            ea = a * (ea - np.repeat(np.add.reduceat(a * ea, starts), n))
-            et, eg = ea[:, None] * p["w"] * g * (1 - t * t), ea[:, None] * p["w"] * t * g * (1 - g)
-            eh = (a[:, None] * ez + et @ p["V"].T + eg @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ eh, "b": eh.sum(axis=0), "V": h.T @ et, "U": h.T @ eg, "w": (t * g).T @ ea, "c": z.T @ e, "d": e.sum(keepdims=True)}
+            grad = self._gradient(x, n, y, weight)
             for k, q in p.items():
                 d = grad[k] + decay * q
                 m[k] = 0.9 * m[k] + 0.1 * d

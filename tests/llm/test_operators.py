@@ -252,6 +252,38 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
 
 
+def plain_score(m, bag):
+    """One bag's score, passage by passage."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    hidden = [np.tanh(m.p["W"].T @ ((row - m.shift) / m.scale) + m.p["b"]) for row in bag]
+    said = [float(m.p["w"] @ (np.tanh(m.p["V"].T @ h) * sigmoid(m.p["U"].T @ h))) for h in hidden]
+    share = np.exp(said) / np.exp(said).sum()
+    return float(sigmoid(m.p["c"] @ sum(s * h for s, h in zip(share, hidden)) + m.p["d"])[0])
+
+
+def test_attention_slopes_and_scores():
+    r = np.random.default_rng(3)
+    n = np.array([1, 4, 2, 7, 3])
+    x, y, weight = r.normal(size=(n.sum(), quality.TRAITS)), np.array([0.0, 1, 1, 0, 1]), r.uniform(0.1, 1, 5)
+    m = quality.AttentionMil(width=5, gates=3)
+    bags = np.split(x, np.cumsum(n)[:-1])
+    assert np.allclose(m.score(x, n), [plain_score(m, bag) for bag in bags], rtol=1e-12)
+
+    def loss():
+        s = np.array([plain_score(m, bag) for bag in bags])
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    for k, slope in m._gradient(x, n, y, weight).items():
+        flat, want = m.p[k].reshape(-1), slope.reshape(-1)
+        for i in range(len(flat)):
+            kept = flat[i]
+            flat[i] = kept + 1e-6
+            above = loss()
+            flat[i] = kept - 1e-6
+            below, flat[i] = loss(), kept
+            assert np.isclose((above - below) / 2e-6, want[i], rtol=1e-4, atol=1e-8), (k, i)
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     x, n, y = r.normal(size=(40, quality.TRAITS)), np.full(10, 4), np.arange(10) % 2
