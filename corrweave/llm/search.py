@@ -2,9 +2,11 @@
 
 Data lie in cells about pivots, queries in groups about fewer of them. A query's kth score within its own part of a
 cell is a floor for its kth score over all; a group meets a cell only where the bound of centres and radii reaches the
-lowest floor of its queries. Each pair that meets builds a cover tree on either side and walks both together: a data
-node is left out for a whole query node when no vector in its covering radius can reach the worst kth score of that
-node's queries. Winners of all pairs are merged by a window.
+lowest floor of its queries. Data are written once in order of their cells and stay there: queries go past them in
+passes of bounded size, as a broadcast. A task builds the cover tree of each block of a cell once a pass and walks it
+together with the tree of each group that the cell meets: a data node is left out for a whole query node when no vector
+in its covering radius can reach the worst kth score of that node's queries, best scores being carried from block to
+block. What the tasks found and the floors let through is merged by a window.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_path, stored
 
 #: Points of a data leaf, and queries of a query leaf: all of a query leaf share one bound, so it has to be narrow.
 LEAF, QUERY_LEAF = 32, 8
@@ -26,6 +29,8 @@ LEAF, QUERY_LEAF = 32, 8
 BATCH = 256
 #: Vectors whose distances to all pivots are held at once.
 DEALT = 512
+#: Numbers of the queries, and pieces of their groups, that one pass takes past the data: what a broadcast holds.
+PASS_NUMBERS, PASS_PIECES = 1 << 22, 256
 LOWEST = -(1 << 63)
 
 
@@ -105,13 +110,18 @@ def _reach(dots, norms, radii, query_norm, query_radius) -> np.ndarray:
     return np.clip(most + slack, -(2.0**63), 2.0**63)
 
 
-def dual_tree_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, floor: np.ndarray | None = None) -> _Best:
+def dual_tree_top_k(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int,
+    floor: np.ndarray | None = None, best: _Best | None = None, q: CoverTree | None = None, c: CoverTree | None = None,
+) -> _Best:
     """queries and points of doubles, or of Python's integers: then trees and bounds are of doubles with room for their error, and scores exact.
 
     floor: of each query, a score that its k best over all data are known to reach; what is below may be left out.
+    best: what was found among other points; q, c: the trees, where they are there already.
     """
     floor = np.full(len(queries), -np.inf) if floor is None else floor.astype(np.float64)
-    best, q, c = _Best(query_ids, k), CoverTree(queries.astype(np.float64), QUERY_LEAF), CoverTree(points.astype(np.float64))
+    best = best or _Best(query_ids, k)
+    q, c = q or CoverTree(queries.astype(np.float64), QUERY_LEAF), c or CoverTree(points.astype(np.float64))
     if not len(queries) or not len(points):
         return best
 
@@ -169,35 +179,107 @@ def _numbers(queries: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.nd
     return queries.astype(kind), points.astype(kind)
 
 
-def _seed(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The queries with the kth score within their own part as `floor`: the lowest long where it holds fewer.
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, pa.Table]]:
+    """(dim, cell, rows) of the runs of rows with one dim and cell, about `most` rows at once."""
+    held, key, size = [], None, 0
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy() for c in ("dim", "cell")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for begin, end in ((at, min(at + most, e)) for s, e in zip(cuts, cuts[1:]) for at in range(s, e, most)):
+            mine = (int(keys[begin, 0]), int(keys[begin, 1]))
+            if held and (mine != key or size + end - begin > most):
+                yield *key, pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(b.slice(begin, end - begin))
+            key, size = mine, size + end - begin
+    if held:
+        yield *key, pa.Table.from_batches(held)
+
+
+def _seed(k: int, every: int, most: int):
+    """The queries among the rows, each with the kth score within its own block as `floor`: the lowest long where that holds fewer.
 
     A floor only says whom a query need not meet; its rows come from the trees.
     """
-    kept = left.select(["id", "v", "dim", "grp", "gpart"])
-    if not left.num_rows:
-        return kept.append_column("floor", pa.array([], pa.int64()))
-    (query_ids, queries), (ids, points) = _vectors(left, "v"), _vectors(right, "v")
-    queries, points = _numbers(queries, points)
-    floors = np.full(len(query_ids), LOWEST)
-    for at in range(0, len(query_ids) if len(ids) > k else 0, DEALT):  # one of these is the query itself
-        scores = np.clip(queries[at : at + DEALT] @ points.T, LOWEST, -LOWEST - 1) if queries.dtype == object else queries[at : at + DEALT] @ points.T
-        others = np.where(query_ids[at : at + DEALT, None] == ids, LOWEST, scores)
-        floors[at : at + DEALT] = np.sort(others, axis=1)[:, -k] if others.dtype == object else np.partition(others, -k, axis=1)[:, -k]
-    return kept.append_column("floor", pa.array(floors, pa.int64()))
-
-
-def _pair(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
-    if not left.num_rows or not right.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in kinds.items()})
-    query_ids, queries = _vectors(left, "v")
-    ids, points = _vectors(right, "v")
-    queries, points = _numbers(queries, points)
-    best = dual_tree_top_k(query_ids, queries, ids, points, k, left.column("floor").to_numpy())
-    real = best.match != np.iinfo(np.int64).max
-    real &= best.score.astype(np.float64) != -np.inf
-    return pa.table({"query_id": pa.array(np.repeat(query_ids, real.sum(axis=1))), "vec_id": pa.array(best.match[real]), "score": pa.array(best.score[real].astype(np.int64))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rows in _blocks(batches, most):
+            ids, points = _vectors(rows, "v")
+            asked = np.flatnonzero(ids % every == 0)
+            if not len(asked):
+                continue
+            queries, points = _numbers(points[asked], points)
+            floors = np.full(len(asked), LOWEST)
+            for at in range(0, len(asked) if len(ids) > k else 0, DEALT):  # one of these is the query itself
+                scores = queries[at : at + DEALT] @ points.T
+                scores = np.clip(scores, LOWEST, -LOWEST - 1) if scores.dtype == object else scores
+                others = np.where(ids[asked[at : at + DEALT], None] == ids, LOWEST, scores)
+                floors[at : at + DEALT] = np.sort(others, axis=1)[:, -k] if others.dtype == object else np.partition(others, -k, axis=1)[:, -k]
+            kept = rows.take(pa.array(asked)).select(["id", "v", "dim", "grp"])
+            yield from kept.append_column("floor", pa.array(floors, pa.int64())).combine_chunks().to_batches()
+
+    return run
+
+
+class _Asked:
+    """The queries of a pass in pieces of groups, and the pieces that each cell meets. Trees of pieces are built once a worker."""
+
+    def __init__(self, queries: pa.Table, met: pa.Table):
+        keys = np.stack([queries.column(c).to_numpy() for c in ("dim", "grp", "gpart")], axis=1)
+        self.pieces, self.meets, of = [], {}, {}
+        for i, key in enumerate(np.unique(keys, axis=0)):
+            mine = queries.filter(pa.array((keys == key).all(axis=1)))
+            self.pieces.append((*_vectors(mine, "v"), mine.column("floor").to_numpy()))
+            of.setdefault((int(key[0]), int(key[1])), []).append(i)
+        for dim, grp, cell in zip(*(met.column(c).to_pylist() for c in ("dim", "grp", "cell"))):
+            self.meets.setdefault((dim, cell), []).extend(of.get((dim, grp), []))
+        self.trees: dict[int, CoverTree] = {}
+
+    def tree(self, i: int) -> CoverTree:
+        if i not in self.trees:
+            self.trees[i] = CoverTree(self.pieces[i][1].astype(np.float64), QUERY_LEAF)
+        return self.trees[i]
+
+
+def _walk(k: int, most: int, asked: Broadcast):
+    """Of each query of the pass, the k best rows of the task that reach its floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, found = asked.value, {}
+        for dim, cell, rows in _blocks(batches, most):
+            meets = a.meets.get((dim, cell), ())
+            if not meets:
+                continue
+            ids, v = _vectors(rows, "v")
+            tree = CoverTree(v.astype(np.float64))
+            for i in meets:
+                query_ids, asks, floor = a.pieces[i]
+                queries, points = _numbers(asks, v)
+                found[i] = dual_tree_top_k(query_ids, queries, ids, points, k, floor, found.get(i), a.tree(i), tree)
+        for i, best in found.items():
+            score = best.score.astype(np.float64)
+            real = (best.match != np.iinfo(np.int64).max) & (score != -np.inf) & (score >= a.pieces[i][2].astype(np.float64)[:, None])
+            columns = [np.repeat(best.ids, real.sum(axis=1)), best.match[real], best.score[real].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _passes(groups: list, query_block: int) -> list[tuple[int, int, int, int, int]]:
+    """(dim, grp, gparts, gpart, pass) for each piece of each group, passes rising.
+
+    A piece has about `query_block` queries at most, and no more numbers than a pass.
+    """
+    out, held, pieces, now = [], 0, 0, 0
+    for r in groups:
+        parts = ceil(r["n"] / max(1, min(query_block, PASS_NUMBERS // r["dim"])))
+        numbers = ceil(r["n"] / parts) * r["dim"]
+        for part in range(parts):
+            if pieces and (held + numbers > PASS_NUMBERS or pieces == PASS_PIECES):
+                held, pieces, now = 0, 0, now + 1
+            out.append((r["dim"], r["grp"], parts, part, now))
+            held, pieces = held + numbers, pieces + 1
+    return out
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +346,9 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     gives an empty one.
 
     Pivots are a sample of one row in `block`, `most_pivots` at most: they pass through the driver and decide only who
-    meets whom. Cells and groups with more rows than `block` and `query_block` are split by a hash of the id.
+    meets whom. Cells and groups with more rows than `block` and `query_block` are split by a hash of the id. Of the queries,
+    PASS_NUMBERS numbers at once pass through the driver, on their way to all tasks; data are shuffled twice in all, however
+    many groups and passes there are.
     """
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
@@ -277,37 +361,34 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     cells = _Pivots({dim: np.array(v, np.float64) for dim, v in by_dim.items()})
     groups = cells.first(ceil(size["q"] / query_block) / n_pivots)
 
-    def parted(df: DataFrame, sizes: DataFrame, cell: str, part: str, most: int) -> DataFrame:
-        # Sizes are a row for each pivot: Spark sees that the table is small, and checks it.
-        numbers = sizes.select("dim", cell, F.ceil(F.col("n") / most).alias("parts"))
-        return df.join(numbers, ["dim", cell]).withColumn(part, F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-
+    spark = embeddings.sparkSession
     placed = stored(rows.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_deal(cells, groups), "id bigint, v array<bigint>, dim int, cell int, away double, grp int, grp_away double"), "vectors")
-    asked = placed.where(F.col("id") % every == 0).select(*[F.col(c).alias(c) for c in placed.columns])  # columns of their own, since both sides meet
     cell_sizes = stored(placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")), "cells")
-    group_sizes = stored(asked.groupBy("dim", "grp").agg(F.count("*").alias("n"), F.max("grp_away").alias("grp_radius")), "groups")
-    data = parted(placed.select("id", "v", "dim", "cell"), cell_sizes, "cell", "part", block)
-    queries = parted(parted(asked.select("id", "v", "dim", "cell", "grp"), cell_sizes, "cell", "part", block), group_sizes, "grp", "gpart", query_block)
-
-    def seed(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _seed(k, left, right)
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pair(k, left, right)
-
-    own = ("dim", "cell", "part")
-    queries = stored(queries.groupBy(*own).cogroup(data.groupBy(*own)).applyInArrow(seed, "id bigint, v array<bigint>, dim int, grp int, gpart bigint, floor bigint"), "queries")
+    group_sizes = stored(placed.where(F.col("id") % every == 0).groupBy("dim", "grp").agg(F.count("*").alias("n"), F.max("grp_away").alias("grp_radius")), "groups")
+    # Sizes are a row for each pivot: Spark sees that the table is small, and checks it.
+    numbers = cell_sizes.select("dim", "cell", F.ceil(F.col("n") / block).alias("parts"))
+    parted = placed.select("id", "v", "dim", "cell", "grp").join(numbers, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    data = stored(parted.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part").select("id", "v", "dim", "cell", "grp"), "data")
+
+    pieces = _passes(group_sizes.orderBy("dim", "grp").collect(), query_block)
+    if not pieces:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    table = spark.createDataFrame(pieces, "dim int, grp int, gparts bigint, gpart bigint, pass int")
+    seeded = data.mapInArrow(_seed(k, every, block), "id bigint, v array<bigint>, dim int, grp int, floor bigint")
+    seeded = seeded.join(table.select("dim", "grp", "gparts").distinct(), ["dim", "grp"]).withColumn("gpart", F.pmod(F.xxhash64("id"), "gparts")).drop("gparts")
+    queries = stored(seeded.join(table.drop("gparts"), ["dim", "grp", "gpart"]), "queries")
     floors = queries.groupBy("dim", "grp").agg(F.min("floor").alias("floor"))
-    bounds = group_sizes.join(floors, ["dim", "grp"]).select("dim", "grp", "grp_radius", "floor", F.ceil(F.col("n") / query_block).alias("gparts"))
-    bounds = bounds.join(cell_sizes.select("dim", "cell", "radius", F.ceil(F.col("n") / block).alias("parts")), "dim")
-    kept = bounds.mapInArrow(_meeting(cells, groups), bounds.schema)
-
-    def numbers(n: str):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-
-    kept = stored(kept.select("dim", "grp", "cell", "parts", numbers("gparts").alias("gpart")).select("dim", "grp", "gpart", "cell", numbers("parts").alias("part")), "meetings")
-    keys = ("dim", "grp", "gpart", "cell", "part")
-    left, right = queries.join(kept, ["dim", "grp", "gpart"]), data.join(kept, ["dim", "cell", "part"])
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, "query_id bigint, vec_id bigint, score bigint")
+    bounds = group_sizes.join(floors, ["dim", "grp"]).select("dim", "grp", "grp_radius", "floor")
+    bounds = bounds.join(cell_sizes.select("dim", "cell", "radius"), "dim")
+    meetings = stored(bounds.mapInArrow(_meeting(cells, groups), bounds.schema).select("dim", "grp", "cell"), "meetings")
+
+    path = fresh_path(spark, "found")
+    for number in range(pieces[-1][-1] + 1):
+        now = sorted({(dim, grp) for dim, grp, _, _, n in pieces if n == number})
+        met = meetings.join(spark.createDataFrame(now, "dim int, grp int"), ["dim", "grp"], "left_semi")
+        asked = spark.sparkContext.broadcast(_Asked(queries.where(F.col("pass") == number).toArrow(), met.toArrow()))
+        data.select("id", "v", "dim", "cell").mapInArrow(_walk(k, block, asked), "query_id bigint, vec_id bigint, score bigint").write.parquet(f"{path}/pass={number}")
+        asked.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = spark.read.schema("query_id bigint, vec_id bigint, score bigint, pass int").parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -246,6 +246,39 @@ def test_top_k_of_clusters_meets_few_cells(spark, monkeypatch):
     assert cells > 6 and met < 0.5 * cells * groups
 
 
+def test_top_k_in_many_passes(spark, monkeypatch):
+    """Pieces of groups over several passes, and components so large that products pass a double's whole numbers."""
+    r = np.random.default_rng(8)
+    for scale, dim in ((1, 3), (10**7, 5)):
+        w = r.integers(-4, 5, (400, dim)) * scale
+        df = spark.createDataFrame([(i, (x / 1024).tolist()) for i, x in enumerate(w)], "vec_id bigint, embedding array<double>")
+        want = []
+        for q in range(0, 400, 10):
+            order = sorted((-sum(int(a) * int(b) for a, b in zip(w[q], w[i])), i) for i in range(400) if i != q)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+        monkeypatch.setattr(search, "PASS_PIECES", 3)
+        asked, plain = [], search._Asked.__init__
+        monkeypatch.setattr(search._Asked, "__init__", lambda self, *x: asked.append(self) or plain(self, *x))
+        got = search.top_k(df, every=10, block=64, query_block=4).orderBy("query_id", "rank").collect()
+        assert [(x.query_id, x["rank"], x.vec_id, x.score) for x in got] == want
+        assert len(asked) > 2 and all(len(a.pieces) <= 3 for a in asked)
+        monkeypatch.setattr(search._Asked, "__init__", plain)
+
+
+def test_top_k_shuffles_alike_for_any_number_of_groups(spark, monkeypatch):
+    """Data are written in order of their cells once: as many rows whether queries are one group or many."""
+    v = np.random.default_rng(9).integers(-9, 10, (600, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v / 1024)], "vec_id bigint, embedding array<double>")
+    plain, sizes, found = search.stored, [], []
+    for query_block in (1000, 5):
+        written = {}
+        monkeypatch.setattr(search, "stored", lambda rows, kind: written.setdefault(kind, plain(rows, kind)))
+        found.append(search.top_k(df, every=5, block=64, query_block=query_block).orderBy("query_id", "rank").collect())
+        sizes.append((written["data"].count(), written["queries"].count(), written["groups"].count()))
+    assert found[0] == found[1] and len(found[0]) == 1200
+    assert sizes[0][:2] == sizes[1][:2] == (600, 120) and sizes[0][2] == 1 < sizes[1][2]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").where("quality is not null").collect()
