@@ -257,9 +257,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     # Rows without an id: ranges of the hash behind those of ids, by its first bits.
     unnamed = F.lit(len(splits)) + (F.shiftright("by_hash", 57) + 64)
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), unnamed).otherwise(F.col("bucket")).cast("int")).drop("order", "bucket")
-    # Of each range the first document: at most `parts` + 128 rows, found without the texts.
-    first = F.min(F.struct((-F.col("doc_id")).alias("order"), "by_hash"))
-    heads = rows.groupBy("part").agg(first.alias("first")).select(F.col("part").alias("p"), (-F.col("first.order")).alias("d"), F.col("first.by_hash").alias("h"))
+    # Of each range the first document, by id or, where the range has none, by hash: at most `parts` + 128 rows, found without the texts.
+    heads = rows.groupBy("part").agg(F.max("doc_id").alias("d"), F.min("by_hash").alias("h")).withColumnRenamed("part", "p")
     firsts = rows.join(F.broadcast(heads), F.expr("part = p and doc_id <=> d and by_hash <=> h")).groupBy("part").agg(F.min("text").alias("after"))
     # The ring goes over the ranges' numbers alone; the texts follow by a join.
     ring, every = Window.orderBy("p"), Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

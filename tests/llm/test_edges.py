@@ -68,3 +68,12 @@ def test_search_prunes_and_stays_exact():
         want = sorted((-float(queries[n] @ points[i]), i) for i in range(1600) if i != q)[:10]
         assert [(-s, i) for s, i in zip(best.score[n], best.match[n])] == want
     assert sum(scored) < 0.5 * len(queries) * len(points)
+
+
+def test_ring_of_the_smallest_and_largest_ids(spark):
+    """The smallest long has no negative; ids beyond a double's whole numbers keep their order."""
+    ids = [-(1 << 63), -(1 << 63) + 1, -1, 0, 7, (1 << 63) - 2, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, f"text {n} of several words") for n, i in enumerate(ids)], "doc_id bigint, text string")
+    for parts in (1, 3, 16):
+        after = {r.doc_id: r.next_text for r in fingerprints.with_next(df, parts).collect()}
+        assert after == {i: f"text {(n - 1) % len(ids)} of several words" for n, i in enumerate(ids)}
