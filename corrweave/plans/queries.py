@@ -130,7 +130,7 @@ def scan_dir_union(spark, sf_dir):
     """Files whose headers differ in order are matched by name."""
     p = _panel_csv(spark, sf_dir)
     early = F.col("date") < "1995-01-01"
-    root = _written(spark, "union", a=p.where(early).coalesce(1), b=p.where(~early).select("volume", "close", "ticker", "date").coalesce(1))
+    root = _written(spark, "union", a=p.where(early), b=p.where(~early).select("volume", "close", "ticker", "date"))
     rows = raw.standardize_prices(raw.scan_dir(spark, root, "part-*.csv", recursive=True))
     return rows.select("date", "ticker", F.col("adj_close").alias("price"), "volume")
 
@@ -138,7 +138,7 @@ def scan_dir_union(spark, sf_dir):
 @query(_with("prices", "SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM prices GROUP BY ALL"))
 def scan_recursive(spark, sf_dir):
     p = _panel_csv(spark, sf_dir).select("date", "ticker")
-    root = _written(spark, "years", y1=p.where("date < '1995-01-01'").coalesce(1), y2=p.where("date >= '1995-01-01'").coalesce(1))
+    root = _written(spark, "years", y1=p.where("date < '1995-01-01'"), y2=p.where("date >= '1995-01-01'"))
     return raw.scan_dir(spark, root, "part-*.csv", recursive=True).groupBy(F.year(cleaning.coerce_date(F.col("date"))).alias("year")).agg(F.count("*").alias("n"))
 
 
@@ -243,11 +243,11 @@ def write_read_model(spark, sf_dir):
 @query(_with("prices", f"SELECT date, ticker, {_r(close='price')} FROM prices"))
 def merge_years(spark, sf_dir):
     """Yearly folders of all four kinds as one table each; the prices of them."""
-    root, p = shared_path(spark, "merge"), _panel_csv(spark, sf_dir).select("date", "ticker", "close")
+    root, p = shared_path(spark, "merge"), stored(_panel_csv(spark, sf_dir).select("date", "ticker", "close"), "prices")
     for year, rows in (("y1", p.where("date < '1995-01-01'")), ("y2", p.where("date >= '1995-01-01'").select("close", "ticker", "date"))):
         for name in ("prices", "constituents", "fundamentals", "macro_prices"):
             df = rows.withColumnRenamed("date", "time") if name == "macro_prices" else rows.withColumnRenamed("ticker", "constituent_symbol") if name == "constituents" else rows
-            df.coalesce(1).write.csv(f"{root}/{year}/{name}.csv", header=True)
+            df.write.csv(f"{root}/{year}/{name}.csv", header=True)
     merged = raw.merge_years(spark, root)
     return merged["prices"].select("date", "ticker", cleaning.number(F.col("close")).alias("close"))
 

@@ -3,11 +3,13 @@
 import datetime as dt
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corrweave.functions import arrays, cleaning
-from corrweave.operators import membership, returns, risk, trials
+from corrweave.operators import graph, membership, returns, risk, trials
+from corrweave.plans.queries import QUERIES
 from corrweave.sources import raw, reports
 from corrweave.streaming.prices import daily_prices
 
@@ -145,3 +147,25 @@ def test_window_arithmetic_is_done_once(spark):
     began = time.perf_counter()
     z = df.select(arrays.z_score(F.col("w")).alias("z")).select(arrays.mean(F.col("z")).alias("m"), arrays.deviation(F.col("z")).alias("s")).first()
     assert abs(z.m) < 1e-9 and abs(z.s - 1) < 1e-6 and time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("name", ["merge_years", "scan_dir_union", "scan_recursive"])
+def test_no_one_task_writes_all_rows(spark, tiny, name):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert len(QUERIES[name](spark, tiny).inputFiles()) > 2
+    finally:
+        spark.conf.unset(key)
+
+
+def test_edge_corr_loss_takes_known_ends_alone(spark):
+    at = day(1)
+    x = np.random.default_rng(8).normal(size=(3, 6))
+    nodes = spark.createDataFrame([(at, f"T{i}", v.tolist()) for i, v in enumerate(x)], "date date, ticker string, x array<double>")
+    edges = spark.createDataFrame([(at, "T0", "T1", 0.5), (at, "T2", "T0", -0.25), (at, "T1", "gone", 0.1), (at, "T1", "T2", None)], "date date, src string, dst string, corr double")
+    z = (x - x.mean(axis=1, keepdims=True)) / (x.std(axis=1, ddof=1, keepdims=True) + 1e-6)
+    want = (((z[0] * z[1]).mean() - 0.5) ** 2 + ((z[2] * z[0]).mean() + 0.25) ** 2) / 2
+    found = graph.edge_corr_loss(edges, nodes)
+    assert [r.date for r in found.collect()] == [at] and np.isclose(found.first().loss, want)
+    assert "MapCoGroupsInArrow" in found._jdf.queryExecution().toString()
