@@ -12,8 +12,8 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "M/d/yyyy", "yyyy/M/d")
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end (`trim` takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any kind at either end (`trim` takes spaces only). No pattern: one costs microseconds a value."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_name(c: Column) -> Column:

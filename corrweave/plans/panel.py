@@ -67,8 +67,9 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario, date, series, ticker, w): each month's windows as the real series, a bent copy as the other."""
     rows = windows(spark, sf_dir).select(F.date_format("date", "yyyyMM").alias("scenario"), "date", "ticker", "w")
-    bent = rows.withColumn("w", F.transform("w", lambda r: r * 1.05 - 0.001))
-    return rows.withColumn("series", F.lit("real")).unionByName(bent.withColumn("series", F.lit("halluc")))
+    bent = F.transform("w", lambda r: r * 1.05 - 0.001)
+    both = F.array(F.struct(F.lit("real").alias("series"), F.col("w")), F.struct(F.lit("halluc").alias("series"), bent.alias("w")))
+    return rows.select("scenario", "date", "ticker", F.explode(both).alias("s")).select("scenario", "date", "ticker", "s.w", "s.series")
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,24 @@ def test_edge_corr_loss_takes_known_ends_alone(spark):
     found = graph.edge_corr_loss(edges, nodes)
     assert [r.date for r in found.collect()] == [at] and np.isclose(found.first().loss, want)
     assert "MapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    odd = [" \t1.5\r\n", "\x0b\x0c-2 ", "1 5", " 7", "", "  ", None, "nan", "3d"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v string")
+    by_pattern = F.regexp_replace("v", r"^\s+|\s+$", "")
+    got = rows.select("i", cleaning.strip(F.col("v")).alias("s"), by_pattern.alias("p"), cleaning.number(F.col("v")).alias("n")).orderBy("i").collect()
+    assert [r.s for r in got] == [r.p for r in got] and [r.n for r in got][:4] == [1.5, -2.0, None, None]
+    plan = rows.select(cleaning.number(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # a pattern for each value was most of the reading of a book
+
+
+def test_computed_arrays_are_made_once_where_they_are_unrolled(spark, tiny):
+    from corrweave.plans import panel
+
+    for name in ("denormalize", "node_zscore"):
+        plan = QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        filters = [x for x in plan.splitlines() if " Filter " in f" {x}" and "lambda" in x]
+        assert not filters, name
+    plan = panel.book(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("collect_list") == 1  # the windows once for both series
