@@ -6,7 +6,7 @@ import dataclasses
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, cleaning
@@ -42,6 +42,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def unrolled(df: DataFrame, array: str | Column, at: str, value: str, keys: tuple[str, ...] = ("date", "ticker")) -> DataFrame:
+    """A row for each element. A plain explode has the optimizer ask for the array's size first, by which a computed array is made twice."""
+    return df.select(*keys, F.posexplode_outer(array).alias(at, value)).where(F.col(at).isNotNull())
+
+
 def _r(**columns: str) -> str:
     """Columns rounded to six places, never minus zero."""
     return ", ".join(f"round({e}, 6) + 0e0 AS {n}" for n, e in columns.items())
@@ -515,7 +520,7 @@ def summary_features(spark, sf_dir):
 
 @query(_with("win", f"SELECT date, ticker, CAST(t AS INTEGER) AS t, {_r(z='(ret - m) / (s + 1e-8)')} FROM win"))
 def node_zscore(spark, sf_dir):
-    return panel.windows(spark, sf_dir).select("date", "ticker", F.posexplode(arrays.z_score(F.col("w"))).alias("t", "z"))
+    return unrolled(panel.windows(spark, sf_dir), arrays.z_score(F.col("w")), "t", "z")
 
 
 @query(_with("summary", f"SELECT date, ticker, {_r(**{c: f'({c} - avg({c}) OVER (PARTITION BY date)) / (stddev_pop({c}) OVER (PARTITION BY date) + 1e-8)' for c in features.SUMMARY})} FROM summary"))
@@ -594,7 +599,7 @@ def edge_corr_loss(spark, sf_dir):
 
 @query(_with("win", f"SELECT date, ticker, CAST(t AS INTEGER) AS t, {_r(r='ret')} FROM win"))
 def denormalize(spark, sf_dir):
-    return graph.denormalized(_nodes(spark, sf_dir), WINDOW).select("date", "ticker", F.posexplode("r").alias("t", "r"))
+    return unrolled(graph.denormalized(_nodes(spark, sf_dir), WINDOW), "r", "t", "r")
 
 
 # --- risk ------------------------------------------------------------------------------------------------------------
