@@ -899,7 +899,8 @@ def negatives_shuffle_noise(spark, sf_dir):
 
 @query()
 def hallucinated_windows(spark, sf_dir):
-    return _long(jobs.hallucinate(_packed(spark, sf_dir), _layers(), kernels.Hallucination(steps=3), keep=("date", "tickers", "x")))
+    found = jobs.hallucinate(_packed(spark, sf_dir), _layers(), kernels.Hallucination(steps=3), keep=("date", "tickers", "x"))
+    return _long(jobs.stored_graphs(found, "hallucinated"))
 
 
 @query()
