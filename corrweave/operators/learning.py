@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 
 
 def goodness(nodes: DataFrame, temperature: float | Column = 1.0, by: tuple[str, ...] = ("date",), vector: str = "x") -> DataFrame:
-    """(by, goodness): temperature times the log of summed exponentials of each node's mean square over it, shifted by the largest."""
+    """(by, goodness): temperature times the log of summed exponentials of each node's mean square over it, shifted by the largest.
+
+    A group, one date's nodes, is summed from its smallest to its largest, so that rows in any order give the same to the last bit.
+    """
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
     energy = arrays.mean(F.transform(vector, lambda v: v * v))
-    # One shuffle: the largest is taken over the same partitioning that the sum then uses; a group is one date's nodes.
-    rows = nodes.select(*by, energy.alias("e"), t.alias("t")).withColumn("top", F.max("e").over(Window.partitionBy(*by)))
-    return rows.groupBy(*by).agg((F.first("top") + F.first("t") * F.ln(F.sum(F.exp((F.col("e") - F.col("top")) / F.col("t"))))).alias("goodness"))
+    rows = nodes.select(*by, energy.alias("e"), t.alias("t")).groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("e"), F.first("t").alias("t"))
+    top = F.struct(F.get("e", F.size("e") - 1).alias("top"), F.col("t"))
+    summed = arrays.bound(top, lambda b: b["top"] + b["t"] * F.ln(arrays.total(F.transform("e", lambda e: F.exp((e - b["top"]) / b["t"])))))
+    return rows.select(*by, summed.alias("goodness"))
 
 
 def temperature_sweep(nodes: DataFrame, temperatures: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..sources.storage import stored
 from . import quantiles
 
 SERIES = ("real", "halluc")
@@ -111,8 +112,11 @@ def backtest(scores: DataFrame, prices: DataFrame, ticker: str, horizons: list[i
 
 
 def goodness_quantiles(rows: DataFrame, horizons: list[int], bins: int = 10) -> DataFrame:
-    """(horizon, decile, avg_drawdown, avg_vol, avg_return) of a backtest's rows by decile of goodness."""
-    binned = quantile_bins(rows, "goodness", bins)
+    """(horizon, decile, avg_drawdown, avg_vol, avg_return) of a backtest's rows by decile of goodness.
+
+    The rows, one for each date, are made once: a goodness that is an edge itself must be the same where it is binned.
+    """
+    binned = quantile_bins(stored(rows, "backtest"), "goodness", bins)
     each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_dd_{h}").alias("dd"), F.col(f"fwd_vol_{h}").alias("vol"), F.col(f"fwd_ret_{h}").alias("ret")) for h in horizons])
     long = binned.select("decile", F.inline(each))
     return long.groupBy("horizon", "decile").agg(F.avg("dd").alias("avg_drawdown"), F.avg("vol").alias("avg_vol"), F.avg("ret").alias("avg_return"))

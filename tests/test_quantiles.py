@@ -1,12 +1,14 @@
 """Exact quantiles over ranges against numpy, histograms and their scans, one ticker out of raw files."""
 
 import datetime
+import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corrweave.operators import calibrate, quantiles, risk
+from corrweave.operators import calibrate, learning, quantiles, risk
 from corrweave.sources import raw
 
 
@@ -73,3 +75,29 @@ def test_one_ticker_out_of_raw_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError):
         raw.scan_ticker(spark, str(tmp_path), "AA")
+
+
+def test_deciles_bin_the_goodness_their_edges_come_from(spark, tmp_path):
+    """Rows whose sums differ by a last bit whenever they are made: 21 of them, so that every second one is an edge."""
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def rows(batches):
+        for b in batches:
+            (made / uuid.uuid4().hex).touch()
+            more = 1 + 2.0**-52 * len(list(made.iterdir()))
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"goodness": (1 + r["id"]) * more, "fwd_dd_3": float(r["id"]), "fwd_vol_3": 0.0, "fwd_ret_3": 0.0}])
+
+    df = spark.range(21).coalesce(1).mapInArrow(rows, "goodness double, fwd_dd_3 double, fwd_vol_3 double, fwd_ret_3 double")
+    got = {r.decile: r.avg_drawdown for r in risk.goodness_quantiles(df, [3]).collect()}
+    assert got == {0: 1.0, **{i: 2 * i + 1.5 for i in range(1, 10)}}
+
+
+def test_goodness_in_any_order_of_rows(spark):
+    r = np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, [float(v) for v in r.normal(size=3)]) for i in range(2000)], "id int, x array<double>").withColumn("date", F.lit("2020-01-01"))
+    got = {learning.goodness(nodes.orderBy(F.xxhash64("id", F.lit(seed))).coalesce(1)).first()["goodness"] for seed in range(8)}
+    assert len(got) == 1
+    x = np.array([n.x for n in nodes.collect()])
+    assert np.isclose(got.pop(), np.log(np.exp((x * x).mean(axis=1)).sum()), rtol=1e-13)
