@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrweave.operators import calibrate, learning, quantiles, risk
+from corrweave.plans import panel
 from corrweave.sources import raw
 
 
@@ -101,3 +102,12 @@ def test_goodness_in_any_order_of_rows(spark):
     assert len(got) == 1
     x = np.array([n.x for n in nodes.collect()])
     assert np.isclose(got.pop(), np.log(np.exp((x * x).mean(axis=1)).sum()), rtol=1e-13)
+
+
+def test_whole_cents_and_no_shuffle_to_the_calendar(spark, tiny):
+    """Halves go away from zero as by `round`, without its decimals; prices meet the calendar where they are."""
+    values = [0.0, 0.49999999999999994, 0.5, -0.5, 1.5, 2.5, -2.5, 4503599627370497.5, -0.49999999999999994, 105000.49999999999, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.a for r in df.select(panel.whole(F.col("v")).alias("a")).collect()] == [r.b for r in df.select(F.round("v").cast("bigint").alias("b")).collect()]
+    plan = panel.returns_of(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "round(" not in plan
